@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quadrat.llm import chat, mixing, quality, secrets
+from quadrat.llm import chat, embeddings, mixing, ngram_join, quality, secrets
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op5_chat": chat.op5_chat,
+    "op7_embeddings": embeddings.op7_embeddings,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op1_secrets": secrets.OP1_SQL, "op5_chat": chat.OP5_SQL, "op9_quality": quality.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+SQL = {"op1_secrets": secrets.OP1_SQL, "op5_chat": chat.OP5_SQL, "op7_embeddings": embeddings.OP7_SQL, "op9_quality": quality.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
