@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quadrat.llm import chat, embeddings, mixing, ngram_join, quality, secrets
+from quadrat.llm import chat, embeddings, lines, mixing, ngram_join, quality, secrets
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op3_lines": lines.op3_lines,
     "op5_chat": chat.op5_chat,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_ngram_join": ngram_join.op8_ngram_join,
