@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quadrat.llm import chat, embeddings, lines, mixing, ngram_join, quality, secrets
+from quadrat.llm import chat, embeddings, lines, mixing, ngram_join, pages, pieces, quality, secrets
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_pieces": pieces.op2_pieces,
     "op3_lines": lines.op3_lines,
     "op5_chat": chat.op5_chat,
+    "op6_pages": pages.op6_pages,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
