@@ -7,8 +7,9 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadrat.llm import quality
+from quadrat.llm import lines, mixing, ngram_join, pieces, quality
 from quadrat.llm.common import Scratch
 
 
@@ -17,15 +18,49 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.cascade(docs, kept="__kept").where("__kept").drop("__kept")
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks that an earlier document holds; one that loses all its lines goes."""
+    left = lines.dedup(docs).where("n_lines = 0 or n_deleted < n_lines")
+    return left.select(*[F.col("clean").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similar sets of n-grams connect: the one with the smallest id.
+
+    Of rows that share this id, all stay. Documents without words, and those without an id, stay.
+    """
+    found = ngram_join.join(docs).where("n_shingles > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("component"))
+    gone = found.where("id <> component").select("id")
+    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents repeated or left out so that sources meet their targets."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document of the mixture."""
+    return pieces.encode(docs).withColumnRenamed("key", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: Patience alignment and sampling from a lattice have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last one's result is returned unwritten."""
     scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), str(k))
         if k:
             scratch.drop(str(k - 1))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quadrat.llm import chat, embeddings, lines, mixing, ngram_join, pages, pieces, quality, secrets
+from quadrat.llm import chat, embeddings, lines, mixing, ngram_join, pages, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_pieces": pieces.op2_pieces,
     "op3_lines": lines.op3_lines,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
     "op6_pages": pages.op6_pages,
     "op7_embeddings": embeddings.op7_embeddings,
