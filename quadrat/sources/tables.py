@@ -68,7 +68,7 @@ def to_wide(cells: DataFrame, names: list, sample: str = "sample_id", samples: D
     wide = cells.groupBy(sample).pivot("feature", names).agg(F.first("abundance"))
     if samples is not None:
         wide = samples.select(sample).join(wide, sample, "left")
-    return wide.na.fill(0.0, [str(n) for n in names])
+    return wide.select(sample, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(str(n)) for n in names])
 
 
 def select_present(df: DataFrame, wanted: list[str]) -> DataFrame:
