@@ -42,7 +42,7 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/quadrat-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.base}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:

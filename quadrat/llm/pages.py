@@ -160,14 +160,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """k, has_article, h, zone, h of the neighbour -> which of the page's own lines go."""
     for batch in batches:
-        gone, count = [], []
+        gone = []
         for has, h, zone, other in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            pairs = shared(h, other or [])
-            outside = {i for i, _ in pairs if zone[i] != 1}
-            count.append(len(outside))
+            outside = {i for i, _ in shared(h, other or []) if zone[i] != 1}
             body = [i for i, z in enumerate(zone) if (z == 1 if has else z != 2)]
             gone.append([n for n, i in enumerate(body) if i in outside])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32())), pa.array(count, pa.int64())], names=["k", "gone", "n_shared"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
 
 
 def neighbours(keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,7 +191,7 @@ def neighbours(keys: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars, n_shared (lines outside of articles that the neighbour has too)."""
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_deleted (lines that its neighbour has too)."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
@@ -203,11 +201,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     lines = parsed.select("k", "has_article", "h", "zone").dropDuplicates(["k"])
     other = lines.select(F.col("k").alias("near"), F.col("h").alias("other"))
     both = lines.join(near, "k", "left").join(other, "near", "left").select("k", "has_article", "h", "zone", "other")
-    changed = scratch.save(both.mapInArrow(_difference, "k long, gone array<int>, n_shared long"), "changed")
-    x = parsed.select("page_id", "url", "k", "line").join(changed, "k")
+    changed = scratch.save(both.mapInArrow(_difference, "k long, gone array<int>").where(F.size("gone") > 0), "changed")
+    # only pages that lose lines are in ``changed``: where they are few, Spark broadcasts them and no text is shuffled
+    x = parsed.select("page_id", "url", "k", "line").join(changed, "k", "left")
     kept = F.filter("line", lambda _, i: ~F.array_contains("gone", i))
-    text = F.array_join(F.when(F.size("gone") > 0, kept).otherwise(F.col("line")), " ")
-    return x.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), "n_shared")
+    text = F.array_join(F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("line")), " ")
+    n_deleted = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0)
+    return x.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), n_deleted.cast("long").alias("n_deleted"))
 
 
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
