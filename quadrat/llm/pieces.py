@@ -14,8 +14,8 @@ form of exponential clocks, ``-log(clock)``). Every emitted path is distinct. Th
 of the probability to be among the top k given the clock of the (k+1)-th, 1 - exp(-p * clock).
 
 All draws hash the row's key, the sample's number and the character's position: reruns agree, whatever
-the partitioning. No piece crosses a line feed or the start of a run of spaces, so the lattice
-falls into units that are built once for each distinct unit of a task and drawn for a whole
+the partitioning. No piece crosses a line feed, the start of a run of spaces or (if the vocabulary says so) a letter's end before a
+full stop or comma, so the lattice falls into units that are built once for each distinct unit of a task and drawn for a whole
 batch at once with numpy. Tables are cleared at ``CACHE`` units; the memory of a task does not grow with its input.
 
 Unknown characters, line feeds and a literal U+2581 become byte pieces; decoding gives back each text
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,16 @@ from quadrat.llm.common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SEED = 17
-CACHE = 250_000
+CACHE = 380_000
 BATCH_CHARS = 1_000_000
 
 SPACE = 0x2581
 #: Stands for a literal U+2581 within a lattice; no piece has it.
 LITERAL = 0x110000
 UNIT = re.compile(r" *[^ \n]+| +|\n")
+LETTER = "[a-zA-Z\u00c0-\u024f]"
+#: As UNIT, and a word ends before a full stop or comma: for vocabularies without a piece that goes on there.
+FINE_UNIT = re.compile(rf" *+(?>[^ \n.,]+)(?<={LETTER})(?=[.,])| *[^ \n]+| +|\n")
 
 
 class Vocabulary:
@@ -69,6 +73,8 @@ class Vocabulary:
                 normal.append((i, piece))
                 rank[i] = min(-sp.get_score(i), n)
                 self.text[i] = piece.replace("▁", " ").encode()
+        crossing = re.compile(f"{LETTER}[.,]")
+        self.unit = UNIT if any(crossing.search(piece) for _, piece in normal) else FINE_UNIT
         weight = 1 / (rank + 2)
         total = weight[[i for i, _ in normal]].sum() * 1.01
         self.logp = np.log(weight / total)
@@ -84,11 +90,15 @@ class Vocabulary:
         keys = np.array([(s << 21) | c for s, c in states], np.int64)
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.array(list(states.values()), np.int64)[order]
+        # the first step of every walk by a table of all characters
+        self.root = np.full(LITERAL + 1, -1, np.int64)
+        first = self.keys < 1 << 21
+        self.root[self.keys[first]] = self.next[first]
         self.end = np.full(len(states) + 1, -1, np.int64)
         self.end[list(ends)] = list(ends.values())
 
     def decode(self, ids) -> str:
-        raw = b"".join([self.text[i] for i in ids])
+        raw = b"".join(map(self.text.__getitem__, ids))
         return raw[1:].decode("utf-8", "replace") if raw else ""
 
 
@@ -105,8 +115,8 @@ class Lattices:
         self.clear()
 
     #: Of a unit: its first node and its characters; of a node: the log mass of all paths to the unit's end and the
-    #: first edge; of an edge: cumulative and log conditional probability, piece, and the node it leads to or -1.
-    FIELDS = {"start": np.int64, "chars": np.int64, "beta": np.float64, "first": np.int64, "cum": np.float32, "logq": np.float64, "piece": np.int32, "to": np.int32}
+    #: first edge; of an edge: cumulative and log conditional probability, piece, the node it leads to or -1, and its own.
+    FIELDS = {"start": np.int64, "chars": np.int64, "beta": np.float64, "first": np.int64, "cum": np.float32, "logq": np.float64, "piece": np.int32, "to": np.int32, "src": np.int32}
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
@@ -126,19 +136,17 @@ class Lattices:
     def add(self, units: list[str]) -> None:
         """units: new and distinct."""
         v, base = self.v, len(self.beta)
-        code = [u.replace("▁", "\U0010ffff").replace(" ", "▁") for u in units]
-        size = np.array([len(u) for u in units])
+        size = np.fromiter(map(len, units), np.int64, len(units))
         end = np.cumsum(size)
-        c = np.frombuffer("".join(code).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        c[c == 0x10FFFF] = LITERAL
+        c = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        c[c == SPACE] = LITERAL
+        c[c == 0x20] = SPACE
         last = np.repeat(end, size)
-        at, state, src, to, piece = np.arange(len(c)), np.zeros(len(c), np.int64), [], [], []
-        reach = at.copy()
-        while len(at):
-            key = (state << 21) | c[reach]
-            found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = v.keys[found] == key
-            at, reach, state = at[ok], reach[ok] + 1, v.next[found[ok]]
+        src, to, piece = [], [], []
+        state = v.root[c]
+        at = np.flatnonzero(state >= 0)
+        state, reach = state[at], at + 1
+        while True:
             p = v.end[state]
             whole = p >= 0
             src.append(at[whole])
@@ -146,37 +154,46 @@ class Lattices:
             piece.append(p[whole])
             more = reach < last[at]
             at, reach, state = at[more], reach[more], state[more]
+            if not len(at):
+                break
+            key = (state << 21) | c[reach]
+            found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            ok = v.keys[found] == key
+            at, reach, state = at[ok], reach[ok] + 1, v.next[found[ok]]
         single = np.zeros(len(c), bool)
         single[src[0]] = True
         bare = np.flatnonzero(~single)
         src.append(bare)
         to.append(bare + 1)
         piece.append(-1 - np.where(c[bare] == LITERAL, SPACE, c[bare]))
-        src, to, piece = np.concatenate(src), np.concatenate(to), np.concatenate(piece)
-        logp = np.where(piece >= 0, v.logp[np.maximum(piece, 0)], v.byte_logp * _utf8_length(-1 - piece))
-        # masses from the end of each unit backwards, all units at once
-        left = last[src] - src
-        order = np.lexsort((src, left))
-        src, to, piece, logp, left = src[order], to[order], piece[order], logp[order], left[order]
-        beta = np.zeros(len(c) + 1)
+        # the longest piece of a node first: it is the likeliest as a rule, and a draw looks from the front
+        src, to, piece = (np.concatenate(x[::-1]) for x in (src, to, piece))
+        order = np.argsort(src, kind="stable")
+        src, to, piece = src[order], to[order], piece[order]
+        logp = v.logp[np.maximum(piece, 0)]
+        logp[piece < 0] = v.byte_logp * _utf8_length(-1 - piece[piece < 0])
+        begin = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])  # every character begins an edge
+        width = np.diff(np.r_[begin, len(src)])
+        # masses from the end of each unit backwards, all units at once; beta has a zero for every unit's end
         final = to == last[src]
-        level = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
-        for s, t in zip(level.tolist(), [*level[1:].tolist(), len(src)], strict=True):
-            nodes = src[s:t]
-            begin = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
-            value = logp[s:t] + np.where(final[s:t], 0.0, beta[to[s:t]])
-            beta[nodes[begin]] = _logsumexp_by(value, begin, np.diff(np.r_[begin, t - s]))
-        logq = logp + np.where(final, 0.0, beta[to]) - beta[src]
-        order = np.lexsort((-logq, src))
-        src, to, piece, logq, final = src[order], to[order], piece[order], logq[order], final[order]
-        begin = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+        target = np.where(final, len(c), to)
+        beta = np.zeros(len(c) + 1)
+        by_size = np.argsort(-size, kind="stable")
+        ends, many = end[by_size], np.cumsum(np.bincount(size)[::-1])[::-1]
+        for left in range(1, int(size.max()) + 1):
+            nodes = ends[: many[left]] - left
+            w = width[nodes]
+            at = np.cumsum(w) - w
+            e = np.arange(int(w.sum())) + np.repeat(begin[nodes] - at, w)
+            beta[nodes] = _logsumexp_by(logp[e] + beta[target[e]], at, w)
+        logq = logp + beta[target] - beta[src]
         q = np.exp(logq)
         total = np.cumsum(q)
-        cum = total - np.repeat(total[begin] - q[begin], np.diff(np.r_[begin, len(q)]))
+        cum = total - np.repeat(total[begin] - q[begin], width)
         cum[np.r_[begin[1:] - 1, len(q) - 1]] = 2.0  # the last edge of a node takes what rounding leaves
         self.ids.update(zip(units, range(len(self.start), len(self.start) + len(units)), strict=True))
         self.append(start=end - size + base, chars=size, first=begin + len(self.cum), beta=beta[:-1])
-        self.append(cum=cum, logq=logq, piece=piece, to=np.where(final, -1, to + base))
+        self.append(cum=cum, logq=logq, piece=piece, to=np.where(final, -1, to + base), src=src + base)
 
 
 def _utf8_length(c: np.ndarray) -> np.ndarray:
@@ -196,26 +213,28 @@ class Batch:
     """The units of some texts in a row; a path is an array of edges with, for each edge, its unit's place."""
 
     def __init__(self, texts: list[str], seeds: np.ndarray, lattices: Lattices):
-        split = [UNIT.findall(" " + t) if t else [] for t in texts]
-        new = {u for s in split for u in s if u not in lattices.ids}
-        if len(lattices.ids) + len(new) > CACHE:
-            lattices.clear()
-            new = {u for s in split for u in s}
-        if new:
-            lattices.add(sorted(new))
+        split = [lattices.v.unit.findall(" " + t) if t else [] for t in texts]
+        units = list(chain.from_iterable(split))
+        found = list(map(lattices.ids.get, units))
+        if None in found:
+            missing = [k for k, i in enumerate(found) if i is None]
+            new = {units[k] for k in missing}
+            if len(lattices.ids) + len(new) > CACHE:
+                lattices.clear()
+                missing, new = range(len(units)), set(units)
+            lattices.add(list(new))
+            for k in missing:
+                found[k] = lattices.ids[units[k]]
         self.l = lattices
         self.count = np.array([len(s) for s in split], np.int64)
         self.end = np.cumsum(self.count)
-        known = lattices.ids
-        self.unit = np.array([known[u] for s in split for u in s], np.int64)
+        self.unit = np.fromiter(found, np.int64, len(found))
         self.text = np.repeat(np.arange(len(texts)), self.count)
         self.seed = seeds[self.text]
         upto = np.cumsum(lattices.chars[self.unit]) if len(self.unit) else np.zeros(0, np.int64)
         # positions count from the start of the text
         head = np.r_[0, upto][self.end - self.count]
         self.char = upto - lattices.chars[self.unit] - head[self.text] if len(self.unit) else upto
-        self.log_z = np.zeros(len(texts))
-        np.add.at(self.log_z, self.text, lattices.beta[lattices.start[self.unit]])
 
     def position(self, place: np.ndarray, node: np.ndarray) -> np.ndarray:
         return self.char[place] + node - self.l.start[self.unit[place]]
@@ -242,9 +261,6 @@ class Batch:
             out[offset[k] + step] = edge
         return np.repeat(place, count), out
 
-    def source(self, edge: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.l.first, edge, side="right") - 1
-
 
 def sample(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int = K) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct paths, best first: (ids, log probability, clock, inclusion score)."""
@@ -268,22 +284,23 @@ def sample(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int = K)
         logq = l.logq[ed]
         before = np.cumsum(logq) - logq
         before -= np.repeat(np.r_[before, 0.0][end - size], size)
-        with np.errstate(divide="ignore", over="ignore", under="ignore"):
-            mass = np.exp(before) * -np.expm1(np.minimum(logq, 0.0))
-            # a walk's streams are even, a queue's odd
-            stream = np.array([2 * p + 3 for _, p, _ in fresh])
-            at = np.where(mass > 1e-300)[0]
-            draw = np.full(len(ed), np.inf)
-            which = np.repeat(np.arange(len(fresh)), size)[at]
-            u = _uniform(b.seed[pl[at]] ^ stream[which].astype(np.uint64), 1, b.position(pl[at], b.source(ed[at])))
-            draw[at] = -np.log(u) / mass[at]
-        for (t, p, own_from), s, e in zip(fresh, (end - size).tolist(), end.tolist(), strict=True):
-            waits = draw[s + own_from : e]
+        # beyond this, a subtree's mass is zero in double precision
+        at = np.flatnonzero(before > -690)
+        mass = np.exp(before[at]) * -np.expm1(np.minimum(logq[at], 0.0))
+        at, mass = at[mass > 1e-300], mass[mass > 1e-300]
+        # a walk's streams are even, a queue's odd
+        stream = np.repeat(np.array([2 * p + 3 for _, p, _ in fresh], np.uint64), size)[at]
+        u = _uniform(b.seed[pl[at]] ^ stream, 1, b.position(pl[at], l.src[ed[at]]))
+        wait = -np.log(u) / mass
+        low, high = np.searchsorted(at, end - size).tolist(), np.searchsorted(at, end).tolist()
+        for i, (t, p, own_from) in enumerate(fresh):
+            s = int(end[i] - size[i])
+            own_wait, step = wait[low[i] : high[i]], at[low[i] : high[i]] - s
+            own_wait, step = own_wait[step >= own_from], step[step >= own_from]
             # at most k subtrees are opened after this one, and one more gives the last clock
-            first = np.argpartition(waits, k)[: k + 1] if len(waits) > k + 1 else np.arange(len(waits))
-            for step in first[np.isfinite(waits[first])].tolist():
-                j = s + own_from + step
-                queue[t].append((clocks[t][p] + float(draw[j]), p, own_from + step, (int(ed[j]),)))
+            first = np.argpartition(own_wait, k)[: k + 1] if len(own_wait) > k + 1 else np.arange(len(own_wait))
+            for x in first.tolist():
+                queue[t].append((clocks[t][p] + float(own_wait[x]), p, int(step[x]), (int(ed[s + step[x]]),)))
 
     open_siblings([(t, 0, 0) for t in range(n) if b.count[t]])
     for j in range(2, k + 1):
@@ -296,7 +313,7 @@ def sample(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int = K)
         forced, tails = [], []
         for t, s, p, step, gone in chosen:
             pl, ed = paths[t][p]
-            node = int(b.source(ed[step : step + 1])[0])
+            node = int(l.src[ed[step]])
             lo, hi = int(l.first[node]), int(l.first[node + 1]) if node + 1 < len(l.first) else len(l.cum)
             left = np.array([e for e in range(lo, hi) if e not in gone])
             q = np.exp(l.logq[left])
