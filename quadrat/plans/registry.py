@@ -95,34 +95,34 @@ def abundance_long(spark, sf):
     return view_ab(spark, sf)[0].select("sample_id", "feature", "abundance")
 
 
-@query(f"WITH {AB} SELECT sample_id, feature, round(rel, {D}) AS rel FROM rb")
+@query(f"WITH {AB} SELECT sample_id, feature, rel FROM rb")
 def relative_abundance(spark, sf):
-    return _rel(spark, sf)[0].select("sample_id", "feature", F.round("rel", D).alias("rel"))
+    return _rel(spark, sf)[0].select("sample_id", "feature", "rel")
 
 
-@query(f"WITH {SA} SELECT round(min(rel) / 2, 9) AS eps FROM rs WHERE rel > 0")
+@query(f"WITH {SA} SELECT min(rel) / 2 AS eps FROM rs WHERE rel > 0")
 def half_min_pseudocount(spark, sf):
-    return composition.half_min(_rel(spark, sf, view_as)[0]).select(F.round("eps", 9).alias("eps"))
+    return composition.half_min(_rel(spark, sf, view_as)[0])
 
 
-def _clr(spark, sf):
+def _clr(spark, sf, digits=tokens.DIGITS):
     rel, features = _rel(spark, sf, view_as)
     model = composition.fit(rel, features)
-    return composition.clr(rel, model, tokens.DIGITS), model
+    return composition.clr(rel, model, digits), model
 
 
-@query(f"WITH {DENSE} SELECT sample_id, feature, round(clr, {D}) AS clr FROM cl WHERE rel > 0")
+@query(f"WITH {DENSE} SELECT sample_id, feature, round(clr, {D}) AS clr FROM (SELECT *, lg - avg(lg) OVER (PARTITION BY sample_id) AS clr FROM dn) WHERE rel > 0")
 def clr_sparse(spark, sf):
-    return _clr(spark, sf)[0].select("sample_id", "feature", F.round("clr", D).alias("clr"))
+    return _clr(spark, sf, None)[0].select("sample_id", "feature", F.round("clr", D).alias("clr"))
 
 
-@query(f"WITH {DENSE} SELECT sample_id, round(sum(clr), 4) + 0.0::DOUBLE AS total, count(*) FILTER (rel = 0) AS n_zero, round(min(clr), {D}) AS least FROM cl GROUP BY sample_id HAVING count(*) FILTER (rel = 0) > 0")
+@query(f"WITH {DENSE} SELECT sample_id, round(sum(clr), 4) + 0.0::DOUBLE AS total, count(*) FILTER (rel = 0) AS n_zero, min(clr) AS least FROM cl GROUP BY sample_id HAVING count(*) FILTER (rel = 0) > 0")
 def clr_dense_check(spark, sf):
     x, model = _clr(spark, sf)
     zero = composition.zero_cells(x, model)
     seen = x.groupBy("sample_id").agg(F.sum("clr").alias("s"), F.min("clr").alias("m"))
     j = seen.join(zero, "sample_id")
-    return j.select("sample_id", (F.round(F.col("s") + F.col("clr") * F.col("n"), 4) + 0.0).alias("total"), F.col("n").cast("long").alias("n_zero"), F.round(F.least("m", "clr"), D).alias("least"))
+    return j.select("sample_id", (F.round(F.col("s") + F.col("clr") * F.col("n"), 4) + 0.0).alias("total"), F.col("n").cast("long").alias("n_zero"), F.least("m", "clr").alias("least"))
 
 
 @query(f"WITH {SA}, n AS (SELECT count(*) AS n FROM customer) SELECT feature, count(DISTINCT sample_id) AS n, round(count(DISTINCT sample_id) / any_value(n.n)::DOUBLE, {D}) AS prevalence FROM sa CROSS JOIN n GROUP BY feature")
@@ -205,20 +205,19 @@ def rank_tokens_padded(spark, sf):
     return p.select("sample_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_tokens")
 
 
-@query(f"WITH {EDGES} SELECT (generate_subscripts(edges, 1))::INT AS k, round(unnest(edges), {D}) AS edge FROM ed")
+@query(f"WITH {EDGES} SELECT (generate_subscripts(edges, 1))::INT AS k, round(unnest(edges), 9) AS edge FROM ed")
 def bin_edges(spark, sf):
     x, model = _clr(spark, sf)
     e = tokens.bin_edges(x, model, BINS).select(F.posexplode("edges").alias("k", "edge"))
-    return e.select((F.col("k") + 1).alias("k"), F.round("edge", D).alias("edge"))
+    return e.select((F.col("k") + 1).alias("k"), F.round("edge", 9).alias("edge"))
 
 
-@query(f"WITH {EDGES}, {TOKENS} SELECT sample_id, rank, token_id, (len(list_filter(edges, lambda e: round(e, 7) <= round(clr, 7))) + 1)::INT AS bin FROM tk CROSS JOIN ed")
+@query(f"WITH {EDGES}, {TOKENS} SELECT sample_id, rank, token_id, (len(list_filter(edges, lambda e: round(e, 9) <= clr)) + 1)::INT AS bin FROM tk CROSS JOIN ed")
 def bin_tokens(spark, sf):
-    # rounded once more on both sides, so that a last digit of an edge decides nothing
+    # edges are rounded like the values, so that a last digit of an edge decides nothing
     x, model = _clr(spark, sf)
-    edges = [round(e, 7) for e in tokens.bin_edges(x, model, BINS).first().edges]
-    t = tokens.rank(x, MAX_LEN).withColumn("clr", F.round("clr", 7))
-    return tokens.bins(t, edges).select("sample_id", "rank", "token_id", "bin")
+    edges = [round(e, tokens.DIGITS) for e in tokens.bin_edges(x, model, BINS).first().edges]
+    return tokens.bins(tokens.rank(x, MAX_LEN), edges).select("sample_id", "rank", "token_id", "bin")
 
 
 @query(f"WITH {DENSE}, {TOKENS}, m AS (SELECT avg(clr) AS mean, stddev_pop(clr) + 1e-8 AS std FROM tk WHERE clr <> 0) SELECT sample_id, rank, token_id, round(CASE WHEN clr = 0 THEN 0 ELSE (clr - mean) / std END, 5) + 0.0::DOUBLE AS val FROM tk CROSS JOIN m")
