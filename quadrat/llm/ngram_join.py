@@ -11,10 +11,10 @@ are verified on whole sets.
 
 Skew. Documents with equal sets are one class from the start. Where more than ``SMALL`` leaves meet at
 a node, or a leaf holds very many documents, pairs are not listed at once: these hot nodes are kept
-as lists of members. All members are first compared with one centre; once the verified links are
-joined into components, only pairs of different components that still pass the bounds are listed and
-verified. So a group of thousands of near copies costs a multiple of its size, and no pair that could
-join two components is skipped.
+as lists of members. All members are first compared with one centre, the class with most hot nodes. Verified links are
+joined into components. Where pairs of different components still pass the bounds, their classes are compared by tiles:
+two tiles of about ``TILE`` classes travel to one task, which multiplies 0-1 matrices of their n-grams and returns
+a forest. So pairs of a large group are not listed or shuffled, and no pair that could join two components is skipped.
 
 The global order comes from a counting sketch of fixed size (``SKETCH_BITS``): only n-grams that stand
 out are moved back, all others are ordered by hash. Any order gives the same, exact result. Hashes have 64 bits.
@@ -44,6 +44,8 @@ SKETCH_BITS = 20
 CHUNKS = 16
 #: Leaves at one node, and documents on each side of a leaf pair, up to which pairs are listed at once.
 SMALL = 48
+#: Pairs of classes between two tiles from which all of their classes are compared at once.
+DENSE = 64
 FLUSH = 2_000_000
 
 
@@ -146,6 +148,10 @@ def _heaviness(first: DataFrame, spark: SparkSession) -> np.ndarray:
 
 
 ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8"), ("n", "<u4")])
+#: Order keys up to which every class counts its tokens, around a quarter of the hash range where prefixes end, and the
+#: class with these counts; reach: how many of the thresholds its prefix covers.
+THRESHOLDS = np.arange(18, 51, dtype=np.uint64) << np.uint64(51)
+CLASS = np.dtype([("fp", "<i8"), ("n", "<u4"), ("reach", "<u4"), ("below", "<u4", (len(THRESHOLDS),))])
 SLICES = "part int, entries binary"
 
 
@@ -176,13 +182,15 @@ def _second_pass(heavy, parts: int):
                 e["token"], e["fp"], e["n"] = s[first], fp, len(s)
                 held.append(e)
                 size += p
-                classes.append((int(key[first].max()), fp, len(s)))
+                light = key[weight[s >> np.uint64(64 - SKETCH_BITS)] == 0]
+                below = np.searchsorted(light, THRESHOLDS, side="right")
+                classes.append((fp, len(s), int(np.searchsorted(THRESHOLDS, key[first].max(), side="right")), below))
                 if size >= FLUSH:
                     yield from flush()
                     held.clear()
                     size = 0
             if classes:
-                c = np.array(classes, ENTRY)
+                c = np.array(classes, CLASS)
                 order = np.argsort(c["fp"] % parts, kind="stable")
                 c = c[order]
                 at, starts = np.unique(c["fp"] % parts, return_index=True)
@@ -205,14 +213,17 @@ def held_parts(held: list[np.ndarray], parts: int) -> Iterator[tuple[int, np.nda
 
 
 #: kind 0: a pair a, b with partial overlap c; 1: b is a member of hot node a; 2: up to c tokens of a are not in
-#: the pairs' overlaps; 3: the prefix of class a ends at order key b. na, nb: sizes.
-FOUND = "kind int, a long, b long, c int, na int, nb int"
+#: the pairs' overlaps; 3: class a, with c its reach and its counts up to the thresholds. na, nb: sizes.
+FOUND = "kind int, a long, b long, c int, na int, nb int, below array<int>"
 
 
-def _rows(kind, a, b, c, na, nb) -> pa.RecordBatch:
+def _rows(kind, a, b, c, na, nb, below: np.ndarray | None = None) -> pa.RecordBatch:
     n = len(a)
     full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n))
-    return pa.RecordBatch.from_arrays([full(kind, np.int32), full(a, np.int64), full(b, np.int64), full(c, np.int32), full(na, np.int32), full(nb, np.int32)], names=["kind", "a", "b", "c", "na", "nb"])
+    lists = pa.nulls(n, pa.list_(pa.int32()))
+    if below is not None:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * below.shape[1]), pa.array(below.astype(np.int32).ravel()))
+    return pa.RecordBatch.from_arrays([full(kind, np.int32), full(a, np.int64), full(b, np.int64), full(c, np.int32), full(na, np.int32), full(nb, np.int32), lists], names=["kind", "a", "b", "c", "na", "nb", "below"])
 
 
 def _near_sizes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -223,7 +234,7 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.empty(0, np.int64)
 
 
-def trie_join(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+def trie_join(e: np.ndarray, most: int = SMALL) -> Iterator[pa.RecordBatch]:
     """Partial overlaps within one slice of the hash range."""
     order = np.argsort(e["token"], kind="stable")
     start = _starts(e["token"][order])
@@ -266,7 +277,7 @@ def trie_join(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         if g == 1:
             continue
         nodes = start[width == g]
-        if g > SMALL:
+        if g > most:
             for s in nodes.tolist():
                 yield hot(int(token[s].view(np.int64)), np.concatenate([members[x] for x in leaf[s : s + g].tolist()]))
             continue
@@ -285,7 +296,7 @@ def trie_join(e: np.ndarray) -> Iterator[pa.RecordBatch]:
     alone = (size[x] == 1) & (size[y] == 1) & (x != y)
     a, b, o = [first[x[alone]]], [first[y[alone]]], [c[alone]]
     for u, v, k in zip(x[~alone].tolist(), y[~alone].tolist(), c[~alone].tolist(), strict=True):
-        if size[u] * size[v] > SMALL * SMALL:
+        if size[u] * size[v] > most * most:
             docs = members[u] if u == v else np.r_[members[u], members[v]]
             yield hot(int((path[u] ^ (path[v] << np.uint64(1))).view(np.int64)), docs)
             continue
@@ -310,7 +321,7 @@ def trie_join(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _rows(2, fp[d], 0, length[d], n[d], 0)
 
 
-def _tries(parts: int):
+def _tries(parts: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
 
@@ -319,17 +330,17 @@ def _tries(parts: int):
                 return
             e = np.concatenate(held)
             if now < parts:
-                yield from trie_join(e)
+                yield from trie_join(e, most)
             else:
                 e = e[np.unique(e["fp"], return_index=True)[1]]
-                yield _rows(3, e["fp"], e["token"].view(np.int64), 0, e["n"], 0)
+                yield _rows(3, e["fp"], 0, e["reach"], e["n"], 0, e["below"])
 
         for batch in batches:
             for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part != now:
                     yield from done()
                     now, held = part, []
-                held.append(np.frombuffer(entries.as_buffer(), ENTRY))
+                held.append(np.frombuffer(entries.as_buffer(), ENTRY if part < parts else CLASS))
         yield from done()
 
     return run
@@ -343,63 +354,160 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["fp", "s"])
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile, its sets (b null) before its pairs: tile, a, b, s."""
+    now, sets = None, {}
     for batch in batches:
+        tile, first, second = (batch.column(i).to_pylist() for i in range(3))
         a, b = [], []
         for k in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(i)[k].as_buffer(), np.uint64) for i in (2, 3))
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            if int((y[at] == x).sum()) >= required(len(x), len(y)):
-                a.append(batch.column(0)[k].as_py())
-                b.append(batch.column(1)[k].as_py())
+            if tile[k] != now:
+                now, sets = tile[k], {}
+            if second[k] is None:
+                sets[first[k]] = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
+                continue
+            x, y = sets[first[k]], sets[second[k]]
+            if _overlap(x, y) >= required(len(x), len(y)):
+                a.append(first[k])
+                b.append(second[k])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    x = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa"))
-    y = sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
+#: Classes of one tile. A set travels once for each pair of tiles that has a pair of its, not once for each pair.
+TILE = 128
+
+
+def _tiles(tried: DataFrame, centres: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, tile): classes are dealt into tiles of about ``TILE``, near ones together.
+
+    Classes that tried pairs connect belong together, and members of hot nodes without such a pair with their centre (a, z).
+    """
+    cluster = scratch.save(connected_components(tried, scratch, "clusters"), "cluster")
+    alone = centres.union(centres.select("z", "z")).groupBy(F.col("a").alias("node")).agg(F.min("z").alias("comp"))
+    cluster = cluster.union(alone.join(cluster.select("node"), "node", "left_anti"))
+    size = cluster.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("n"))
+    return cluster.join(size, "comp").select(F.col("node").alias("fp"), F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("n"))).alias("tile"))
 
 
-def _need(na: str = "na", nb: str = "nb", la: str = "la", lb: str = "lb"):
-    """Prefix tokens that a linked pair must share: what follows after the prefix that ends first cannot give more."""
-    after = lambda n: F.expr(f"({PERCENT} * {n} + 99) div 100 - 1")
-    return F.expr(f"({PERCENT} * ({na} + {nb}) + {99 + PERCENT}) div {100 + PERCENT}") - F.when(F.col(la) <= F.col(lb), after(na)).otherwise(after(nb))
+def _links(pairs: DataFrame, sets: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    at = lambda s: tiles.select(F.col("fp").alias(s), F.col("tile").alias(f"t{s}"))
+    placed = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
+    placed = placed.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"))
+    needed = placed.select("tile", F.explode(F.array("a", "b")).alias("fp")).distinct()
+    rows = needed.join(sets, "fp").select("tile", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    rows = rows.unionByName(placed.select("tile", "a", "b", F.lit(None).cast("binary").alias("s")))
+    return rows.repartition(partitions(pairs.sparkSession), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
+
 
+def _required(na: str = "na", nb: str = "nb"):
+    return F.expr(f"({PERCENT} * ({na} + {nb}) + {99 + PERCENT}) div {100 + PERCENT}")
 
-PAIR = "a long, b long, na int, nb int"
 
+def _hot_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of tiles that have a pair of classes of different components that passes the bounds at a hot node.
 
-def _hot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components at hot nodes: rows come sorted by node; node, fp, n, uncounted, last, comp."""
+    Rows come sorted by node: node, n, h, reach, comp, tile, below.
+    """
     now, held = None, []
 
     def done() -> Iterator[pa.RecordBatch]:
-        if not held or len({m[4] for m in held}) < 2:
-            return
-        fp, n, h, last, comp = (np.array(x, np.int64) for x in zip(*held, strict=True))
+        n, h, reach, comp, tile = (np.concatenate([x[i] for x in held]).astype(np.int64) for i in range(5))
+        below = np.concatenate([x[5] for x in held]).astype(np.int64)
         order = np.argsort(n, kind="stable")
-        fp, n, h, last, comp = fp[order], n[order], h[order], last[order], comp[order]
+        n, h, reach, comp, tile, below = n[order], h[order], reach[order], comp[order], tile[order], below[order]
         end = np.searchsorted(n * PERCENT, n * 100, side="right")
-        after = (PERCENT * n + 99) // 100 - 1
-        for k in range(len(fp)):
+        tiles, tile = np.unique(tile, return_inverse=True)
+        found = np.zeros((len(tiles), len(tiles)), bool)
+        for k in range(len(n)):
             j = np.arange(k + 1, end[k])
-            need = required(n[k], n[j]) - np.where(last[k] <= last[j], after[k], after[j])
-            j = j[(comp[j] != comp[k]) & (np.minimum(h[k], h[j]) >= need) & (fp[j] != fp[k])]
-            if len(j):
-                first = fp[k] < fp[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(first, fp[k], fp[j])), pa.array(np.where(first, fp[j], fp[k]))], names=["a", "b"])
+            j = j[(comp[j] != comp[k]) & ~found[tile[k], tile[j]]]
+            if not len(j):
+                continue
+            at = np.minimum(reach[k], reach[j])
+            after = np.minimum(n[k] - below[k, at], n[j] - below[j, at])
+            t = tile[j[np.minimum(h[k], h[j]) >= required(n[k], n[j]) - after]]
+            found[tile[k], t] = found[t, tile[k]] = True
+        x, y = np.nonzero(np.triu(found))
+        yield pa.RecordBatch.from_arrays([pa.array(tiles[x]), pa.array(tiles[y])], names=["x", "y"])
 
     for batch in batches:
-        for node, *member in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if node != now:
-                yield from done()
-                now, held = node, []
-            held.append(member)
-    yield from done()
+        node, *rest = (batch.column(i).to_numpy() for i in range(6))
+        lists = batch.column(6).flatten().to_numpy().reshape(-1, len(THRESHOLDS))
+        below = np.concatenate([np.zeros((len(node), 1), np.int32), lists], axis=1)
+        cut = _starts(node).tolist()
+        for s, t in zip(cut, [*cut[1:], len(node)], strict=True):
+            if node[s] != now:
+                if held:
+                    yield from done()
+                now, held = node[s], []
+            held.append((*(x[s:t] for x in rest), below[s:t]))
+    if held:
+        yield from done()
+
+
+def _all_overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0-1 matrices over slices of the n-grams that two sets share."""
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    start = _starts(token)
+    width = np.diff(np.r_[start, len(token)])
+    column = np.repeat(np.arange(len(start)), width)[np.repeat(width > 1, width)]
+    owner = owner[np.repeat(width > 1, width)]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    if len(column):
+        column = np.cumsum(np.r_[0, column[1:] != column[:-1]])
+        for k in range(0, int(column[-1]) + 1, 8192):
+            s, t = np.searchsorted(column, [k, k + 8192])
+            x = np.zeros((len(sets), 8192), np.float32)
+            x[owner[s:t], column[s:t] - k] = 1
+            out += x @ x.T
+    return out
+
+
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All linked classes of a pair of tiles, as a forest: rows come sorted by key: key, fp, comp, s."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        fp = [x[0] for x in held]
+        comp = np.array([x[1] for x in held], np.int64)
+        sets = [np.frombuffer(x[2], np.uint64) for x in held]
+        n = np.array([len(x) for x in sets])
+        links = (_all_overlaps(sets) >= required(n[:, None], n[None, :])) & (comp[:, None] != comp[None, :])
+        root, a, b = {c: c for c in comp.tolist()}, [], []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(links))), strict=True):
+            u, v = find(int(comp[i])), find(int(comp[j]))
+            if u != v:
+                root[u] = v
+                a.append(fp[i])
+                b.append(fp[j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for key, fp, comp, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if key != now:
+                if held:
+                    yield done()
+                now, held = key, []
+            held.append((fp, comp, s))
+    if held:
+        yield done()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,26 +519,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     heavy = spark.sparkContext.broadcast(_heaviness(first, spark))
     rows = first.where("chunk is null").select("doc_id", "th", "n", "fp")
     slices = texts.mapInArrow(_second_pass(heavy, parts), SLICES)
-    found = slices.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_tries(parts), FOUND)
+    found = slices.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_tries(parts, SMALL), FOUND)
     found = scratch.save(found, "found")
 
-    ends = found.where("kind = 3").groupBy("a").agg(F.first("b").alias("last"))
     uncounted = found.where("kind = 2").groupBy("a").agg(F.sum("c").alias("h"))
-    known = ends.join(uncounted, "a", "left").select("a", "last", F.coalesce("h", F.lit(0)).alias("h"))
-    known = scratch.save(known, "known")
-    at_a = known.select("a", F.col("last").alias("la"), F.col("h").alias("ha"))
-    at_b = known.select(F.col("a").alias("b"), F.col("last").alias("lb"), F.col("h").alias("hb"))
+    known = found.where("kind = 3").select("a", F.col("c").alias("reach"), F.col("na").alias("n"), "below").join(uncounted, "a", "left")
+    own = F.col("n") - F.when(F.col("reach") > 0, F.try_element_at("below", "reach")).otherwise(0)
+    known = scratch.save(known.select("a", "n", "reach", own.alias("after"), F.coalesce("h", F.lit(0)).alias("h"), "below"), "known")
+    at = lambda s, *more: known.select(F.col("a").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reach", "after", "h", *more)])
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.join(at_a, "a").join(at_b, "b").where(F.col("c") + F.least("ha", "hb") >= _need())
-    pairs = scratch.save(pairs.select("a", "b", ((F.col("c") + F.least("ha", "hb")) / F.greatest("na", "nb")).alias("score")), "pairs")
-
-    member = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("a"), F.col("na").alias("n"))
-    member = scratch.save(member.distinct().join(known, "a"), "members")
+    # what follows after the prefix that ends first cannot give more than that set still has there
+    rest_a, rest_b = F.when(F.col("reach_a") <= F.col("reach_b"), F.col("after_a")), F.when(F.col("reach_b") <= F.col("reach_a"), F.col("after_b"))
+    most = F.col("c") + F.least("h_a", "h_b")
+    pairs = pairs.join(at("a"), "a").join(at("b"), "b").where(most + F.least(rest_a, rest_b) >= _required()).select("a", "b", "c", "na", "nb")
+    # nor more than the other has beyond the same threshold
+    lists = lambda s: known.select(F.col("a").alias(s), F.col("reach").alias(f"reach_{s}"), F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n_{s}"), F.col("below").alias(f"below_{s}"))
+    reach = F.least("reach_a", "reach_b")
+    beyond = lambda s: F.col(f"n{s}") - F.when(reach > 0, F.try_element_at(f"below_{s}", reach)).otherwise(0)
+    pairs = pairs.join(lists("a"), "a").join(lists("b"), "b").where(most + F.least(beyond("a"), beyond("b")) >= _required())
+    pairs = scratch.save(pairs.select("a", "b", (most / F.greatest("na", "nb")).alias("score")), "pairs")
+
+    member = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("a")).distinct()
+    member = scratch.save(member.join(known.select("a", "n", "h", "reach"), "a"), "members")
     scratch.drop("found")
     # every member of a hot node with its centre: each class keeps the centre that it meets at most nodes
-    centre = member.groupBy("node").agg(F.min(F.struct(F.abs(F.xxhash64("a")), "a"))["a"].alias("z"))
+    # the centre is who has most hot nodes: an original shares more with each copy than copies with each other
+    spread = member.groupBy("a").agg(F.count("*").alias("k"))
+    centre = member.join(spread, "a").groupBy("node").agg(F.max(F.struct("k", "a"))["a"].alias("z"))
     star = member.join(centre, "node").where("a <> z").groupBy("a", "z").agg(F.count("*").alias("k"))
-    star = star.groupBy("a").agg(F.max_by("z", F.struct("k", "z")).alias("z")).select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b"))
+    star = scratch.save(star.groupBy("a").agg(F.max_by("z", F.struct("k", "z")).alias("z")), "star")
+    # if the bounds let the pair be linked at all
+    near = star.select("a", F.col("z").alias("b")).join(lists("a"), "a").join(lists("b"), "b").withColumnsRenamed({"n_a": "na", "n_b": "nb"})
+    near = near.where(F.least("h_a", "h_b") + F.least(beyond("a"), beyond("b")) >= _required()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # and every class with its best partner
     both = pairs.select("a", F.col("b").alias("z"), "score").union(pairs.select(F.col("b"), F.col("a"), "score"))
     best = both.groupBy("a").agg(F.max_by("z", F.struct("score", "z")).alias("z")).select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b"))
@@ -440,18 +560,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     one = texts.alias("t").join(chosen.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")), "left_semi")
     sets = scratch.save(one.select("text").mapInArrow(_sets, "fp long, s binary"), "sets")
 
-    tried = scratch.save(best.union(star).distinct(), "tried")
-    links = scratch.save(_links(tried, sets), "links1")
+    tried = scratch.save(best.union(near).distinct(), "tried")
+    tiles = scratch.save(_tiles(tried, star, scratch), "tiles")
+    links = scratch.save(_links(tried, sets, tiles), "links1")
     comps = scratch.save(connected_components(links, scratch, "round1"), "comps1")
     of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
     rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    placed = member.join(of("a"), "a", "left").select("node", "a", "n", "h", "last", F.coalesce("ca", "a").alias("comp"))
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    in_tile = lambda s: tiles.select(F.col("fp").alias(s), F.col("tile").alias(f"t{s}"))
+    rest = rest.join(in_tile("a"), "a").join(in_tile("b"), "b").select("a", "b", F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y"))
+    rest = scratch.save(rest, "rest")
+    placed = member.join(of("a"), "a", "left").join(in_tile("a"), "a").select("node", "a", "n", "h", "reach", F.coalesce("ca", "a").alias("comp"), F.col("ta").alias("tile"))
     mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    late = placed.join(mixed, "node", "left_semi").repartition(partitions(spark), "node").sortWithinPartitions("node").mapInArrow(_hot_pairs, "a long, b long")
-    rest = rest.union(late).distinct().join(tried, ["a", "b"], "left_anti")
-    links = scratch.save(links.union(_links(rest, sets)), "links2")
-    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried")
+    late = placed.join(mixed, "node", "left_semi").join(known.select("a", "below"), "a").select("node", "n", "h", "reach", "comp", "tile", "below")
+    late = late.repartition(partitions(spark), "node").sortWithinPartitions("node").mapInArrow(_hot_tiles, "x long, y long")
+    late = late.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    dense = late.union(rest.groupBy("x", "y").agg(F.count("*").alias("k")).where(F.col("k") >= DENSE).select("x", "y")).distinct()
+    dense = scratch.save(dense, "dense")
+    # both tiles' classes once for each pair of tiles
+    sides = dense.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
+    full = sides.join(tiles, "tile").join(sets, "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left")
+    full = full.select("key", "fp", F.coalesce("comp", "fp").alias("comp"), "s").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    sparse = rest.join(dense, ["x", "y"], "left_anti")
+    links = scratch.save(links.union(full.mapInArrow(_dense, "a long, b long")).union(_links(sparse, sets, tiles)), "links2")
+    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried", "tiles", "cluster", "rest", "dense", "star")
     comps = connected_components(links, scratch, "round2")
 
     smallest = rows.join(comps, rows["fp"] == comps["node"]).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
