@@ -58,6 +58,9 @@ class Node:
     #: Least and greatest number of characters to a word below.
     low: int = 99
     high: int = -1
+    #: At the root: beginnings and ends of all words.
+    heads: frozenset[str] = frozenset()
+    tails: frozenset[str] = frozenset()
 
 
 def build_trie(terms: dict[str, float]) -> Node:
@@ -76,6 +79,9 @@ def build_trie(terms: dict[str, float]) -> Node:
         node.word = max(node.word, weight)
         for k, n in enumerate(path):
             n.low, n.high = min(n.low, len(body) - k), max(n.high, len(body) - k)
+    words = [t for t in terms if not t.endswith("*")]
+    root.heads = frozenset(w[:k] for w in words for k in range(len(w) + 1))
+    root.tails = frozenset(w[k:] for w in words for k in range(len(w) + 1))
     return root
 
 
@@ -90,7 +96,8 @@ def match(word: str, root: Node) -> tuple[float, float] | None:
     else:
         exact = max(exact, node.word)
     n, fuzzy = len(word), 0.0
-    if n >= FUZZY_FROM:
+    # one error leaves the first or the second half of the word as it is
+    if n >= FUZZY_FROM and (word[: n // 2] in root.heads or word[n // 2 :] in root.tails):
         mask: dict[str, int] = {}
         for i, c in enumerate(word):
             mask[c] = mask.get(c, 0) | 1 << i
