@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import WORD, read
+from quadrat.llm.common import WORD, Scratch, read
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -66,7 +66,9 @@ def plan(items: DataFrame, **options) -> DataFrame:
     A document takes ``whole`` repetitions, and one more if (digest, key, size) <= (cut_d, cut_k, cut_n).
     """
     x = items.withColumn("d", _digest("key")).withColumn("bucket", F.substring("d", 1, 3))
-    sums = x.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    # at most 4,096 rows for each source, written once: texts are counted here, near the cuts and where the plan is applied
+    scratch = Scratch(items.sparkSession)
+    sums = scratch.save(x.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "sums")
     source = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), **options)
     source = source.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     source = source.withColumn("whole", F.floor("rate").cast("int")).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -83,7 +85,8 @@ def plan(items: DataFrame, **options) -> DataFrame:
     low = near.select("ns", "nb").join(cut, F.col("ns").eqNullSafe(F.col("cs")), "left").select("ns", "nb", "cut")
     out = source.join(low, F.col("source").eqNullSafe(F.col("ns")), "left")
     # without a taken document in the cut's bucket, the cut is the bucket's lower edge
-    return out.select("source", "source_size", "target", "whole", F.coalesce(F.col("cut.d"), F.col("nb"), F.lit("")).alias("cut_d"), F.col("cut.has").alias("cut_has"), F.col("cut.key").alias("cut_k"), F.col("cut.size").alias("cut_n"))
+    out = out.select("source", "source_size", "target", "whole", F.coalesce(F.col("cut.d"), F.col("nb"), F.lit("")).alias("cut_d"), F.col("cut.has").alias("cut_has"), F.col("cut.key").alias("cut_k"), F.col("cut.size").alias("cut_n"))
+    return scratch.save(out, "plan")
 
 
 def _few(df: DataFrame) -> bool:
