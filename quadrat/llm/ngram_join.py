@@ -53,7 +53,7 @@ class _WordHash(dict):
     """Word -> 64-bit hash, remembered for frequent words; starts anew when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -396,13 +396,21 @@ def _tiles(tried: DataFrame, centres: DataFrame, scratch: Scratch) -> DataFrame:
     return cluster.join(size, "comp").select(F.col("node").alias("fp"), F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("n"))).alias("tile"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, tiles: DataFrame) -> DataFrame:
+#: Lists of ids (24 bytes a row at most) up to this many rows are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def _links(pairs: DataFrame, sets: DataFrame, tiles: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     at = lambda s: tiles.select(F.col("fp").alias(s), F.col("tile").alias(f"t{s}"))
     placed = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
-    placed = placed.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"))
-    needed = placed.select("tile", F.explode(F.array("a", "b")).alias("fp")).distinct()
-    rows = needed.join(sets, "fp").select("tile", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    placed = scratch.save(placed.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile")), f"{tag}-placed")
+    needed = scratch.save(placed.select("tile", F.explode(F.array("a", "b")).alias("fp")).distinct(), f"{tag}-needed")
+    rows = sets.join(_small(needed), "fp").select("tile", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "s")
     rows = rows.unionByName(placed.select("tile", "a", "b", F.lit(None).cast("binary").alias("s")))
     return rows.repartition(partitions(pairs.sparkSession), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
 
@@ -557,12 +565,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     involved = pairs.select("a").union(pairs.select("b")).union(member.select("a")).distinct().withColumnRenamed("a", "fp")
     chosen = rows.join(involved, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
-    one = texts.alias("t").join(chosen.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")), "left_semi")
+    chosen = scratch.save(chosen, "chosen")
+    one = texts.alias("t").join(_small(chosen).alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")), "left_semi")
     sets = scratch.save(one.select("text").mapInArrow(_sets, "fp long, s binary"), "sets")
 
     tried = scratch.save(best.union(near).distinct(), "tried")
     tiles = scratch.save(_tiles(tried, star, scratch), "tiles")
-    links = scratch.save(_links(tried, sets, tiles), "links1")
+    links = scratch.save(_links(tried, sets, tiles, scratch, "r1"), "links1")
     comps = scratch.save(connected_components(links, scratch, "round1"), "comps1")
     of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
     rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -580,11 +589,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     dense = scratch.save(dense, "dense")
     # both tiles' classes once for each pair of tiles
     sides = dense.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
-    full = sides.join(tiles, "tile").join(sets, "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left")
-    full = full.select("key", "fp", F.coalesce("comp", "fp").alias("comp"), "s").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    wanted = sides.join(tiles, "tile").join(comps.withColumnRenamed("node", "fp"), "fp", "left")
+    wanted = scratch.save(wanted.select("key", "fp", F.coalesce("comp", "fp").alias("comp")), "wanted")
+    full = sets.join(_small(wanted), "fp").select("key", "fp", "comp", "s").repartition(partitions(spark), "key").sortWithinPartitions("key")
     sparse = rest.join(dense, ["x", "y"], "left_anti")
-    links = scratch.save(links.union(full.mapInArrow(_dense, "a long, b long")).union(_links(sparse, sets, tiles)), "links2")
-    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried", "tiles", "cluster", "rest", "dense", "star")
+    links = scratch.save(links.union(full.mapInArrow(_dense, "a long, b long")).union(_links(sparse, sets, tiles, scratch, "r2")), "links2")
+    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried", "tiles", "cluster", "rest", "dense", "star", "chosen", "wanted", "r1-placed", "r1-needed", "r2-placed", "r2-needed")
     comps = connected_components(links, scratch, "round2")
 
     smallest = rows.join(comps, rows["fp"] == comps["node"]).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
