@@ -40,8 +40,8 @@ from quadrat.llm.common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SEED = 17
-CACHE = 380_000
-BATCH_CHARS = 1_000_000
+CACHE = 190_000
+BATCH_CHARS = 700_000
 
 SPACE = 0x2581
 #: Stands for a literal U+2581 within a lattice; no piece has it.
@@ -378,8 +378,8 @@ def _ids(l: Lattices, edge: np.ndarray) -> np.ndarray:
     return out.astype(np.int32)
 
 
-#: Of a worker process, for all its tasks.
-_held: dict[str, Lattices] = {}
+#: Of a worker process, for all its tasks; some ten MB.
+_held: dict[str, Vocabulary] = {}
 
 SAMPLES = "key long, sample int, ids array<int>, log_p double, clock double, log_inclusion double, exact boolean"
 
@@ -387,9 +387,10 @@ SAMPLES = "key long, sample int, ids array<int>, log_p double, clock double, log
 def _encode(model: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _held:
-            _held[model] = Lattices(Vocabulary(model))
-        lattices = _held[model]
-        vocabulary = lattices.v
+            _held[model] = Vocabulary(model)
+        vocabulary = _held[model]
+        # of this task: a worker that keeps its lattices would hold their memory through other stages
+        lattices = Lattices(vocabulary)
 
         def flush(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
             found = sample([t for _, _, t in rows], np.array([s for _, s, _ in rows], np.int64).view(np.uint64), lattices, k)
