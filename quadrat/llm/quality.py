@@ -150,6 +150,11 @@ def ordered(rules: tuple[Rule, ...], measured: dict[str, tuple[float, float]]) -
     return sorted(rules, key=lambda r: -worth.get(r.name, 0.0))
 
 
+def _rejected(text: Text, order: list[Rule]) -> bool:
+    """Whether a rule rejects the text; rules after the first that does are not evaluated."""
+    return any(rule.rejects(text) for rule in order)
+
+
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", kept: str = "kept", order: list[Rule] | None = None) -> DataFrame:
     """``docs`` with the boolean column ``kept``: no rule rejects the text.
 
@@ -160,12 +165,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
     @F.pandas_udf("boolean")
     def verdict(texts):
-        alive = [(k, Text(x)) for k, x in enumerate(texts)]
-        for rule in order:
-            alive = [(k, t) for k, t in alive if not rule.rejects(t)]
-        out = np.zeros(len(texts), bool)
-        out[[k for k, _ in alive]] = True
-        return texts.__class__(out)
+        # one text at a time: its words are gone before the next one's are made
+        return texts.__class__([not _rejected(Text(x), order) for x in texts], dtype=bool)
 
     return docs.withColumn(kept, verdict(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
