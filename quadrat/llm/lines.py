@@ -1,14 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap if they share a rare line: one that is long enough to tell and stands once in each.
-Every such line has an owner, the earliest document that holds it, and a later document is paired with
-the owners of its lines. A pair is aligned by patience diff: lines unique on both sides are matched
-along their longest increasing run, and matches grow over equal neighbours, whether unique or not.
-Aligned blocks of at least ``MIN_WORDS`` words are deleted from the later document.
+A later document loses every block of whole lines, of at least ``MIN_WORDS`` words, that some earlier document
+holds in the same order without a gap (lines without a word do not count): the ungapped alignments of all pairs, wherever
+the block stands in either document, however often, and whether its lines stand elsewhere too.
 
-A document of k lines has at most k owners, so pairs grow with the input and not with the square of a
-line's frequency: a boilerplate line that a third of all documents hold pairs each of them with one
-owner. For an alignment only line hashes and positions are joined, never texts.
+The pairs need not be formed. A line lies in such a block if and only if it lies in a run that reaches
+``MIN_WORDS`` words just with its last line, or just with its first, and that an earlier document holds. A document of k lines
+has at most 2 k such runs, and the earliest holder of a run decides for all later ones, so work grows with the
+input and not with the square of a line's frequency. Only hashes and positions are shuffled, never texts.
+
+``patience``, ``aligned`` and ``deletions`` are patience diff of one given pair. It keeps one increasing chain of blocks around
+unique lines, so what it deletes is always among the above; tests hold the runs against it over every pair.
 
 Earlier means the smaller id, nulls last, then the smaller hash of the text; rows that agree in both are one
 document and get the same result. Defined results: a null text stays null and an empty one empty;
@@ -22,16 +24,17 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quadrat.llm.common import WORD, Scratch, read
 
-#: Words of an aligned block from which it is deleted, and of a line from which it can pair documents.
+#: Words of an aligned block from which it is deleted.
 MIN_WORDS = 10
-ANCHOR_WORDS = 3
 #: Documents that lose lines, and lines lost, up to which their list (some 20 MB then) is broadcast.
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 1_500_000
@@ -111,34 +114,56 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_positions(docs: DataFrame) -> DataFrame:
-    """(doc, order key, line hash) with the number of the line among those with a word, and its words."""
-    full = F.filter(_lines(F.col("t")), lambda x: F.regexp_like(x, F.lit(WORD)))
-    x = docs.select("o", F.posexplode(full).alias("p", "line"))
-    return x.select("o", "p", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("n"))
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """(doc) -> order key, and of its lines with a word, in order, hash and number of words."""
+    line = F.transform(_lines(F.col("t")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    return docs.select("o", F.filter(line, lambda x: x["n"] > 0).alias("lines"))
+
+
+RUNS = "o struct<last:boolean,id:long,th:long>, w long, p int, k int"
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-MATCHES = "array<struct<owner:long,h:long,here:int,there:int,n:int>>"
 
+def least_runs(h: np.ndarray, n: np.ndarray, sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, lines, hash) of every run that has ``min_words`` words, but not without its last or not without its first line.
 
-def _decide(min_words: int):
+    h, n: hash and words (1 at least) of the lines of documents one after another; sizes: their numbers of lines.
+    """
+    stop = np.cumsum(sizes)
+    upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    at = np.arange(len(h))
+    end = np.searchsorted(upto, upto[at] + min_words)
+    ahead = end <= np.repeat(stop, sizes)
+    start = np.searchsorted(upto, upto[at + 1] - min_words, "right") - 1
+    back = start >= np.repeat(stop - sizes, sizes)
+    both = np.unique(np.stack([np.concatenate([at[ahead], start[back]]), np.concatenate([end[ahead], at[back] + 1])], 1), axis=0)
+    first, k = both[:, 0], both[:, 1] - both[:, 0]
+    w = k.astype(np.uint64)
+    for i in range(int(k.max(initial=0))):
+        more = k > i
+        w[more] = _mixed(w[more] * np.uint64(0x9E3779B97F4A7C15) ^ h[first[more] + i])
+    return first, k, w
+
+
+def _runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for row in batch.column(1).to_pylist():
-                flat = [(m["owner"], m["h"], x, y, m["n"]) for m in row for x, y in _zipped(m["here"], m["there"])]
-                gone.append(deletions(flat, min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["o", "gone"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            h, n = (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())
+            first, k, w = least_runs(h.astype(np.int64).view(np.uint64), n, sizes, min_words)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[first]
+            p = first - (np.cumsum(sizes) - sizes)[doc]
+            out = [batch.column(0).take(pa.array(doc)), pa.array(w.view(np.int64)), pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, names=["o", "w", "p", "k"])
 
     return run
 
 
-def _zipped(here: list[int], there: list[int]) -> Iterator[tuple[int, int]]:
-    """Every position of both lists at least once, without their product."""
-    for k in range(max(len(here), len(there))):
-        yield here[min(k, len(here) - 1)], there[min(k, len(there) - 1)]
-
-
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Each row of ``docs`` without its text as struct ``row``, the text after deletion as ``clean``, and numbers of lines before and deleted."""
     spark = docs.sparkSession
@@ -146,20 +171,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     t = F.col(text).cast("string")
     order = F.struct(F.col(key).isNull().alias("last"), F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"))
     base = docs.select(order.alias("o"), t.alias("t"))
-    # one row for each document and line, repeated rows of a document being one
-    lines = line_positions(base.where("t is not null")).groupBy("o", "h").agg(F.array_sort(F.collect_set("p")).alias("p"), F.max("n").alias("n"))
-    lines = scratch.save(lines, "lines")
-    # the owner keeps its positions; a line that stands alone in the corpus is no one's partner
-    owned = lines.groupBy("h").agg(F.min(F.struct("o", "p")).alias("first"), F.count("*").alias("df")).where("df > 1").select("h", "first")
-    # a table of its own: then Spark can split the join at a line that very many documents hold
+    runs = scratch.save(line_hashes(base.where("t is not null")).mapInArrow(_runs(min_words), RUNS), "runs")
+    # a run that one document alone holds is no one's partner
+    owned = runs.groupBy("w").agg(F.min("o").alias("first"), F.max("o").alias("final")).where(F.col("first") != F.col("final")).select("w", "first")
+    # a table of its own: then Spark can split the join at a run that very many documents hold
     owned = scratch.save(owned, "owned")
-    shared = lines.join(owned, "h").where(F.col("o") != F.col("first.o"))
-    one = F.struct(F.xxhash64("first.o").alias("owner"), "h", F.col("p").alias("here"), F.col("first.p").alias("there"), "n")
-    pairs = shared.groupBy("o").agg(F.collect_list(one).alias("m"))
-    # a pair needs one rare line: long enough, and once in either document
-    rare = F.exists("m", lambda m: (F.size(m["here"]) == 1) & (F.size(m["there"]) == 1) & (m["n"] >= ANCHOR_WORDS))
-    decided = pairs.where(rare).mapInArrow(_decide(min_words), "o struct<last:boolean,id:long,th:long>, gone array<int>").where(F.size("gone") > 0)
-    decided = scratch.save(decided.select(F.col("o.id").alias("id"), F.col("o.th").alias("th"), "gone"), "decided")
+    later = runs.join(owned, "w").where(F.col("o") != F.col("first"))
+    found = later.groupBy("o").agg(F.collect_set(F.struct("p", "k")).alias("m"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda m: F.sequence(m["p"], m["p"] + m["k"] - 1)))))
+    decided = scratch.save(found.select(F.col("o.id").alias("id"), F.col("o.th").alias("th"), gone.alias("gone")), "decided")
     # a short list of deletions goes to the texts; a long one is joined by shuffle
     n, positions = decided.agg(F.count("*"), F.sum(F.size("gone"))).first()
     if n <= BROADCAST_ROWS and (positions or 0) <= BROADCAST_POSITIONS:

@@ -45,6 +45,49 @@ def test_line_dedup_on_odd_rows(spark):
     assert {r.row.doc_id: r.n_deleted for r in lines.dedup(null_last).collect()} == {None: 1, 3: 0}
 
 
+def brute_runs(texts, min_words=lines.MIN_WORDS):
+    """Lines of the later texts that lie in a block of enough words which an earlier text holds: every pair, every diagonal."""
+    split = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    out = []
+    for d, late in enumerate(split):
+        gone = set()
+        for early in split[:d]:
+            for shift in range(-len(early), len(late)):
+                block = []
+                for x in range(len(late) + 1):
+                    if x < len(late) and 0 <= x - shift < len(early) and late[x] == early[x - shift]:
+                        block.append(x)
+                        continue
+                    if sum(len(late[p].split()) for p in block) >= min_words:
+                        gone.update(block)
+                    block = []
+        out.append(gone)
+    return split, out
+
+
+def held(spark, texts):
+    """The query's result for texts in the order of their ids, after comparing it with brute force over all pairs."""
+    split, want = brute_runs(texts)
+    got = {r.row.doc_id: (r.clean, r.n_deleted) for r in lines.dedup(docs_of(spark, list(enumerate(texts)))).collect()}
+    for d, gone in enumerate(want):
+        assert got[d] == ("\n".join(x for p, x in enumerate(split[d]) if p not in gone), len(gone))
+    return split, want
+
+
+def test_lines_of_one_passage_with_different_owners(spark):
+    one, two, three = "a line of six words here", "one of just five words", "and another one of six words"
+    split, want = held(spark, [f"licence text\n{two}\nits end", f"start\n{one}\n{two}\n{three}\nlast", f"other\n{one}\n{two}\n{three}\nmore"])
+    assert want == [set(), set(), {1, 2, 3}]
+    rng = random.Random(5)
+    pool = [" ".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(9)]
+    split, want = held(spark, ["\n".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(60)])
+    # at least what patience diff with every earlier document finds
+    for d, late in enumerate(split):
+        for e, early in enumerate(split[:d]):
+            matches = [(e, x, p, q, len(x.split())) for p, x in enumerate(late) for q, y in enumerate(early) if x == y]
+            assert set(lines.deletions(matches)) <= want[d]
+
+
 # embeddings
 
 
