@@ -88,6 +88,14 @@ def test_lines_of_one_passage_with_different_owners(spark):
             assert set(lines.deletions(matches)) <= want[d]
 
 
+def test_lines_that_repeat_within_a_document(spark):
+    line, short = "one line that repeats and holds as many as ten words", "two words"
+    # the owner holds it twice; the later one does; nothing else is in either; only short lines, all repeated
+    texts = [f"{line}\na\n{line}", f"b\n{line}", f"{line}\nc\n{line}\nd", f"{line}\na\n{line}", "\n".join([short] * 6), "\n".join([short] * 6), "\n".join([short] * 4)]
+    split, want = held(spark, texts)
+    assert want == [set(), {1}, {0, 2}, {0, 1, 2}, set(), set(range(6)), set()]
+
+
 # embeddings
 
 
