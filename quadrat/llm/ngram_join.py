@@ -570,7 +570,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sets = scratch.save(one.select("text").mapInArrow(_sets, "fp long, s binary"), "sets")
 
     tried = scratch.save(best.union(near).distinct(), "tried")
-    tiles = scratch.save(_tiles(tried, star, scratch), "tiles")
+    tiles = scratch.save(_tiles(tried, star, scratch), "dealt")
+    # a class that neither a tried pair nor a kept centre places has a tile of its own
+    alone = involved.withColumnRenamed("fp", "node").join(tiles, F.col("node") == F.col("fp"), "left_anti")
+    tiles = scratch.save(tiles.union(alone.select(F.col("node").alias("fp"), F.xxhash64("node", F.lit(0)).alias("tile"))), "tiles")
     links = scratch.save(_links(tried, sets, tiles, scratch, "r1"), "links1")
     comps = scratch.save(connected_components(links, scratch, "round1"), "comps1")
     of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
@@ -594,7 +597,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     full = sets.join(_small(wanted), "fp").select("key", "fp", "comp", "s").repartition(partitions(spark), "key").sortWithinPartitions("key")
     sparse = rest.join(dense, ["x", "y"], "left_anti")
     links = scratch.save(links.union(full.mapInArrow(_dense, "a long, b long")).union(_links(sparse, sets, tiles, scratch, "r2")), "links2")
-    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried", "tiles", "cluster", "rest", "dense", "star", "chosen", "wanted", "r1-placed", "r1-needed", "r2-placed", "r2-needed")
+    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried", "dealt", "tiles", "cluster", "rest", "dense", "star", "chosen", "wanted", "r1-placed", "r1-needed", "r2-placed", "r2-needed")
     comps = connected_components(links, scratch, "round2")
 
     smallest = rows.join(comps, rows["fp"] == comps["node"]).groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -189,6 +189,14 @@ def test_join_with_hot_nodes(spark, monkeypatch):
     assert check_join(spark, join_rows(2, 40)) > 100
 
 
+def test_join_places_every_class(spark, monkeypatch):
+    """Classes that nothing deals into a tile are compared all the same."""
+    dealt = ngram_join._tiles
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "_tiles", lambda *args: dealt(*args).where("fp % 3 <> 0"))
+    assert check_join(spark, join_rows(2, 40)) > 100
+
+
 def test_join_of_one_large_group(spark):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(80)]
