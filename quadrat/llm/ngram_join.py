@@ -1,20 +1,21 @@
 """N-gram Jaccard self-join by prefix trees.
 
-A document's set holds the hashes of its distinct word 5-grams. Sets are put in one global order,
-common n-grams last, and their prefixes (what any partner of similarity 0.75 must share a part of)
-are stored in tries, one for each slice of the hash range, so that Spark shuffles slices and no task
-needs the whole order. Within a trie, documents with the same path share one leaf: an overlap is
-counted once for all of them. Leaves that meet at a node add to their partial overlap, subtrees
-whose sizes cannot reach the similarity are pruned, and a pair of documents survives only if its
-partial overlaps and what can still follow after the prefixes reach the required overlap. Survivors
-are verified on whole sets.
-
-Skew. Documents with equal sets are one class from the start. Where more than ``SMALL`` leaves meet at
-a node, or a leaf holds very many documents, pairs are not listed at once: these hot nodes are kept
-as lists of members. All members are first compared with one centre, the class with most hot nodes. Verified links are
-joined into components. Where pairs of different components still pass the bounds, their classes are compared by tiles:
-two tiles of about ``TILE`` classes travel to one task, which multiplies 0-1 matrices of their n-grams and returns
-a forest. So pairs of a large group are not listed or shuffled, and no pair that could join two components is skipped.
+A document's set holds the hashes of its distinct word 5-grams. Sets are put in one global order, common n-grams last,
+and their prefixes (of which any partner of similarity 0.75 must share a part) are stored in tries, one for each slice of
+the hash range, so that Spark shuffles slices and no task needs the whole order. N-grams that the same sets pass are one
+node with their number as weight: an overlap is counted once for all sets below. From then on the tries are a table (node, weight, set).
+
+1. A star instead of pairs: at every node the set that shares most n-grams with others is the centre, and each set tries the centre that
+   it shares most with. Verified links are joined into components.
+2. Nodes whose sets lie in one component are done. At the others, pairs of sets of different components are held against the
+   remaining-length bounds (``_may_link``): what both share in their prefixes, and what can follow after the prefix that ends first.
+   Pairs are not listed: what survives is dealt into pairs of tiles (groups of near sets), and the sets of two tiles
+   meet in one task, which multiplies 0-1 matrices of their n-grams and returns a forest.
+
+No pair that could join two components is skipped, so the result is exact.
+
+Skew. Documents with equal sets are one class from the start. A node that more than ``HOT`` sets pass is split into blocks by size
+and hash, and every pair of blocks whose sizes allow a link is a unit of work of its own; its sets of one component are never compared.
 
 The global order comes from a counting sketch of fixed size (``SKETCH_BITS``): only n-grams that stand
 out are moved back, all others are ordered by hash. Any order gives the same, exact result. Hashes have 64 bits.
@@ -42,11 +43,13 @@ N = 5
 PERCENT = 75
 SKETCH_BITS = 20
 CHUNKS = 16
-#: Leaves at one node, and documents on each side of a leaf pair, up to which pairs are listed at once.
-SMALL = 48
-#: Pairs of classes between two tiles from which all of their classes are compared at once.
-DENSE = 64
+#: Sets below a node up to which they are compared in one task; more are split into blocks of about so many.
+HOT = 1024
+#: Sets of a group that are multiplied at once, with as many of another group.
+TILE = 128
 FLUSH = 2_000_000
+#: Entries of a slice, about.
+SLICE = 2_000_000
 
 
 class _WordHash(dict):
@@ -92,11 +95,6 @@ def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Order keys: 6 bits of heaviness, then the hash."""
-    return (heavy[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-
-
 TEXTS = ("doc_id", "th", "text")
 
 
@@ -147,26 +145,34 @@ def _heaviness(first: DataFrame, spark: SparkSession) -> np.ndarray:
     return out
 
 
-ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8"), ("n", "<u4")])
-#: Order keys up to which every class counts its tokens, around a quarter of the hash range where prefixes end, and the
-#: class with these counts; reach: how many of the thresholds its prefix covers.
-THRESHOLDS = np.arange(18, 51, dtype=np.uint64) << np.uint64(51)
-CLASS = np.dtype([("fp", "<i8"), ("n", "<u4"), ("reach", "<u4"), ("below", "<u4", (len(THRESHOLDS),))])
+ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8")])
+#: Places in the global order, below which every set counts its n-grams: around a quarter of the common range of hashes, where
+#: prefixes end, then the end of that range and steps of heaviness.
+THRESHOLDS = np.concatenate([np.linspace(0.14, 0.4, 15) * 2.0**56, np.linspace(0.45, 0.95, 11) * 2.0**56, np.array([1, 8, 9, 10, 11, 12, 13, 14, 16]) * 2.0**56]).astype(np.uint64)
+#: A set: its size, how many of the thresholds its prefix reaches, and its n-grams before each of them.
+CLASS = np.dtype([("fp", "<i8"), ("n", "<u4"), ("reach", "<u4"), ("below", "<u2", (len(THRESHOLDS),))])
 SLICES = "part int, entries binary"
 
 
+def described(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """(prefix, thresholds that it reaches, n-grams below each threshold) of a sorted set.
+
+    The global order is by heaviness, then by hash. Counts stop at 65,535: less than the truth only weakens a bound.
+    """
+    weight = heavy[s >> np.uint64(64 - SKETCH_BITS)]
+    order = np.argsort(weight, kind="stable")
+    place = (weight[order].astype(np.uint64) << np.uint64(56)) | (s[order] >> np.uint64(8))
+    p = int(prefix_length(len(s)))
+    return s[order[:p]], int(np.searchsorted(THRESHOLDS, place[p - 1], side="right")), np.minimum(np.searchsorted(place, THRESHOLDS), 65_535)
+
+
 def _second_pass(heavy, parts: int):
-    """Prefixes as packed entries, dealt by slices of the hash range; under parts..2*parts-1 the classes themselves."""
+    """Prefixes of the distinct sets as packed entries, dealt by slices of the hash range; the sets themselves in slice -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weight = _WordHash(), heavy.value
         held: list[np.ndarray] = []
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for part, x in held_parts(held, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "entries"])
-
         for batch in batches:
             seen: set[int] = set()
             classes = []
@@ -175,165 +181,88 @@ def _second_pass(heavy, parts: int):
                 if not len(s) or (fp := set_id(s)) in seen:
                     continue
                 seen.add(fp)
-                key = _ordered(s, weight)
-                p = int(prefix_length(len(s)))
-                first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                e = np.empty(p, ENTRY)
-                e["token"], e["fp"], e["n"] = s[first], fp, len(s)
+                first, reach, below = described(s, weight)
+                classes.append((fp, len(s), reach, below))
+                e = np.empty(len(first), ENTRY)
+                e["token"], e["fp"] = first, fp
                 held.append(e)
-                size += p
-                light = key[weight[s >> np.uint64(64 - SKETCH_BITS)] == 0]
-                below = np.searchsorted(light, THRESHOLDS, side="right")
-                classes.append((fp, len(s), int(np.searchsorted(THRESHOLDS, key[first].max(), side="right")), below))
+                size += len(e)
                 if size >= FLUSH:
-                    yield from flush()
-                    held.clear()
-                    size = 0
+                    yield _dealt(held, parts)
+                    held, size = [], 0
             if classes:
-                c = np.array(classes, CLASS)
-                order = np.argsort(c["fp"] % parts, kind="stable")
-                c = c[order]
-                at, starts = np.unique(c["fp"] % parts, return_index=True)
-                blobs = [x.tobytes() for x in np.split(c, starts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(at + parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
-        yield from flush()
+                yield _dealt([np.array(classes, CLASS)], parts)
+        if held:
+            yield _dealt(held, parts)
 
     return run
 
 
-def held_parts(held: list[np.ndarray], parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    if not held:
-        return
+def _dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
     e = np.concatenate(held)
-    part = (e["token"] % np.uint64(parts)).astype(np.int32)
+    of_sets = e.dtype == CLASS
+    part = (e["fp"].view(np.uint64) if of_sets else e["token"]) % np.uint64(parts)
+    part = part.astype(np.int32) + parts * of_sets
     order = np.argsort(part, kind="stable")
     at, starts = np.unique(part[order], return_index=True)
-    for p, rows in zip(at.tolist(), np.split(order, starts[1:]), strict=True):
-        yield p, e[rows]
-
+    blobs = [e[rows].tobytes() for rows in np.split(order, starts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
-#: kind 0: a pair a, b with partial overlap c; 1: b is a member of hot node a; 2: up to c tokens of a are not in
-#: the pairs' overlaps; 3: class a, with c its reach and its counts up to the thresholds. na, nb: sizes.
-FOUND = "kind int, a long, b long, c int, na int, nb int, below array<int>"
 
-
-def _rows(kind, a, b, c, na, nb, below: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(a)
-    full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n))
-    lists = pa.nulls(n, pa.list_(pa.int32()))
-    if below is not None:
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * below.shape[1]), pa.array(below.astype(np.int32).ravel()))
-    return pa.RecordBatch.from_arrays([full(kind, np.int32), full(a, np.int64), full(b, np.int64), full(c, np.int32), full(na, np.int32), full(nb, np.int32), lists], names=["kind", "a", "b", "c", "na", "nb", "below"])
-
-
-def _near_sizes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(x, y).astype(np.int64) >= PERCENT * np.maximum(x, y).astype(np.int64)
+#: The set fp below a node of a trie, which stands for w n-grams in a row with the same sets below them; without a node: the set itself.
+NODES = "node long, w int, fp long, n int, reach int, below binary"
 
 
 def _starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.empty(0, np.int64)
 
 
-def trie_join(e: np.ndarray, most: int = SMALL) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps within one slice of the hash range."""
-    order = np.argsort(e["token"], kind="stable")
-    start = _starts(e["token"][order])
-    many = np.repeat(np.diff(np.r_[start, len(order)]) > 1, np.diff(np.r_[start, len(order)]))
-    e = e[order[many]]
+def trie(e: np.ndarray) -> np.ndarray:
+    """The nodes of one slice that two sets or more pass, as rows (node, w, fp)."""
+    out = np.dtype([("node", "<i8"), ("w", "<i4"), ("fp", "<i8")])
+    # one row for each n-gram and set, by n-gram; n-grams of one set alone end no path
+    e = e[np.lexsort((e["fp"], e["token"]))]
+    e = e[np.r_[True, (e["fp"][1:] != e["fp"][:-1]) | (e["token"][1:] != e["token"][:-1])]] if len(e) else e
+    start = _starts(e["token"])
+    width = np.diff(np.r_[start, len(e)])
+    e, width = e[np.repeat(width > 1, width)], width[width > 1]
     if not len(e):
-        return
-    e = e[np.lexsort((e["token"], e["fp"]))]
-    e = e[np.r_[True, (e["fp"][1:] != e["fp"][:-1]) | (e["token"][1:] != e["token"][:-1])]]
-    # documents, each a path of tokens; equal paths end in one leaf
-    doc_start = _starts(e["fp"])
-    fp, n, length = e["fp"][doc_start], e["n"][doc_start].astype(np.int64), np.diff(np.r_[doc_start, len(e)])
-    path = np.add.reduceat(_mix(e["token"] ^ np.uint64(0x5851F42D4C957F2D)), doc_start) + length.astype(np.uint64)
-    by_leaf = np.lexsort((n, path))
-    leaf_start = _starts(path[by_leaf])
-    members = np.split(by_leaf, leaf_start[1:])
-    size = np.diff(np.r_[leaf_start, len(by_leaf)])
-    leaf_of = np.empty(len(fp), np.int64)
-    leaf_of[by_leaf] = np.repeat(np.arange(len(size)), size)
-    first = np.array([m[0] for m in members])
-    small, large = n[first], n[np.array([m[-1] for m in members])]
-    # one document of each leaf stands for its path: nodes hold leaves
-    is_first = np.zeros(len(fp), bool)
-    is_first[first] = True
-    at = np.repeat(np.arange(len(fp)), length)
-    keep = is_first[at]
-    token, leaf = e["token"][keep], leaf_of[at[keep]]
-    order = np.argsort(token, kind="stable")
-    token, leaf = token[order], leaf[order]
-    start = _starts(token)
-    width = np.diff(np.r_[start, len(token)])
-    hot_docs: list[np.ndarray] = []
-
-    def hot(node: int, docs: np.ndarray) -> pa.RecordBatch:
-        hot_docs.append(docs)
-        return _rows(1, np.full(len(docs), node, np.int64), fp[docs], 0, 0, n[docs])
-
-    keys: list[np.ndarray] = []
-    for g in np.unique(width).tolist():
-        if g == 1:
-            continue
-        nodes = start[width == g]
-        if g > most:
-            for s in nodes.tolist():
-                yield hot(int(token[s].view(np.int64)), np.concatenate([members[x] for x in leaf[s : s + g].tolist()]))
-            continue
-        i, j = np.triu_indices(g, 1)
-        for block in np.array_split(nodes, max(1, len(nodes) * len(i) // 4_000_000)):
-            rows = np.sort(leaf[block[:, None] + np.arange(g)], axis=1)
-            x, y = rows[:, i].ravel(), rows[:, j].ravel()
-            fits = 100 * np.minimum(large[x], large[y]) >= PERCENT * np.maximum(small[x], small[y])
-            keys.append(x[fits] * np.int64(len(size)) + y[fits])
-    x = y = c = np.empty(0, np.int64)
-    if keys:
-        key, c = np.unique(np.concatenate(keys), return_counts=True)
-        x, y = np.divmod(key, len(size))
-    within = np.flatnonzero(size > 1)
-    x, y, c = np.r_[x, within], np.r_[y, within], np.r_[c, length[first[within]]]
-    alone = (size[x] == 1) & (size[y] == 1) & (x != y)
-    a, b, o = [first[x[alone]]], [first[y[alone]]], [c[alone]]
-    for u, v, k in zip(x[~alone].tolist(), y[~alone].tolist(), c[~alone].tolist(), strict=True):
-        if size[u] * size[v] > most * most:
-            docs = members[u] if u == v else np.r_[members[u], members[v]]
-            yield hot(int((path[u] ^ (path[v] << np.uint64(1))).view(np.int64)), docs)
-            continue
-        if u == v:
-            i, j = np.triu_indices(int(size[u]), 1)
-            a.append(members[u][i])
-            b.append(members[u][j])
-        else:
-            a.append(np.repeat(members[u], size[v]))
-            b.append(np.tile(members[v], size[u]))
-        o.append(np.full(len(a[-1]), k, np.int64))
-    a, b, o = np.concatenate(a), np.concatenate(b), np.concatenate(o)
-    fits = _near_sizes(n[a], n[b])
-    a, b, o = a[fits], b[fits], o[fits]
-    swap = fp[a] > fp[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    for k in range(0, len(a), 500_000):
-        s = slice(k, k + 500_000)
-        yield _rows(0, fp[a[s]], fp[b[s]], o[s], n[a[s]], n[b[s]])
-    if hot_docs:
-        d = np.unique(np.concatenate(hot_docs))
-        yield _rows(2, fp[d], 0, length[d], n[d], 0)
-
-
-def _tries(parts: int, most: int):
+        return np.empty(0, out)
+    start = np.cumsum(width) - width
+    # n-grams that the same sets hold are one node
+    below = np.add.reduceat(_mix(e["fp"].view(np.uint64)), start) + width.astype(np.uint64)
+    _, first, same = np.unique(below, return_index=True, return_counts=True)
+    rows = np.repeat(start[first] - (np.cumsum(width[first]) - width[first]), width[first]) + np.arange(width[first].sum())
+    nodes = np.empty(len(rows), out)
+    nodes["node"], nodes["w"] = np.repeat(e["token"][start[first]].view(np.int64), width[first]), np.repeat(same, width[first])
+    nodes["fp"] = e["fp"][rows]
+    return nodes
+
+
+def _node_rows(x: np.ndarray) -> pa.RecordBatch:
+    n = len(x)
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())]
+    of = lambda c, t: pa.array(np.ascontiguousarray(x[c]).astype(t))
+    if x.dtype == CLASS:
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * len(THRESHOLDS)), n, [None, pa.py_buffer(x["below"].tobytes())]).cast(pa.binary())
+        columns = [none[0], none[1], of("fp", np.int64), of("n", np.int32), of("reach", np.int32), flat]
+    else:
+        columns = [of("node", np.int64), of("w", np.int32), of("fp", np.int64), *none[2:]]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "w", "fp", "n", "reach", "below"])
+
+
+def _tries(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, []
+        """Rows come sorted by slice: part, entries."""
+        now, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            e = np.concatenate(held)
-            if now < parts:
-                yield from trie_join(e, most)
-            else:
-                e = e[np.unique(e["fp"], return_index=True)[1]]
-                yield _rows(3, e["fp"], 0, e["reach"], e["n"], 0, e["below"])
+            x = np.concatenate(held)
+            x = x[np.unique(x["fp"], return_index=True)[1]] if x.dtype == CLASS else trie(x)
+            for k in range(0, len(x), 200_000):
+                yield _node_rows(x[k : k + 200_000])
 
         for batch in batches:
             for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -354,111 +283,110 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["fp", "s"])
 
 
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
+def _below(blobs: pa.Array) -> np.ndarray:
+    """Counts below each threshold, after a column of zeros."""
+    x = np.frombuffer(b"".join(x.as_py() for x in blobs), np.uint16).reshape(len(blobs), -1)
+    return np.concatenate([np.zeros((len(x), 1), np.int32), x], axis=1)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile, its sets (b null) before its pairs: tile, a, b, s."""
-    now, sets = None, {}
-    for batch in batches:
-        tile, first, second = (batch.column(i).to_pylist() for i in range(3))
-        a, b = [], []
-        for k in range(batch.num_rows):
-            if tile[k] != now:
-                now, sets = tile[k], {}
-            if second[k] is None:
-                sets[first[k]] = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-                continue
-            x, y = sets[first[k]], sets[second[k]]
-            if _overlap(x, y) >= required(len(x), len(y)):
-                a.append(first[k])
-                b.append(second[k])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-#: Classes of one tile. A set travels once for each pair of tiles that has a pair of its, not once for each pair.
-TILE = 128
-
-
-def _tiles(tried: DataFrame, centres: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fp, tile): classes are dealt into tiles of about ``TILE``, near ones together.
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray, reach: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (a, b) the remaining-length bounds let be linked.
 
-    Classes that tried pairs connect belong together, and members of hot nodes without such a pair with their centre (a, z).
+    n: n-grams, s: those of the prefix that another prefix holds. Up to the last threshold that both prefixes reach, what is
+    common is in both prefixes, so no more than the lesser s; beyond it, each range between thresholds gives the lesser of two counts.
     """
-    cluster = scratch.save(connected_components(tried, scratch, "clusters"), "cluster")
-    alone = centres.union(centres.select("z", "z")).groupBy(F.col("a").alias("node")).agg(F.min("z").alias("comp"))
-    cluster = cluster.union(alone.join(cluster.select("node"), "node", "left_anti"))
-    size = cluster.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("n"))
-    return cluster.join(size, "comp").select(F.col("node").alias("fp"), F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("n"))).alias("tile"))
-
-
-#: Lists of ids (24 bytes a row at most) up to this many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-
-
-def _links(pairs: DataFrame, sets: DataFrame, tiles: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    at = lambda s: tiles.select(F.col("fp").alias(s), F.col("tile").alias(f"t{s}"))
-    placed = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
-    placed = scratch.save(placed.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile")), f"{tag}-placed")
-    needed = scratch.save(placed.select("tile", F.explode(F.array("a", "b")).alias("fp")).distinct(), f"{tag}-needed")
-    rows = sets.join(_small(needed), "fp").select("tile", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "s")
-    rows = rows.unionByName(placed.select("tile", "a", "b", F.lit(None).cast("binary").alias("s")))
-    return rows.repartition(partitions(pairs.sparkSession), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
+    fits = np.flatnonzero(100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+    x, y = a[fits], b[fits]
+    at = np.minimum(reach[x], reach[y])
+    least = required(n[x], n[y]) - np.minimum(s[x], s[y])
+    more = np.minimum(n[x] - below[x, at], n[y] - below[y, at]) >= least
+    fits, x, y, at, least = fits[more], x[more], y[more], at[more], least[more]
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(fits), 100_000):
+        i, j, t = x[k : k + 100_000], y[k : k + 100_000], at[k : k + 100_000]
+        rest = np.minimum(np.diff(below[i], axis=1, append=n[i, None]), np.diff(below[j], axis=1, append=n[j, None]))
+        rest[np.arange(rest.shape[1]) < t[:, None]] = 0
+        out[fits[k : k + 100_000]] = rest.sum(axis=1) >= least[k : k + 100_000]
+    return out
 
 
-def _required(na: str = "na", nb: str = "nb"):
-    return F.expr(f"({PERCENT} * ({na} + {nb}) + {99 + PERCENT}) div {100 + PERCENT}")
+def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp, z and both sides' n, s, reach, below -> the pairs (fp, z) that may be linked."""
+    for batch in batches:
+        k = batch.num_rows
+        n, s, reach = (np.concatenate([batch.column(c).to_numpy(), batch.column(c + 4).to_numpy()]).astype(np.int64) for c in (2, 3, 4))
+        below = np.concatenate([_below(batch.column(5)), _below(batch.column(9))]) if k else np.zeros((0, len(THRESHOLDS) + 1), np.int32)
+        keep = pa.array(_may_link(np.arange(k), np.arange(k) + k, n, s, reach, below))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["fp", "z"])
 
 
-def _hot_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of tiles that have a pair of classes of different components that passes the bounds at a hot node.
+UNITS = ("unit", "fp", "n", "s", "reach", "comp", "tile", "side", "below")
 
-    Rows come sorted by node: node, n, h, reach, comp, tile, below.
-    """
-    now, held = None, []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        n, h, reach, comp, tile = (np.concatenate([x[i] for x in held]).astype(np.int64) for i in range(5))
-        below = np.concatenate([x[5] for x in held]).astype(np.int64)
-        order = np.argsort(n, kind="stable")
-        n, h, reach, comp, tile, below = n[order], h[order], reach[order], comp[order], tile[order], below[order]
-        end = np.searchsorted(n * PERCENT, n * 100, side="right")
-        tiles, tile = np.unique(tile, return_inverse=True)
-        found = np.zeros((len(tiles), len(tiles)), bool)
-        for k in range(len(n)):
-            j = np.arange(k + 1, end[k])
-            j = j[(comp[j] != comp[k]) & ~found[tile[k], tile[j]]]
-            if not len(j):
-                continue
-            at = np.minimum(reach[k], reach[j])
-            after = np.minimum(n[k] - below[k, at], n[j] - below[j, at])
-            t = tile[j[np.minimum(h[k], h[j]) >= required(n[k], n[j]) - after]]
-            found[tile[k], t] = found[t, tile[k]] = True
-        x, y = np.nonzero(np.triu(found))
-        yield pa.RecordBatch.from_arrays([pa.array(tiles[x]), pa.array(tiles[y])], names=["x", "y"])
 
+def _unit_pairs(start: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within each unit, in blocks of bounded size."""
+    for g in np.unique(width).tolist():
+        at = start[width == g]
+        if g <= 64:
+            i, j = np.triu_indices(g, 1)
+            for some in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+                yield (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+            continue
+        step = max(1, 1_000_000 // g)
+        for s in at.tolist():
+            for k in range(0, g, step):
+                i, j = np.meshgrid(np.arange(k, min(k + step, g)), np.arange(k, g), indexing="ij")
+                later = j > i
+                yield s + i[later], s + j[later]
+
+
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of different components that may be linked, both sets under the pair of their tiles. Rows come sorted by unit."""
+    found = np.dtype([("key", "<i8"), ("fp", "<i8"), ("comp", "<i8")])
+    held: list[tuple] = []
+    out = np.empty(0, found)
+
+    def pairs(x: tuple) -> np.ndarray:
+        unit, fp, n, s, reach, comp, tile, side, below = x
+        start = _starts(unit)
+        got = [np.empty(0, found)]
+        for a, b in _unit_pairs(start, np.diff(np.r_[start, len(unit)])):
+            # 1 and 2 are the two blocks of a split node, 3 is the whole node or a block with itself
+            cross = (comp[a] != comp[b]) & ((side[a] == 3) | (side[a] != side[b]))
+            a, b = a[cross], b[cross]
+            may = _may_link(a, b, n, s, reach, below)
+            a, b = a[may], b[may]
+            low, high = np.minimum(tile[a], tile[b]).view(np.uint64), np.maximum(tile[a], tile[b]).view(np.uint64)
+            rows = np.empty(2 * len(a), found)
+            rows["key"] = np.tile(_mix(_mix(low) ^ high).view(np.int64), 2)
+            rows["fp"], rows["comp"] = fp[np.r_[a, b]], comp[np.r_[a, b]]
+            got.append(np.unique(rows))
+        return np.unique(np.concatenate(got))
+
+    def batch_of(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in found.names], names=list(found.names))
+
+    def joined() -> tuple:
+        return tuple(np.concatenate([x[c] for x in held]) for c in range(len(UNITS)))
+
+    size = 0
     for batch in batches:
-        node, *rest = (batch.column(i).to_numpy() for i in range(6))
-        lists = batch.column(6).flatten().to_numpy().reshape(-1, len(THRESHOLDS))
-        below = np.concatenate([np.zeros((len(node), 1), np.int32), lists], axis=1)
-        cut = _starts(node).tolist()
-        for s, t in zip(cut, [*cut[1:], len(node)], strict=True):
-            if node[s] != now:
-                if held:
-                    yield from done()
-                now, held = node[s], []
-            held.append((*(x[s:t] for x in rest), below[s:t]))
+        if not batch.num_rows:
+            continue
+        held.append((*(batch.column(c).to_numpy().astype(np.int64) for c in range(8)), _below(batch.column(8))))
+        size += batch.num_rows
+        if size < 50_000:
+            continue
+        x = joined()
+        last = int(_starts(x[0])[-1])  # the last unit may go on
+        out = np.unique(np.concatenate([out, pairs(tuple(c[:last] for c in x))]))
+        held, size = [tuple(c[last:] for c in x)], len(x[0]) - last
+        if len(out) > 2_000_000:
+            yield batch_of(out)
+            out = np.empty(0, found)
     if held:
-        yield from done()
+        out = np.unique(np.concatenate([out, pairs(joined())]))
+    yield batch_of(out)
 
 
 def _all_overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -473,22 +401,22 @@ def _all_overlaps(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.float32)
     if len(column):
         column = np.cumsum(np.r_[0, column[1:] != column[:-1]])
-        for k in range(0, int(column[-1]) + 1, 8192):
-            s, t = np.searchsorted(column, [k, k + 8192])
-            x = np.zeros((len(sets), 8192), np.float32)
+        step = min(8192, int(column[-1]) + 1)
+        for k in range(0, int(column[-1]) + 1, step):
+            s, t = np.searchsorted(column, [k, k + step])
+            x = np.zeros((len(sets), step), np.float32)
             x[owner[s:t], column[s:t] - k] = 1
             out += x @ x.T
     return out
 
 
-def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All linked classes of a pair of tiles, as a forest: rows come sorted by key: key, fp, comp, s."""
-    now, held = None, []
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All linked sets of different components under one key, as a forest: rows come sorted by key: key, fp, comp, s."""
+    now, held = None, {}
 
     def done() -> pa.RecordBatch:
-        fp = [x[0] for x in held]
-        comp = np.array([x[1] for x in held], np.int64)
-        sets = [np.frombuffer(x[2], np.uint64) for x in held]
+        fp, comp = list(held), np.array([c for c, _ in held.values()], np.int64)
+        sets = [np.frombuffer(s, np.uint64) for _, s in held.values()]
         n = np.array([len(x) for x in sets])
         links = (_all_overlaps(sets) >= required(n[:, None], n[None, :])) & (comp[:, None] != comp[None, :])
         root, a, b = {c: c for c in comp.tolist()}, [], []
@@ -512,93 +440,91 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key != now:
                 if held:
                     yield done()
-                now, held = key, []
-            held.append((fp, comp, s))
+                now, held = key, {}
+            held[fp] = comp, s
     if held:
         yield done()
 
 
+#: Lists of ids (24 bytes a row at most) up to this many rows are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def _links(wanted: DataFrame, rows: DataFrame, texts: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """Links (a, b) among the sets under each key of ``wanted`` (key, fp, comp), as forests. A set is made once, from one of its texts."""
+    involved = wanted.select("fp").distinct()
+    chosen = rows.join(involved, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
+    chosen = _small(scratch.save(chosen, f"{tag}-chosen"))
+    one = texts.alias("t").join(chosen.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")), "left_semi")
+    sets = scratch.save(one.select("text").mapInArrow(_sets, "fp long, s binary"), f"{tag}-sets")
+    full = sets.join(_small(wanted), "fp").select("key", "fp", "comp", "s").repartition(partitions(sets.sparkSession), "key").sortWithinPartitions("key")
+    return scratch.save(full.mapInArrow(_linked, "a long, b long"), f"{tag}-links")
+
+
+def _dealt_tiles(groups: DataFrame) -> DataFrame:
+    """(fp, group) -> with ``tile``: a group is dealt into tiles of about ``TILE`` sets."""
+    size = groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    return groups.join(size, "group").withColumn("tile", F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("tiles")))).drop("tiles")
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """Members of nodes by units of work: a whole node, or a pair of blocks of a hot one whose sizes allow a link."""
+    whole = members.where(F.col("k") <= HOT).withColumn("unit", F.col("node")).withColumn("side", F.lit(3))
+    # partners differ by a third of their size at most: they are in the same range of sizes or the next
+    blocks = F.ceil(F.col("k") / HOT)
+    x = members.where(F.col("k") > HOT).withColumn("blocks", blocks).withColumn("range", F.floor(F.ln("n") / F.lit(float(np.log(1.35)))))
+    x = x.withColumn("own", F.col("range") * F.col("blocks") + F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    x = x.withColumn("other", F.explode(F.sequence((F.col("range") - 1) * F.col("blocks"), (F.col("range") + 2) * F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    split = x.withColumn("unit", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", side)
+    return whole.select(*UNITS).union(split.select(*UNITS))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    parts = 4 * partitions(spark)
     texts = _texts(docs, key, text)
     first = scratch.save(texts.mapInArrow(_first_pass, "doc_id long, th long, n int, fp long, chunk int, counts binary"), "first")
     heavy = spark.sparkContext.broadcast(_heaviness(first, spark))
     rows = first.where("chunk is null").select("doc_id", "th", "n", "fp")
-    slices = texts.mapInArrow(_second_pass(heavy, parts), SLICES)
-    found = slices.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_tries(parts, SMALL), FOUND)
-    found = scratch.save(found, "found")
-
-    uncounted = found.where("kind = 2").groupBy("a").agg(F.sum("c").alias("h"))
-    known = found.where("kind = 3").select("a", F.col("c").alias("reach"), F.col("na").alias("n"), "below").join(uncounted, "a", "left")
-    own = F.col("n") - F.when(F.col("reach") > 0, F.try_element_at("below", "reach")).otherwise(0)
-    known = scratch.save(known.select("a", "n", "reach", own.alias("after"), F.coalesce("h", F.lit(0)).alias("h"), "below"), "known")
-    at = lambda s, *more: known.select(F.col("a").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reach", "after", "h", *more)])
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # what follows after the prefix that ends first cannot give more than that set still has there
-    rest_a, rest_b = F.when(F.col("reach_a") <= F.col("reach_b"), F.col("after_a")), F.when(F.col("reach_b") <= F.col("reach_a"), F.col("after_b"))
-    most = F.col("c") + F.least("h_a", "h_b")
-    pairs = pairs.join(at("a"), "a").join(at("b"), "b").where(most + F.least(rest_a, rest_b) >= _required()).select("a", "b", "c", "na", "nb")
-    # nor more than the other has beyond the same threshold
-    lists = lambda s: known.select(F.col("a").alias(s), F.col("reach").alias(f"reach_{s}"), F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n_{s}"), F.col("below").alias(f"below_{s}"))
-    reach = F.least("reach_a", "reach_b")
-    beyond = lambda s: F.col(f"n{s}") - F.when(reach > 0, F.try_element_at(f"below_{s}", reach)).otherwise(0)
-    pairs = pairs.join(lists("a"), "a").join(lists("b"), "b").where(most + F.least(beyond("a"), beyond("b")) >= _required())
-    pairs = scratch.save(pairs.select("a", "b", (most / F.greatest("na", "nb")).alias("score")), "pairs")
-
-    member = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("a")).distinct()
-    member = scratch.save(member.join(known.select("a", "n", "h", "reach"), "a"), "members")
-    scratch.drop("found")
-    # every member of a hot node with its centre: each class keeps the centre that it meets at most nodes
-    # the centre is who has most hot nodes: an original shares more with each copy than copies with each other
-    spread = member.groupBy("a").agg(F.count("*").alias("k"))
-    centre = member.join(spread, "a").groupBy("node").agg(F.max(F.struct("k", "a"))["a"].alias("z"))
-    star = member.join(centre, "node").where("a <> z").groupBy("a", "z").agg(F.count("*").alias("k"))
-    star = scratch.save(star.groupBy("a").agg(F.max_by("z", F.struct("k", "z")).alias("z")), "star")
-    # if the bounds let the pair be linked at all
-    near = star.select("a", F.col("z").alias("b")).join(lists("a"), "a").join(lists("b"), "b").withColumnsRenamed({"n_a": "na", "n_b": "nb"})
-    near = near.where(F.least("h_a", "h_b") + F.least(beyond("a"), beyond("b")) >= _required()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # and every class with its best partner
-    both = pairs.select("a", F.col("b").alias("z"), "score").union(pairs.select(F.col("b"), F.col("a"), "score"))
-    best = both.groupBy("a").agg(F.max_by("z", F.struct("score", "z")).alias("z")).select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b"))
-
-    involved = pairs.select("a").union(pairs.select("b")).union(member.select("a")).distinct().withColumnRenamed("a", "fp")
-    chosen = rows.join(involved, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
-    chosen = scratch.save(chosen, "chosen")
-    one = texts.alias("t").join(_small(chosen).alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")), "left_semi")
-    sets = scratch.save(one.select("text").mapInArrow(_sets, "fp long, s binary"), "sets")
-
-    tried = scratch.save(best.union(near).distinct(), "tried")
-    tiles = scratch.save(_tiles(tried, star, scratch), "dealt")
-    # a class that neither a tried pair nor a kept centre places has a tile of its own
-    alone = involved.withColumnRenamed("fp", "node").join(tiles, F.col("node") == F.col("fp"), "left_anti")
-    tiles = scratch.save(tiles.union(alone.select(F.col("node").alias("fp"), F.xxhash64("node", F.lit(0)).alias("tile"))), "tiles")
-    links = scratch.save(_links(tried, sets, tiles, scratch, "r1"), "links1")
+    parts = max(4 * partitions(spark), (rows.agg(F.sum("n")).first()[0] or 0) // (4 * SLICE))
+    slices = texts.mapInArrow(_second_pass(heavy, parts), SLICES).repartition(partitions(spark), "part").sortWithinPartitions("part")
+    found = scratch.save(slices.mapInArrow(_tries(parts), NODES), "found")
+    nodes = found.where("node is not null").select("node", "w", "fp")
+    shared = nodes.groupBy("fp").agg(F.sum("w").alias("s"))
+    known = scratch.save(found.where("node is null").select("fp", "n", "reach", "below").join(shared, "fp").select("fp", "n", "s", "reach", "below"), "known")
+
+    # an original shares more with each copy than copies with each other: it is the centre
+    centre = nodes.join(known.select("fp", "s"), "fp").groupBy("node").agg(F.max(F.struct("s", "fp"))["fp"].alias("z"))
+    # tables of their own, so that Spark can split joins at hot keys
+    centre = scratch.save(centre, "centre")
+    star = nodes.join(centre, "node").where("fp <> z").groupBy("fp", "z").agg(F.sum("w").alias("c"))
+    star = scratch.save(star.groupBy("fp").agg(F.max_by("z", F.struct("c", "z")).alias("z")), "star")
+    tried = star.join(known, "fp").join(known.toDF("z", *[f"{c}_z" for c in known.columns[1:]]), "z")
+    tried = tried.select("fp", "z", *known.columns[1:], *[f"{c}_z" for c in known.columns[1:]]).mapInArrow(_tried, "fp long, z long")
+    tried = scratch.save(_dealt_tiles(tried.withColumnRenamed("z", "group")), "tried")
+    wanted = tried.select("tile", "fp").union(tried.select("tile", "group")).distinct().select(F.col("tile").alias("key"), "fp", F.col("fp").alias("comp"))
+    links = _links(scratch.save(wanted, "wanted1"), rows, texts, scratch, "r1")
     comps = scratch.save(connected_components(links, scratch, "round1"), "comps1")
-    of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
-    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    in_tile = lambda s: tiles.select(F.col("fp").alias(s), F.col("tile").alias(f"t{s}"))
-    rest = rest.join(in_tile("a"), "a").join(in_tile("b"), "b").select("a", "b", F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y"))
-    rest = scratch.save(rest, "rest")
-    placed = member.join(of("a"), "a", "left").join(in_tile("a"), "a").select("node", "a", "n", "h", "reach", F.coalesce("ca", "a").alias("comp"), F.col("ta").alias("tile"))
-    mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    late = placed.join(mixed, "node", "left_semi").join(known.select("a", "below"), "a").select("node", "n", "h", "reach", "comp", "tile", "below")
-    late = late.repartition(partitions(spark), "node").sortWithinPartitions("node").mapInArrow(_hot_tiles, "x long, y long")
-    late = late.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    dense = late.union(rest.groupBy("x", "y").agg(F.count("*").alias("k")).where(F.col("k") >= DENSE).select("x", "y")).distinct()
-    dense = scratch.save(dense, "dense")
-    # both tiles' classes once for each pair of tiles
-    sides = dense.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
-    wanted = sides.join(tiles, "tile").join(comps.withColumnRenamed("node", "fp"), "fp", "left")
-    wanted = scratch.save(wanted.select("key", "fp", F.coalesce("comp", "fp").alias("comp")), "wanted")
-    full = sets.join(_small(wanted), "fp").select("key", "fp", "comp", "s").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    sparse = rest.join(dense, ["x", "y"], "left_anti")
-    links = scratch.save(links.union(full.mapInArrow(_dense, "a long, b long")).union(_links(sparse, sets, tiles, scratch, "r2")), "links2")
-    scratch.drop("sets", "pairs", "members", "known", "comps1", "links1", "tried", "dealt", "tiles", "cluster", "rest", "dense", "star", "chosen", "wanted", "r1-placed", "r1-needed", "r2-placed", "r2-needed")
-    comps = connected_components(links, scratch, "round2")
+
+    # near sets share a tile: those of a large component, or those that tried the same centre
+    large = comps.groupBy("comp").agg(F.count("*").alias("k")).where(F.col("k") * 8 >= TILE).select("comp", F.lit(True).alias("large"))
+    of = known.select("fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").join(star, "fp", "left")
+    of = of.withColumn("comp", F.coalesce("comp", "fp")).join(large, "comp", "left")
+    of = of.select("fp", "comp", F.when(F.col("large"), F.xxhash64("comp")).otherwise(F.xxhash64(F.coalesce("z", "fp"), F.lit(1))).alias("group"))
+    of = scratch.save(_dealt_tiles(of).select("fp", "comp", "tile"), "of")
+    mixed = nodes.join(of.select("fp", "comp"), "fp").groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
+    mixed = scratch.save(mixed.where("lo <> hi").select("node", "k"), "mixed")
+    members = nodes.join(mixed, "node").join(of, "fp").join(known, "fp")
+    units = _units(members).repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+    wanted = scratch.save(units.mapInArrow(_late, "key long, fp long, comp long").distinct(), "wanted2")
+    links = links.union(_links(wanted, rows, texts, scratch, "r2"))
+    comps = scratch.save(connected_components(links, scratch, "round2"), "comps2")
+    scratch.drop("found", "known", "centre", "star", "tried", "wanted1", "r1-chosen", "r1-sets", "r1-links", "comps1", "of", "mixed", "wanted2", "r2-chosen", "r2-sets", "r2-links")
 
     smallest = rows.join(comps, rows["fp"] == comps["node"]).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = comps.join(smallest, "comp").select(F.col("node").alias("fp"), "component_id")

@@ -182,19 +182,39 @@ def test_join_against_brute_force(spark):
 
 
 def test_join_with_hot_nodes(spark, monkeypatch):
-    """Small bounds send nearly every group through hot nodes and dense tiles."""
-    monkeypatch.setattr(ngram_join, "SMALL", 3)
-    monkeypatch.setattr(ngram_join, "DENSE", 2)
+    """Small bounds split nearly every node into blocks and every group into tiles."""
+    monkeypatch.setattr(ngram_join, "HOT", 3)
     monkeypatch.setattr(ngram_join, "TILE", 8)
     assert check_join(spark, join_rows(2, 40)) > 100
 
 
-def test_join_places_every_class(spark, monkeypatch):
-    """Classes that nothing deals into a tile are compared all the same."""
-    dealt = ngram_join._tiles
-    monkeypatch.setattr(ngram_join, "SMALL", 3)
-    monkeypatch.setattr(ngram_join, "_tiles", lambda *args: dealt(*args).where("fp % 3 <> 0"))
-    assert check_join(spark, join_rows(2, 40)) > 100
+def test_join_without_stars(spark, monkeypatch):
+    """Pairs that no star links are found by the bounds alone."""
+    monkeypatch.setattr(ngram_join, "_tried", lambda batches: (b.select(["fp", "z"]).slice(0, 0) for b in batches))
+    assert check_join(spark, join_rows(3, 30)) > 100
+
+
+def test_bounds_never_lose_a_link():
+    """Every pair of random sets that is linked passes the bounds, whatever n-grams are heavy."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        heavy = rng.choice(np.array([0, 0, 0, 9, 12], np.uint8), 1 << ngram_join.SKETCH_BITS)
+        base = rng.integers(0, 1 << 64, 400, np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base[: rng.integers(20, 400)], rng.integers(1, 300)), rng.integers(0, 1 << 64, rng.integers(0, 30), np.uint64)])) for _ in range(40)]
+        sets += [np.unique(np.concatenate([s[rng.random(len(s)) < 0.9], rng.integers(0, 1 << 64, 2, np.uint64)])) for s in sets]
+        told = [ngram_join.described(s, heavy) for s in sets]
+        n, reach = np.array([len(s) for s in sets]), np.array([t[1] for t in told])
+        below = np.concatenate([np.zeros((len(sets), 1), np.int64), np.stack([t[2] for t in told])], axis=1)
+        count = {}
+        for t in told:
+            for x in t[0].tolist():
+                count[x] = count.get(x, 0) + 1
+        s = np.array([sum(count[x] > 1 for x in t[0].tolist()) for t in told])
+        a, b = np.triu_indices(len(sets), 1)
+        may = ngram_join._may_link(a, b, n, s, reach, below)
+        linked = np.array([100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+        meets = np.array([bool(np.intersect1d(told[i][0], told[j][0]).size) for i, j in zip(a, b, strict=True)])
+        assert linked.any() and (may & meets)[linked].all()
 
 
 def test_join_of_one_large_group(spark):
