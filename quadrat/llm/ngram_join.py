@@ -145,10 +145,11 @@ def _heaviness(first: DataFrame, spark: SparkSession) -> np.ndarray:
     return out
 
 
-ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8")])
+#: An n-gram of the prefix of set fp; low: it stands before the last threshold that the prefix reaches.
+ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8"), ("low", "u1")])
 #: Places in the global order, below which every set counts its n-grams: around a quarter of the common range of hashes, where
 #: prefixes end, then the end of that range and steps of heaviness.
-THRESHOLDS = np.concatenate([np.linspace(0.14, 0.4, 15) * 2.0**56, np.linspace(0.45, 0.95, 11) * 2.0**56, np.array([1, 8, 9, 10, 11, 12, 13, 14, 16]) * 2.0**56]).astype(np.uint64)
+THRESHOLDS = np.concatenate([np.linspace(0.14, 0.4, 15) * 2.0**56, np.linspace(0.45, 0.95, 11) * 2.0**56, np.array([1, *range(7, 21)]) * 2.0**56]).astype(np.uint64)
 #: A set: its size, how many of the thresholds its prefix reaches, and its n-grams before each of them.
 CLASS = np.dtype([("fp", "<i8"), ("n", "<u4"), ("reach", "<u4"), ("below", "<u2", (len(THRESHOLDS),))])
 SLICES = "part int, entries binary"
@@ -184,7 +185,7 @@ def _second_pass(heavy, parts: int):
                 first, reach, below = described(s, weight)
                 classes.append((fp, len(s), reach, below))
                 e = np.empty(len(first), ENTRY)
-                e["token"], e["fp"] = first, fp
+                e["token"], e["fp"], e["low"] = first, fp, np.arange(len(first)) < (below[reach - 1] if reach else 0)
                 held.append(e)
                 size += len(e)
                 if size >= FLUSH:
@@ -209,8 +210,9 @@ def _dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
 
-#: The set fp below a node of a trie, which stands for w n-grams in a row with the same sets below them; without a node: the set itself.
-NODES = "node long, w int, fp long, n int, reach int, below binary"
+#: The set fp below a node of a trie, which stands for w n-grams in a row with the same sets below them, of which ``low``
+#: stand before the last threshold that the set's prefix reaches; without a node: the set itself.
+NODES = "node long, w int, low int, fp long, n int, reach int, below binary"
 
 
 def _starts(sorted_values: np.ndarray) -> np.ndarray:
@@ -218,8 +220,8 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def trie(e: np.ndarray) -> np.ndarray:
-    """The nodes of one slice that two sets or more pass, as rows (node, w, fp)."""
-    out = np.dtype([("node", "<i8"), ("w", "<i4"), ("fp", "<i8")])
+    """The nodes of one slice that two sets or more pass, as rows (node, w, low, fp)."""
+    out = np.dtype([("node", "<i8"), ("w", "<i4"), ("low", "<i4"), ("fp", "<i8")])
     # one row for each n-gram and set, by n-gram; n-grams of one set alone end no path
     e = e[np.lexsort((e["fp"], e["token"]))]
     e = e[np.r_[True, (e["fp"][1:] != e["fp"][:-1]) | (e["token"][1:] != e["token"][:-1])]] if len(e) else e
@@ -231,24 +233,27 @@ def trie(e: np.ndarray) -> np.ndarray:
     start = np.cumsum(width) - width
     # n-grams that the same sets hold are one node
     below = np.add.reduceat(_mix(e["fp"].view(np.uint64)), start) + width.astype(np.uint64)
-    _, first, same = np.unique(below, return_index=True, return_counts=True)
-    rows = np.repeat(start[first] - (np.cumsum(width[first]) - width[first]), width[first]) + np.arange(width[first].sum())
+    _, first, node, same = np.unique(below, return_index=True, return_inverse=True, return_counts=True)
+    into = np.cumsum(width[first]) - width[first]
+    rows = np.repeat(start[first] - into, width[first]) + np.arange(width[first].sum())
+    # the rows of such n-grams are in the same order: by set
+    low = np.bincount(np.repeat(into[node.ravel()] - start, width) + np.arange(len(e)), e["low"], len(rows))
     nodes = np.empty(len(rows), out)
     nodes["node"], nodes["w"] = np.repeat(e["token"][start[first]].view(np.int64), width[first]), np.repeat(same, width[first])
-    nodes["fp"] = e["fp"][rows]
+    nodes["fp"], nodes["low"] = e["fp"][rows], low
     return nodes
 
 
 def _node_rows(x: np.ndarray) -> pa.RecordBatch:
     n = len(x)
-    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())]
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())]
     of = lambda c, t: pa.array(np.ascontiguousarray(x[c]).astype(t))
     if x.dtype == CLASS:
         flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * len(THRESHOLDS)), n, [None, pa.py_buffer(x["below"].tobytes())]).cast(pa.binary())
-        columns = [none[0], none[1], of("fp", np.int64), of("n", np.int32), of("reach", np.int32), flat]
+        columns = [*none[:3], of("fp", np.int64), of("n", np.int32), of("reach", np.int32), flat]
     else:
-        columns = [of("node", np.int64), of("w", np.int32), of("fp", np.int64), *none[2:]]
-    return pa.RecordBatch.from_arrays(columns, names=["node", "w", "fp", "n", "reach", "below"])
+        columns = [of("node", np.int64), of("w", np.int32), of("low", np.int32), of("fp", np.int64), *none[3:]]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "w", "low", "fp", "n", "reach", "below"])
 
 
 def _tries(parts: int):
@@ -292,8 +297,8 @@ def _below(blobs: pa.Array) -> np.ndarray:
 def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray, reach: np.ndarray, below: np.ndarray) -> np.ndarray:
     """Which of the pairs of rows (a, b) the remaining-length bounds let be linked.
 
-    n: n-grams, s: those of the prefix that another prefix holds. Up to the last threshold that both prefixes reach, what is
-    common is in both prefixes, so no more than the lesser s; beyond it, each range between thresholds gives the lesser of two counts.
+    n: n-grams, s: those before the last threshold that the prefix reaches which another prefix holds. Up to the last threshold that
+    both reach, what is common is in both prefixes, so no more than the lesser s; beyond it, each range between thresholds gives the lesser of two counts.
     """
     fits = np.flatnonzero(100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
     x, y = a[fits], b[fits]
@@ -494,18 +499,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     parts = max(4 * partitions(spark), (rows.agg(F.sum("n")).first()[0] or 0) // (4 * SLICE))
     slices = texts.mapInArrow(_second_pass(heavy, parts), SLICES).repartition(partitions(spark), "part").sortWithinPartitions("part")
     found = scratch.save(slices.mapInArrow(_tries(parts), NODES), "found")
-    nodes = found.where("node is not null").select("node", "w", "fp")
-    shared = nodes.groupBy("fp").agg(F.sum("w").alias("s"))
-    known = scratch.save(found.where("node is null").select("fp", "n", "reach", "below").join(shared, "fp").select("fp", "n", "s", "reach", "below"), "known")
+    nodes = found.where("node is not null").select("node", "w", "low", "fp")
+    shared = nodes.groupBy("fp").agg(F.sum("low").alias("s"), F.sum("w").alias("spread"))
+    known = scratch.save(found.where("node is null").select("fp", "n", "reach", "below").join(shared, "fp").select("fp", "n", "s", "reach", "below", "spread"), "known")
+    told = known.columns[1:5]
 
     # an original shares more with each copy than copies with each other: it is the centre
-    centre = nodes.join(known.select("fp", "s"), "fp").groupBy("node").agg(F.max(F.struct("s", "fp"))["fp"].alias("z"))
+    centre = nodes.join(known.select("fp", "spread"), "fp").groupBy("node").agg(F.max(F.struct("spread", "fp"))["fp"].alias("z"))
     # tables of their own, so that Spark can split joins at hot keys
     centre = scratch.save(centre, "centre")
     star = nodes.join(centre, "node").where("fp <> z").groupBy("fp", "z").agg(F.sum("w").alias("c"))
     star = scratch.save(star.groupBy("fp").agg(F.max_by("z", F.struct("c", "z")).alias("z")), "star")
-    tried = star.join(known, "fp").join(known.toDF("z", *[f"{c}_z" for c in known.columns[1:]]), "z")
-    tried = tried.select("fp", "z", *known.columns[1:], *[f"{c}_z" for c in known.columns[1:]]).mapInArrow(_tried, "fp long, z long")
+    tried = star.join(known, "fp").join(known.select(F.col("fp").alias("z"), *[F.col(c).alias(f"{c}_z") for c in told]), "z")
+    tried = tried.select("fp", "z", *told, *[f"{c}_z" for c in told]).mapInArrow(_tried, "fp long, z long")
     tried = scratch.save(_dealt_tiles(tried.withColumnRenamed("z", "group")), "tried")
     wanted = tried.select("tile", "fp").union(tried.select("tile", "group")).distinct().select(F.col("tile").alias("key"), "fp", F.col("fp").alias("comp"))
     links = _links(scratch.save(wanted, "wanted1"), rows, texts, scratch, "r1")
@@ -519,7 +525,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     of = scratch.save(_dealt_tiles(of).select("fp", "comp", "tile"), "of")
     mixed = nodes.join(of.select("fp", "comp"), "fp").groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
     mixed = scratch.save(mixed.where("lo <> hi").select("node", "k"), "mixed")
-    members = nodes.join(mixed, "node").join(of, "fp").join(known, "fp")
+    members = nodes.join(mixed, "node").join(of, "fp").join(known.select("fp", *told), "fp")
     units = _units(members).repartition(partitions(spark), "unit").sortWithinPartitions("unit")
     wanted = scratch.save(units.mapInArrow(_late, "key long, fp long, comp long").distinct(), "wanted2")
     links = links.union(_links(wanted, rows, texts, scratch, "r2"))

@@ -209,7 +209,7 @@ def test_bounds_never_lose_a_link():
         for t in told:
             for x in t[0].tolist():
                 count[x] = count.get(x, 0) + 1
-        s = np.array([sum(count[x] > 1 for x in t[0].tolist()) for t in told])
+        s = np.array([sum(count[x] > 1 for x in t[0][: t[2][t[1] - 1] if t[1] else 0].tolist()) for t in told])
         a, b = np.triu_indices(len(sets), 1)
         may = ngram_join._may_link(a, b, n, s, reach, below)
         linked = np.array([100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
