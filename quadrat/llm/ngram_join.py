@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import Scratch, connected_components, partitions, read
@@ -98,10 +98,13 @@ def prefix_length(n):
 TEXTS = ("doc_id", "th", "text")
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, th, text as bytes); key and th together name a document."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.cast("binary").alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,8 +492,8 @@ def _units(members: DataFrame) -> DataFrame:
     return whole.select(*UNITS).union(split.select(*UNITS))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles and component_id."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles and component_id, and if ``hashed`` the hash ``th`` of the text (see ``text_hash``)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = _texts(docs, key, text)
     first = scratch.save(texts.mapInArrow(_first_pass, "doc_id long, th long, n int, fp long, chunk int, counts binary"), "first")
@@ -536,7 +539,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     linked = comps.join(smallest, "comp").select(F.col("node").alias("fp"), "component_id")
     copies = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     ids = copies.join(linked, "fp", "left").select("fp", F.least("least", "component_id").alias("component_id"))
-    return rows.join(ids, "fp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(ids, "fp", "left").select("doc_id", *["th"] * hashed, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

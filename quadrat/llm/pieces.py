@@ -384,7 +384,7 @@ _held: dict[str, Vocabulary] = {}
 SAMPLES = "key long, sample int, ids array<int>, log_p double, clock double, log_inclusion double, exact boolean"
 
 
-def _encode(model: str, k: int):
+def _encode(model: str, k: int, copies: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _held:
             _held[model] = Vocabulary(model)
@@ -409,10 +409,14 @@ def _encode(model: str, k: int):
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(number, pa.int32()), lists, pa.array(logp), pa.array(clock), pa.array(inclusion), pa.array(exact)], names=["key", "sample", "ids", "log_p", "clock", "log_inclusion", "exact"])
 
         held: list[tuple[int | None, int, str]] = []
-        chars = 0
+        chars, again, last = 0, 0, None
         for batch in batches:
             for doc, seed, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                held.append((doc.as_py(), seed.as_py(), text.as_py()))
+                now = doc.as_py(), text.as_py()
+                again = again + 1 if copies and now == last else 0
+                last = now
+                # the number of the copy is mixed into the seed: the first one draws as a row alone does
+                held.append((now[0], seed.as_py() ^ (again * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF), now[1]))
                 chars += len(held[-1][2]) + 50
                 if chars >= BATCH_CHARS:
                     yield flush(held)
@@ -423,12 +427,15 @@ def _encode(model: str, k: int):
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, model: str = MODEL, copies: bool = False) -> DataFrame:
     """One row per sampled segmentation: key, sample (1 is the best), ids, log_p, clock, log_inclusion, and whether
-    decoding the ids gave back the text. No shuffle."""
+    decoding the ids gave back the text. No shuffle.
+
+    ``copies``: equal rows that follow each other in a file, as a mixture's repetitions do, draw samples of their own.
+    """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.lit(SEED), F.col(key)).alias("seed"), t.alias("text"))
-    return rows.mapInArrow(_encode(model, k), SAMPLES)
+    return rows.mapInArrow(_encode(model, k, copies), SAMPLES)
 
 
 def decode(samples: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:

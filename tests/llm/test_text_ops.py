@@ -244,8 +244,32 @@ def test_pipeline_run_and_empty(spark, tmp_path):
 
 
 def test_stages_take_odd_rows(spark, tmp_path):
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd_docs(spark), str(tmp_path)).count()
+    clash = ["kept", "row", "clean", "gone", "t", "id", "th", "h", "first", "component_id", "size", "source_size", "reps", "key", "seed", "n_lines"]
+    odd = odd_docs(spark).select("*", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd, str(tmp_path))
+        out.count()
+        assert k == 4 or out.columns == odd.columns
+
+
+def test_line_dedup_stage_counts_characters(spark, tmp_path):
+    passage = "this passage of ten words or more stands in both documents"
+    out = corpus_pipeline.line_dedup(spark, docs_of(spark, [(1, f"one\n{passage}"), (2, f"two\n{passage}"), (3, None)]), str(tmp_path))
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (f"one\n{passage}", 4 + len(passage)), 2: ("two", 3), 3: (None, 0)}
+
+
+def test_near_duplicates_go_by_id_and_text(spark, tmp_path):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (2, b), (2, a + " end"), (1, a), (3, b + " end"), (4, None), (4, None), (None, b), (None, "x y z"), (None, "x y z")]
+    out = corpus_pipeline.near_duplicates(spark, docs_of(spark, rows), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (4, None), (4, None), (None, "x y z"), (None, "x y z")], key=str)
+
+
+def test_copies_draw_samples_of_their_own(spark):
+    rows = docs_of(spark, [(1, "some text with many segmentations"), (1, "some text with many segmentations"), (2, "other")]).coalesce(1)
+    of = lambda df: [(r.key, r["sample"], tuple(r.ids)) for r in df.collect()]
+    plain, told = of(pieces.encode(rows)), of(pieces.encode(rows, copies=True))
+    assert plain[:2] == plain[2:4] == told[:2] and told[2:4] != told[:2] and told[4:] == plain[4:]
 
 
 assert lines
