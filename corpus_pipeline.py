@@ -15,23 +15,43 @@ from quadrat.llm.common import Scratch
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.cascade(docs, kept="__kept").where("__kept").drop("__kept")
+    row = F.struct(*docs.columns)
+    return quality.cascade(docs.select(row.alias("row"), "text")).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks that an earlier document holds; one that loses all its lines goes."""
+    """Documents without the blocks that an earlier document holds; one that loses all its lines goes.
+
+    ``n_chars`` is counted anew for texts that lost lines.
+    """
     left = lines.dedup(docs).where("n_lines = 0 or n_deleted < n_lines")
-    return left.select(*[F.col("clean").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    of = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("clean")}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(F.col("n_deleted") > 0, F.char_length("clean")).otherwise(of["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[of[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similar sets of n-grams connect: the one with the smallest id.
+    """One document of each group that similar sets of n-grams connect: the one with the smallest id, then the smallest hash of its text.
 
-    Of rows that share this id, all stay. Documents without words, and those without an id, stay.
+    A document is its id with its text: another text under the same id is judged by itself, and of rows equal in both one
+    stays. Documents without words stay, as do groups none of whose documents has an id.
     """
-    found = ngram_join.join(docs).where("n_shingles > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("component"))
-    gone = found.where("id <> component").select("id")
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    scratch = Scratch(spark)
+    found = ngram_join.join(docs, hashed=True).where("n_shingles > 0 and component_id is not null")
+    found = found.groupBy("doc_id", "th", "component_id").agg(F.count("*").alias("rows"))
+    found = scratch.save(found, "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
+    found = found.join(first, "component_id")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    gone, repeated = found.where(~stays).select("doc_id", "th"), found.where(stays & (F.col("rows") > 1)).select("doc_id", "th")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), ngram_join.text_hash("text").alias("h"))
+    same = lambda keys: F.col("id").eqNullSafe(keys["doc_id"]) & (F.col("h") == keys["th"])
+    if repeated.isEmpty():
+        return d.join(gone, same(gone), "left_anti").select("row.*")
+    rest = scratch.save(gone.union(repeated), "rest")
+    once = d.join(repeated, same(repeated), "left_semi").groupBy("id", "h").agg(F.min("row").alias("row"))
+    return d.join(rest, same(rest), "left_anti").select("row.*").union(once.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document of the mixture."""
-    return pieces.encode(docs).withColumnRenamed("key", "doc_id")
+    """Two sampled segmentations of every document of the mixture; repetitions of a document draw their own."""
+    return pieces.encode(docs, copies=True).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [
