@@ -195,11 +195,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     return rows.select("row", clean.alias("clean"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(n_deleted, F.lit(0)).cast("long").alias("n_deleted"))
 
 
-@F.pandas_udf(StringType())
-def _without(texts, gone):
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """Lines with a word are numbered; those in ``gone`` go, and blank lines stay with what is left."""
     out = []
     for text, drop in zip(texts, gone, strict=True):
+        text, drop = text.as_py(), drop.as_py()
         if drop is None or text is None:
             out.append(text)
             continue
@@ -212,7 +213,7 @@ def _without(texts, gone):
                 kept.append(line)
             p += 1
         out.append("\n".join(kept) if p > len(drop) else "")
-    return texts.__class__(out)
+    return pa.array(out, pa.string())
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
