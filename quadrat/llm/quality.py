@@ -163,41 +163,47 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     """
     order = ordered(rules, estimate(docs, rules, text)) if order is None else order
 
-    @F.pandas_udf("boolean")
-    def verdict(texts):
+    @F.arrow_udf("boolean")
+    def verdict(texts: pa.Array) -> pa.Array:
         # one text at a time: its words are gone before the next one's are made
-        return texts.__class__([not _rejected(Text(x), order) for x in texts], dtype=bool)
+        return pa.array([not _rejected(Text(x.as_py()), order) for x in texts], pa.bool_())
 
     return docs.withColumn(kept, verdict(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,kept:boolean>"
 
 
-def _stats(raw: str | None) -> tuple[int, ...]:
-    t = Text(raw)
+def _stats(t: Text) -> tuple[int, ...]:
     return len(t.words), t.word_chars, t.symbols, t.lines[1], t.repeat_words
 
 
-def statistics(text: str = "text"):
-    """A struct column with the measures that the rules rest on."""
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", judgement: str = "m", order: list[Rule] | None = None) -> DataFrame:
+    """``docs`` with the struct column ``judgement``: the measures that the rules rest on, and ``kept``, the cascade's verdict.
 
-    @F.pandas_udf(STATS)
-    def of(texts):
-        import pandas as pd
+    Each text is cut into words once: rules and measures share what either needs.
+    """
+    order = ordered(rules, estimate(docs, rules, text)) if order is None else order
 
-        rows = [_stats(x) for x in texts]
-        return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
+    @F.arrow_udf(STATS)
+    def of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for x in texts:
+            t = Text(x.as_py())
+            kept = not _rejected(t, order)
+            rows.append((*_stats(t), kept))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [pa.int64()] * 5 + [pa.bool_()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept"])
 
-    return of(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.withColumn(judgement, of(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures, whether the base rules fail it, and the cascade's verdict."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = cascade(docs).withColumn("m", statistics())
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    flat = judged.select("doc_id", "m.*", "kept").withColumn("base_failed", base)
+    flat = judged(docs).select("doc_id", "m.*").withColumn("base_failed", base)
     return flat.withColumn("kept", ~F.col("base_failed") & F.col("kept"))
 
 

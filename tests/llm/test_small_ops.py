@@ -24,7 +24,7 @@ def brute_stats(text):
 
 @pytest.mark.parametrize("text", ["", "a b c a b c", "ß x  y", "a a a a", "x\n\nx\n x\ny|#", "a b c d a b c", "\x0bq\x0cq q"])
 def test_quality_stats(text):
-    assert quality._stats(text) == brute_stats(text)
+    assert quality._stats(quality.Text(text)) == brute_stats(text)
 
 
 def test_quality_cascade_is_the_conjunction(spark):
