@@ -40,8 +40,8 @@ from quadrat.llm.common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SEED = 17
-CACHE = 190_000
-BATCH_CHARS = 700_000
+CACHE = 100_000
+BATCH_CHARS = 300_000
 
 SPACE = 0x2581
 #: Stands for a literal U+2581 within a lattice; no piece has it.
@@ -129,7 +129,9 @@ class Lattices:
         for name, x in new.items():
             n = len(getattr(self, name))
             if n + len(x) > len(self.room[name]):
-                self.room[name] = np.resize(self.room[name], max(n + len(x), 2 * len(self.room[name])))
+                room = np.empty(max(n + len(x), 2 * len(self.room[name])), self.room[name].dtype)
+                room[:n] = self.room[name][:n]
+                self.room[name] = room
             self.room[name][n : n + len(x)] = x
             setattr(self, name, self.room[name][: n + len(x)])
 
