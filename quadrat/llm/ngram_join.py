@@ -47,9 +47,10 @@ CHUNKS = 16
 HOT = 1024
 #: Sets of a group that are multiplied at once, with as many of another group.
 TILE = 128
-FLUSH = 2_000_000
+#: Entries that a task deals out at once: small pieces, which neither Arrow nor the heap of the JVM has to hold whole.
+FLUSH = 400_000
 #: Entries of a slice, about.
-SLICE = 2_000_000
+SLICE = 600_000
 
 
 class _WordHash(dict):
@@ -269,8 +270,8 @@ def _tries(parts: int):
                 return
             x = np.concatenate(held)
             x = x[np.unique(x["fp"], return_index=True)[1]] if x.dtype == CLASS else trie(x)
-            for k in range(0, len(x), 200_000):
-                yield _node_rows(x[k : k + 200_000])
+            for k in range(0, len(x), 50_000):
+                yield _node_rows(x[k : k + 50_000])
 
         for batch in batches:
             for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -310,11 +311,11 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray, reach:
     more = np.minimum(n[x] - below[x, at], n[y] - below[y, at]) >= least
     fits, x, y, at, least = fits[more], x[more], y[more], at[more], least[more]
     out = np.zeros(len(a), bool)
-    for k in range(0, len(fits), 100_000):
-        i, j, t = x[k : k + 100_000], y[k : k + 100_000], at[k : k + 100_000]
+    for k in range(0, len(fits), 20_000):
+        i, j, t = x[k : k + 20_000], y[k : k + 20_000], at[k : k + 20_000]
         rest = np.minimum(np.diff(below[i], axis=1, append=n[i, None]), np.diff(below[j], axis=1, append=n[j, None]))
         rest[np.arange(rest.shape[1]) < t[:, None]] = 0
-        out[fits[k : k + 100_000]] = rest.sum(axis=1) >= least[k : k + 100_000]
+        out[fits[k : k + 20_000]] = rest.sum(axis=1) >= least[k : k + 20_000]
     return out
 
 
@@ -337,10 +338,10 @@ def _unit_pairs(start: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarr
         at = start[width == g]
         if g <= 64:
             i, j = np.triu_indices(g, 1)
-            for some in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+            for some in np.array_split(at, max(1, len(at) * len(i) // 250_000)):
                 yield (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
             continue
-        step = max(1, 1_000_000 // g)
+        step = max(1, 250_000 // g)
         for s in at.tolist():
             for k in range(0, g, step):
                 i, j = np.meshgrid(np.arange(k, min(k + step, g)), np.arange(k, g), indexing="ij")
@@ -371,8 +372,9 @@ def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got.append(np.unique(rows))
         return np.unique(np.concatenate(got))
 
-    def batch_of(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in found.names], names=list(found.names))
+    def batches_of(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(x), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k : k + 50_000][c])) for c in found.names], names=list(found.names))
 
     def joined() -> tuple:
         return tuple(np.concatenate([x[c] for x in held]) for c in range(len(UNITS)))
@@ -389,12 +391,12 @@ def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(_starts(x[0])[-1])  # the last unit may go on
         out = np.unique(np.concatenate([out, pairs(tuple(c[:last] for c in x))]))
         held, size = [tuple(c[last:] for c in x)], len(x[0]) - last
-        if len(out) > 2_000_000:
-            yield batch_of(out)
+        if len(out) > 500_000:
+            yield from batches_of(out)
             out = np.empty(0, found)
     if held:
         out = np.unique(np.concatenate([out, pairs(joined())]))
-    yield batch_of(out)
+    yield from batches_of(out)
 
 
 def _all_overlaps(sets: list[np.ndarray]) -> np.ndarray:
