@@ -56,6 +56,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of an Arrow batch where whole texts go to Python: Spark's own 10,000 would make a batch of long texts hundreds of MB.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's rows of an Arrow batch to ``TEXT_ROWS``, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quadrat.llm.common import WORD, Scratch, read
+from quadrat.llm.common import WORD, Scratch, read, text_batches
 
 #: Words of an aligned block from which it is deleted.
 MIN_WORDS = 10
@@ -166,7 +166,7 @@ def _runs(min_words: int):
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Each row of ``docs`` without its text as struct ``row``, the text after deletion as ``clean``, and numbers of lines before and deleted."""
-    spark = docs.sparkSession
+    spark = text_batches(docs).sparkSession
     scratch = Scratch(spark)
     t = F.col(text).cast("string")
     order = F.struct(F.col(key).isNull().alias("last"), F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import Scratch, connected_components, partitions, read
+from quadrat.llm.common import Scratch, connected_components, partitions, read, text_batches
 
 N = 5
 #: Similarity as a ratio of integers.
@@ -177,10 +177,10 @@ def _second_pass(heavy, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weight = _WordHash(), heavy.value
         held: list[np.ndarray] = []
+        classes: list[tuple] = []
+        seen: set[int] = set()
         size = 0
         for batch in batches:
-            seen: set[int] = set()
-            classes = []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), hashes)
                 if not len(s) or (fp := set_id(s)) in seen:
@@ -195,8 +195,12 @@ def _second_pass(heavy, parts: int):
                 if size >= FLUSH:
                     yield _dealt(held, parts)
                     held, size = [], 0
-            if classes:
+            if len(classes) > 20_000:
                 yield _dealt([np.array(classes, CLASS)], parts)
+                classes = []
+                seen.clear()
+        if classes:
+            yield _dealt([np.array(classes, CLASS)], parts)
         if held:
             yield _dealt(held, parts)
 
@@ -497,7 +501,7 @@ def _units(members: DataFrame) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, and if ``hashed`` the hash ``th`` of the text (see ``text_hash``)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    texts = _texts(docs, key, text)
+    texts = _texts(text_batches(docs), key, text)
     first = scratch.save(texts.mapInArrow(_first_pass, "doc_id long, th long, n int, fp long, chunk int, counts binary"), "first")
     heavy = spark.sparkContext.broadcast(_heaviness(first, spark))
     rows = first.where("chunk is null").select("doc_id", "th", "n", "fp")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import Scratch, partitions, read
+from quadrat.llm.common import Scratch, partitions, read, text_batches
 
 # Element names of HTML by the role that they have here.
 RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math|video|audio"
@@ -192,7 +192,7 @@ def neighbours(keys: DataFrame, scratch: Scratch) -> DataFrame:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars, n_deleted (lines that its neighbour has too)."""
-    spark = pages.sparkSession
+    spark = text_batches(pages).sparkSession
     scratch = Scratch(spark)
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     base = base.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("k"), "html")

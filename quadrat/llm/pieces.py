@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import read
+from quadrat.llm.common import read, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
@@ -437,7 +437,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.lit(SEED), F.col(key)).alias("seed"), t.alias("text"))
-    return rows.mapInArrow(_encode(model, k, copies), SAMPLES)
+    return text_batches(rows).mapInArrow(_encode(model, k, copies), SAMPLES)
 
 
 def decode(samples: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:

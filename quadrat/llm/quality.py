@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import read
+from quadrat.llm.common import read, text_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -161,7 +161,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     ``kept`` replaces a column of that name. Only the text goes to Python and only a boolean comes
     back; there is no shuffle.
     """
-    order = ordered(rules, estimate(docs, rules, text)) if order is None else order
+    order = ordered(rules, estimate(text_batches(docs), rules, text)) if order is None else order
 
     @F.arrow_udf("boolean")
     def verdict(texts: pa.Array) -> pa.Array:
@@ -183,7 +183,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 
     Each text is cut into words once: rules and measures share what either needs.
     """
-    order = ordered(rules, estimate(docs, rules, text)) if order is None else order
+    order = ordered(rules, estimate(text_batches(docs), rules, text)) if order is None else order
 
     @F.arrow_udf(STATS)
     def of(texts: pa.Array) -> pa.Array:

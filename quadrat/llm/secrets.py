@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import Scratch, read
+from quadrat.llm.common import Scratch, read, text_batches
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(blob, pa.string()), pa.array(kind, pa.string()), pa.array(version, pa.int32()), pa.array(spans, span)], names=["blob", "kind", "version", "spans"])
 
-    return blobs.mapInArrow(run, LEDGER)
+    return text_batches(blobs).mapInArrow(run, LEDGER)
 
 
 def _current(rules: tuple[Rule, ...]) -> Column:
