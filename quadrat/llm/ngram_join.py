@@ -9,7 +9,7 @@ node with their number as weight: an overlap is counted once for all sets below.
    it shares most with. Verified links are joined into components.
 2. Nodes whose sets lie in one component are done. At the others, pairs of sets of different components are held against the
    remaining-length bounds (``_may_link``): what both share in their prefixes, and what can follow after the prefix that ends first.
-   Pairs are not listed: what survives is dealt into pairs of tiles (groups of near sets), and the sets of two tiles
+   Pairs are not listed: what survives is named under pairs of tiles (groups of near sets), very many sets by their tile, and they
    meet in one task, which multiplies 0-1 matrices of their n-grams and returns a forest.
 
 No pair that could join two components is skipped, so the result is exact.
@@ -47,6 +47,8 @@ CHUNKS = 16
 HOT = 1024
 #: Sets of a group that are multiplied at once, with as many of another group.
 TILE = 128
+#: Sets under a pair of tiles from which both tiles are named whole.
+DENSE = 24
 #: Entries that a task deals out at once: small pieces, which neither Arrow nor the heap of the JVM has to hold whole.
 FLUSH = 400_000
 #: Entries of a slice, about.
@@ -353,9 +355,22 @@ def _unit_pairs(start: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarr
                 yield s + i[later], s + j[later]
 
 
+#: Under the pair of tiles ``key``: a set of ``tile``, or without a set (whole) all of that tile.
+LATE = "key long, tile long, whole boolean, fp long, comp long"
+
+
+def _whole_tiles(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows; where very many sets are named under a key, its tiles instead."""
+    rows = np.unique(rows)
+    _, at, many = np.unique(rows["key"], return_inverse=True, return_counts=True)
+    dense = rows["whole"] | (many[at.ravel()] > DENSE)
+    rows["fp"][dense], rows["comp"][dense], rows["whole"][dense] = 0, 0, True
+    return np.unique(rows)
+
+
 def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of different components that may be linked, both sets under the pair of their tiles. Rows come sorted by unit."""
-    found = np.dtype([("key", "<i8"), ("fp", "<i8"), ("comp", "<i8")])
+    """Of pairs of different components that may be linked, both sets or their tiles. Rows come sorted by unit."""
+    found = np.dtype([("key", "<i8"), ("tile", "<i8"), ("whole", "?"), ("fp", "<i8"), ("comp", "<i8")])
     held: list[tuple] = []
     out = np.empty(0, found)
 
@@ -372,9 +387,10 @@ def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = np.minimum(tile[a], tile[b]).view(np.uint64), np.maximum(tile[a], tile[b]).view(np.uint64)
             rows = np.empty(2 * len(a), found)
             rows["key"] = np.tile(_mix(_mix(low) ^ high).view(np.int64), 2)
-            rows["fp"], rows["comp"] = fp[np.r_[a, b]], comp[np.r_[a, b]]
-            got.append(np.unique(rows))
-        return np.unique(np.concatenate(got))
+            both = np.r_[a, b]
+            rows["tile"], rows["fp"], rows["comp"], rows["whole"] = tile[both], fp[both], comp[both], False
+            got.append(_whole_tiles(rows))
+        return _whole_tiles(np.concatenate(got))
 
     def batches_of(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(x), 50_000):
@@ -393,13 +409,13 @@ def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         x = joined()
         last = int(_starts(x[0])[-1])  # the last unit may go on
-        out = np.unique(np.concatenate([out, pairs(tuple(c[:last] for c in x))]))
+        out = _whole_tiles(np.concatenate([out, pairs(tuple(c[:last] for c in x))]))
         held, size = [tuple(c[last:] for c in x)], len(x[0]) - last
         if len(out) > 500_000:
             yield from batches_of(out)
             out = np.empty(0, found)
     if held:
-        out = np.unique(np.concatenate([out, pairs(joined())]))
+        out = _whole_tiles(np.concatenate([out, pairs(joined())]))
     yield from batches_of(out)
 
 
@@ -536,10 +552,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: bool
     mixed = scratch.save(mixed.where("lo <> hi").select("node", "k"), "mixed")
     members = nodes.join(mixed, "node").join(of, "fp").join(known.select("fp", *told), "fp")
     units = _units(members).repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    wanted = scratch.save(units.mapInArrow(_late, "key long, fp long, comp long").distinct(), "wanted2")
+    late = scratch.save(units.mapInArrow(_late, LATE).distinct(), "late")
+    whole = late.where("whole").select("key", "tile").join(of, "tile").select("key", "fp", "comp")
+    wanted = scratch.save(late.where("not whole").select("key", "fp", "comp").union(whole).distinct(), "wanted2")
     links = links.union(_links(wanted, rows, texts, scratch, "r2"))
     comps = scratch.save(connected_components(links, scratch, "round2"), "comps2")
-    scratch.drop("found", "known", "centre", "star", "tried", "wanted1", "r1-chosen", "r1-sets", "r1-links", "comps1", "of", "mixed", "wanted2", "r2-chosen", "r2-sets", "r2-links")
+    scratch.drop("found", "known", "centre", "star", "tried", "wanted1", "r1-chosen", "r1-sets", "r1-links", "comps1", "of", "mixed", "late", "wanted2", "r2-chosen", "r2-sets", "r2-links")
 
     smallest = rows.join(comps, rows["fp"] == comps["node"]).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = comps.join(smallest, "comp").select(F.col("node").alias("fp"), "component_id")

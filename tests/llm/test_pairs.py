@@ -185,6 +185,7 @@ def test_join_with_hot_nodes(spark, monkeypatch):
     """Small bounds split nearly every node into blocks and every group into tiles."""
     monkeypatch.setattr(ngram_join, "HOT", 3)
     monkeypatch.setattr(ngram_join, "TILE", 8)
+    monkeypatch.setattr(ngram_join, "DENSE", 3)
     assert check_join(spark, join_rows(2, 40)) > 100
 
 
@@ -234,3 +235,10 @@ def test_join_odd_rows(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
     lone = docs_of(spark, [(None, "a b c d e f"), (None, "a b c d e f")])
     assert all(r.component_id is None for r in ngram_join.join(lone).collect())
+
+
+def test_very_many_sets_are_named_by_their_tiles():
+    kind = np.dtype([("key", "<i8"), ("tile", "<i8"), ("whole", "?"), ("fp", "<i8"), ("comp", "<i8")])
+    many = [(1, 7 + k % 2, False, k, k) for k in range(ngram_join.DENSE + 1)]
+    rows = np.array([*many, *many, (2, 7, False, 5, 5), (2, 9, False, 6, 6), (2, 7, False, 5, 5)], kind)
+    assert ngram_join._whole_tiles(rows).tolist() == [(1, 7, True, 0, 0), (1, 8, True, 0, 0), (2, 7, False, 5, 5), (2, 9, False, 6, 6)]
