@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,13 +35,12 @@ def box(df: DataFrame, value: str, group: str) -> DataFrame:
     q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
-    return x.join(F.broadcast(q), group).groupBy(group, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("n_outliers"))
+    return x.join(q, group).groupBy(group, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("n_outliers"))
 
 
 def lookup(left: DataFrame, table: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Left join with the first row of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    first = table.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, value)
+    first = table.groupBy(key).agg(F.min_by(F.struct(value), F.struct(order, value)).alias("_f")).select(key, F.col("_f")[value].alias(value))
     return left.join(first, key, "left")
 
 

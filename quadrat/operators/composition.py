@@ -68,7 +68,8 @@ def zero_cells(with_clr: DataFrame, model: Composition) -> DataFrame:
 
 
 def prevalence(cells: DataFrame, n_samples: int) -> DataFrame:
-    return cells.where("abundance > 0").groupBy("feature").agg(F.count_distinct("sample_id").alias("n")).withColumn("prevalence", F.col("n") / F.lit(n_samples))
+    """Share of all samples with each feature; a sample has one cell of a feature, so cells are counted."""
+    return cells.where("abundance > 0").groupBy("feature").agg(F.count("*").alias("n")).withColumn("prevalence", F.col("n") / F.lit(n_samples))
 
 
 def prevalence_filter(cells: DataFrame, n_samples: int, least: float = 0.10) -> DataFrame:

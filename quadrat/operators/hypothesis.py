@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -90,7 +90,7 @@ def p_value(kind: str, *columns: Column) -> Column:
 def welch(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """One row: t and df of the two-sample test with unequal variances; NULL values are left out."""
     x = df.where(F.col(value).isNotNull())
-    of = lambda g: [F.expr(f"{f}({value}) FILTER (WHERE {group} = '{g}')") for f in ("count", "avg", "var_samp")]
+    of = lambda g: [f(F.when(F.col(group) == F.lit(g), F.col(value))) for f in (F.count, F.avg, F.var_samp)]
     (n1, m1, v1), (n2, m2, v2) = of(first), of(second)
     s = x.agg(n1.alias("n1"), m1.alias("m1"), v1.alias("v1"), n2.alias("n2"), m2.alias("m2"), v2.alias("v2"))
     e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
@@ -102,9 +102,11 @@ def welch(df: DataFrame, value: str, group: str, first: str, second: str) -> Dat
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: F and its degrees of freedom, from group sums."""
     g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
-    s = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.coalesce("v", F.lit(0.0)) * (F.col("n") - 1)).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("square"))
-    between = F.col("square") - F.col("N") * F.col("mean") * F.col("mean")
-    f = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("N") - F.col("k")))
+    every = Window.partitionBy()  # over the groups' rows, not the table's
+    g = g.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(every) / F.sum("n").over(every))
+    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between")
+    s = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.coalesce("v", F.lit(0.0)) * (F.col("n") - 1)).alias("within"), between)
+    f = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("N") - F.col("k")))
     return s.select(f.alias("f"), (F.col("k") - 1).alias("df1"), (F.col("N") - F.col("k")).alias("df2"))
 
 
@@ -112,7 +114,9 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: the tie-corrected H statistic and its degrees of freedom."""
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(value, group)
     ranks = average_ranks(x, value)
-    g = x.join(ranks, value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
+    # one row for each value and group: a value that very many rows share meets its rank once a group
+    tied = x.groupBy(value, group).agg(F.count("*").alias("c"))
+    g = tied.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     s = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"))
     ties = ranks.agg(F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n = F.col("N").cast("double")

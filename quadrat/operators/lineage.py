@@ -5,16 +5,16 @@ Adjacency is an equivalence relation: it is kept as labels and never as pairs of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.operators.tokens import FIRST
 
 
 def first_per_key(lineage: DataFrame, key: str = "taxon", order: str = "src_row") -> DataFrame:
-    """The first row of each key in file order; NULL keys are equal."""
-    w = Window.partitionBy(key).orderBy(order)
-    return lineage.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each key in file order; NULL keys are equal. Minima combine before the shuffle."""
+    rows = lineage.select(key, F.struct(F.col(order), F.struct("*")).alias("_o"), F.struct("*").alias("_row"))
+    return rows.groupBy(key).agg(F.min_by("_row", "_o").alias("_row")).select("_row.*")
 
 
 def labels(features: DataFrame, lineage: DataFrame, level: str = "family", key: str | None = None) -> DataFrame:
@@ -23,8 +23,10 @@ def labels(features: DataFrame, lineage: DataFrame, level: str = "family", key:
     key = key or ("taxon" if "taxon" in lineage.columns else lineage.columns[-1])
     if level == key:
         raise ValueError("the rank is the key itself")
-    if level not in lineage.columns:
-        raise ValueError(f"no such rank: {level}")
+    if level not in lineage.columns:  # an absent rank is unknown of every feature
+        lineage = lineage.withColumn(level, F.lit(None).cast("string"))
+    if "src_row" not in lineage.columns:
+        lineage = lineage.withColumn("src_row", F.monotonically_increasing_id())
     one = first_per_key(lineage, key).select(F.col(key).alias("feature"), F.col(level).alias("label"))
     return features.join(one, "feature", "left").select("feature_idx", "feature", F.coalesce("label", F.concat(F.lit("__unknown__"), F.col("feature").cast("string"))).alias("label"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions.ranking import running
+
 
 def study_order(study: Column, seed: int = 0) -> Column:
     """A seeded order of studies that any engine can compute."""
@@ -21,8 +23,10 @@ def split_by_study(meta: DataFrame, study: str = "study_name", key: str = "sampl
     if held is None:
         studies = [r.study for r in meta.select("study").distinct().orderBy(study_order(F.col("study"), seed)).collect()]
         if len(studies) < 3:
-            draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-            return meta.withColumn("is_val", draw >= 1 - val_frac)
+            # a seeded order of samples, of which the first int(N * (1 - val_frac)) train: places come from ranges, not from one sort
+            drawn = meta.withColumn("_d", F.xxhash64(F.lit(seed), F.col(key)).cast("double")).withColumn("_n", F.lit(1))
+            cut = int(meta.count() * (1 - val_frac))
+            return drawn.join(running(drawn, "_d", ["_n"]).select("_d", "_n_before"), "_d").select(key, "study", (F.col("_n_before") >= cut).alias("is_val"))
         held = studies[: max(1, round(len(studies) * val_frac))]
     return meta.withColumn("is_val", F.col("study").isin([str(h) for h in held]))
 

@@ -296,9 +296,9 @@ def attention_counts(spark, sf):
     return lineage.attention_counts(tokens.rank(_rel(spark, sf, view_as)[0], MAX_LEN), _labels(spark, sf))
 
 
-@query(f"WITH {SA}, {LAB}, t AS (SELECT *, (row_number() OVER (PARTITION BY sample_id ORDER BY rel DESC, feature_idx) - 1)::INT AS rank FROM rs), u AS (SELECT sample_id, rank, label, rank % 4 <> 0 AS real FROM t JOIN lb USING (feature_idx) WHERE rank < 8) SELECT a.sample_id, a.rank AS i, b.rank AS j, (a.real AND b.real AND a.label = b.label) OR NOT a.real OR a.rank = b.rank OR NOT b.real AS allowed FROM u a JOIN u b USING (sample_id)")
+@query(f"WITH {SA}, {LAB}, t AS (SELECT *, (row_number() OVER (PARTITION BY sample_id ORDER BY rel DESC, feature_idx) - 1)::INT AS rank FROM rs), u AS (SELECT sample_id, rank, label, rank % 4 <> 0 AS real FROM t JOIN lb USING (feature_idx) WHERE rank < {MAX_LEN}) SELECT a.sample_id, a.rank AS i, b.rank AS j, (a.real AND b.real AND a.label = b.label) OR NOT a.real OR a.rank = b.rank OR NOT b.real AS allowed FROM u a JOIN u b USING (sample_id)")
 def attention_allowed(spark, sf):
-    t = tokens.rank(_rel(spark, sf, view_as)[0], 8)
+    t = tokens.rank(_rel(spark, sf, view_as)[0], MAX_LEN)
     masked = t.withColumn("token_id", F.when(F.col("rank") % 4 == 0, F.lit(tokens.MASK)).otherwise(F.col("token_id")).cast("long"))
     return lineage.attention(masked.select("sample_id", "rank", "token_id"), _labels(spark, sf))
 
@@ -381,11 +381,11 @@ def l2_normalize(spark, sf):
     return v.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(scalars.dot(F.col("v"), F.col("v")), 6).alias("square"))
 
 
-@query(f"WITH {AB}, t AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rel DESC, feature_idx) AS r FROM rb), u AS (SELECT sample_id, embedding AS v FROM t JOIN embeddings ON vec_id = feature_idx + 2 WHERE r <= {MAX_LEN}) SELECT sample_id, round(avg(v[1]::DOUBLE), 6) AS v1, round(avg(v[2]::DOUBLE), 6) AS v2, round(avg(v[3]::DOUBLE), 6) AS v3, round(avg(v[4]::DOUBLE), 6) AS v4 FROM u GROUP BY sample_id")
+@query(f"WITH {AB}, t AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rel DESC, feature_idx) AS r FROM rb), u AS (SELECT sample_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM t JOIN embeddings ON vec_id = feature_idx + 2 WHERE r <= {MAX_LEN}), p AS (SELECT sample_id, d, round(avg(x::DOUBLE) * 1000000)::BIGINT AS m FROM u GROUP BY ALL) SELECT sample_id, string_agg(m::VARCHAR, ',' ORDER BY d) AS pooled FROM p GROUP BY 1")
 def mean_pool(spark, sf):
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("v"))
-    p = retrieval.mean_pool(tokens.rank(_rel(spark, sf)[0], MAX_LEN).select("sample_id", "token_id"), v, 4)
-    return p.select("sample_id", *[F.round(F.col("pooled")[k], 6).alias(f"v{k + 1}") for k in range(4)])
+    p = retrieval.mean_pool(tokens.rank(_rel(spark, sf)[0], MAX_LEN).select("sample_id", "token_id"), v, 64)
+    return p.select("sample_id", F.array_join(F.transform("pooled", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("pooled"))
 
 
 # cohort statistics

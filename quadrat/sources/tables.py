@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rank and metadata columns of the file format.
 RANKS = ("kingdom", "phylum", "class", "order", "family", "genus", "species")
 
 METADATA = T.StructType(
@@ -134,6 +135,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def read_lineage(spark: SparkSession, path: str) -> DataFrame:
+    """Rank columns and key of each taxon, with ``src_row`` in the order of the file."""
+    return spark.read.csv(path, header=True, nullValue="NA").withColumn("src_row", F.monotonically_increasing_id())
+
+
 def load_cohort(spark: SparkSession, folder: str) -> Cohort:
     """The four CSV files of a cohort, pathway and lineage being optional, restricted to common samples."""
     at = lambda name: f"{folder}/{name}.csv"
@@ -145,7 +151,7 @@ def load_cohort(spark: SparkSession, folder: str) -> Cohort:
     schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in names])
     meta = spark.read.schema(schema).csv(at("metadata"), header=True, nullValue="NA")
     aligned = align(*wide.values(), meta)
-    lineage = spark.read.csv(at("taxa_lineage"), header=True, nullValue="NA") if _exists(spark, at("taxa_lineage")) else None
+    lineage = read_lineage(spark, at("taxa_lineage")) if _exists(spark, at("taxa_lineage")) else None
     columns = lambda t: feature_table(spark, [c for c in t.columns if c != "sample_id"])
     pathway = aligned[1] if "pathway" in wide else None
     return Cohort(to_cells(aligned[0]), columns(aligned[0]), aligned[-1], pathway and to_cells(pathway), pathway and columns(pathway), lineage)

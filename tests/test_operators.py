@@ -300,3 +300,49 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.sample_id: r.ids for r in spark.table("tok").collect()} == batch
     timed = df.withColumn("ts", F.lit("2024-01-01 00:10:00").cast("timestamp"))
     assert stream.arrivals(timed).first().n == 2
+
+
+def test_synthetic_distribution(spark):
+    people = synthetic.samples(spark, 3, 40).cache()
+    t = synthetic.taxa(spark, people).cache()
+    share = people.where("study_condition = 'case'").count() / people.count()
+    assert 0.3 < share < 0.6
+    assert 0.6 < t.count() / (120 * 180) < 0.7
+    sums = synthetic.pathways(t).groupBy("sample_id").agg(F.sum("abundance").alias("s"), F.count("*").alias("n")).collect()
+    assert len(sums) == 120 and all(r.s == pytest.approx(100) for r in sums) and 60 < sum(r.n for r in sums) / 120 < 84
+    lin = synthetic.lineage(spark).collect()
+    assert len({r.family for r in lin}) == synthetic.FAMILIES and lin[0].taxon == "s__Species_000" and {r.phylum for r in lin} == {f"Phylum_{k}" for k in range(5)}
+    sick = spark.range(1).select(synthetic.sick_families(0).alias("s")).first().s
+    assert len(set(sick)) == synthetic.SICK_FAMILIES
+
+
+def test_lineage_from_a_file(spark, features, tmp_path):
+    (tmp_path / "taxa_lineage.csv").write_text("phylum,family,taxon\nP1,F1,x\nP1,F2,x\nP2,F3,y\n")
+    lin = tables.read_lineage(spark, str(tmp_path / "taxa_lineage.csv"))
+    lab = {r.feature: r.label for r in lineage.labels(features, lin).collect()}
+    assert lab["x"] == "F1" and lab["y"] == "F3" and lab["z"] == "__unknown__z"
+    absent = {r.feature: r.label for r in lineage.labels(features, lin, "genus").collect()}
+    assert absent["x"] == "__unknown__x"
+
+
+def test_tests_with_odd_values(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"O'Brien {k % 3}", 1e8 + float(v)) for k, v in enumerate(rng.normal(size=60) + np.arange(60) % 3)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    by = [np.array([v for g, v in rows if g.endswith(str(k))]) - 1e8 for k in range(3)]
+    n, m = np.array([len(x) for x in by]), np.array([x.mean() for x in by])
+    f = ((n * (m - np.concatenate(by).mean()) ** 2).sum() / 2) / (sum(((x - x.mean()) ** 2).sum() for x in by) / 57)
+    assert hypothesis.anova(df, "v", "g").first().f == pytest.approx(f, rel=1e-5)
+    t = (m[0] - m[1]) / np.sqrt(by[0].var(ddof=1) / n[0] + by[1].var(ddof=1) / n[1])
+    assert hypothesis.welch(df, "v", "g", "O'Brien 0", "O'Brien 1").first().t == pytest.approx(t, rel=1e-5)
+
+
+def test_samples_without_tokens_pool_to_zero(spark):
+    t = spark.createDataFrame([("a", 2), ("a", 0), ("b", 0)], "sample_id string, token_id long")
+    v = spark.createDataFrame([(2, [1.0, 3.0])], "token_id long, v array<double>")
+    assert {r.sample_id: r.pooled for r in retrieval.mean_pool(t, v, 2).collect()} == {"a": [1.0, 3.0], "b": [0.0, 0.0]}
+
+
+def test_split_of_few_studies_has_the_exact_share(spark):
+    meta = spark.createDataFrame([(f"s{k}", "a" if k % 2 else "b") for k in range(53)], "sample_id string, study_name string")
+    assert splits.split_by_study(meta, val_frac=0.2).where("not is_val").count() == int(53 * 0.8)
