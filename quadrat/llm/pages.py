@@ -12,14 +12,13 @@ many tasks; only the first and last page of each range meet in one table. Line h
 
 Defined results: a null html is empty and gives the empty text; a null or odd URL counts as its whole string under the
 empty host; repeated rows are one page in the order and keep their number in the result; a page
-without a neighbour loses no line; an empty table gives an empty result. Other columns are not read.
+without a neighbour loses no line, nor does one that shares its whole body (a mirror); an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -119,24 +118,26 @@ def shared(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         low += 1
     while x > low and y > low and a[x - 1] == b[y - 1]:
         x, y = x - 1, y - 1
-    where: dict[int, list[int]] = defaultdict(list)
-    for j in range(y - 1, low - 1, -1):
-        where[b[j]].append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
+    # bit-parallel rows: a zero at place j says that the subsequence grows there; time and memory are lines times lines / 64
+    n = y - low
+    where: dict[int, int] = defaultdict(int)
+    for j in range(n):
+        where[b[low + j]] |= 1 << j
+    row, rows = (1 << n) - 1, []
     for i in range(low, x):
-        for j in where.get(a[i], ()):
-            k = bisect_left(tails, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
-    while link is not None:
-        middle.append(link[:2])
-        link = link[2]
+        met = row & where.get(a[i], 0)
+        row = ((row + met) | (row - met)) & ((1 << n) - 1)
+        rows.append(row)
+    middle, i, j = [], x - low, n
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if i and not rows[i - 1] >> (j - 1) & 1:
+            continue
+        j -= 1
+        middle.append((low + i, low + j))
     return [(k, k) for k in range(low)] + middle[::-1] + [(x + k, y + k) for k in range(len(a) - x)]
 
 
@@ -164,7 +165,9 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for has, h, zone, other in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
             outside = {i for i, _ in shared(h, other or []) if zone[i] != 1}
             body = [i for i, z in enumerate(zone) if (z == 1 if has else z != 2)]
-            gone.append([n for n, i in enumerate(body) if i in outside])
+            drop = [n for n, i in enumerate(body) if i in outside]
+            # a page that shares its whole body has a mirror beside it, not a template
+            gone.append(drop if len(drop) < len(body) else [])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
 
 
