@@ -78,27 +78,29 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of turns and of trainable text, both read back from the formatted output."""
+    """Digests of turns and of trainable text, both read back from the formatted output; examples and characters of their prompts."""
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     formatted = format_chats(turns.unionByName(probe))
     ordered = F.array_sort(F.collect_list(F.struct("example", unescape(F.col("target")).alias("t"))))
-    loss = examples(formatted).groupBy("conv_id").agg(F.array_join(ordered["t"], "").alias("loss")).withColumnRenamed("conv_id", "c")
+    one = examples(formatted).select("conv_id", "example", "target", F.char_length("prompt").cast("long").alias("n"))
+    loss = one.groupBy("conv_id").agg(F.array_join(ordered["t"], "").alias("loss"), F.count("*").alias("n_examples"), F.sum("n").alias("prompt_chars")).withColumnRenamed("conv_id", "c")
     back = formatted.withColumn("turns", parse(F.col("formatted")))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     text = F.coalesce("loss", F.lit(""))
     joined = back.join(loss, back["conv_id"].eqNullSafe(loss["c"]), "left")
-    return joined.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"), F.char_length(text).cast("long").alias("loss_chars"), F.sha2(text.cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return joined.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"), F.char_length(text).cast("long").alias("loss_chars"), F.sha2(text.cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"), F.coalesce("prompt_chars", F.lit(0)).cast("long").alias("prompt_chars"))
 
 
 OP5_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) + 14 AS n FROM t)
+l AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) + 14 AS n FROM t),
+e AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 16 AS prompt FROM l)
 SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(n)::BIGINT AS formatted_chars
+       sum(n)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples, coalesce(sum(prompt) FILTER (role = 'assistant'), 0)::BIGINT AS prompt_chars
 FROM e GROUP BY conv_id
 """
