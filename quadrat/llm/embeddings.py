@@ -184,7 +184,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     v = F.col(embedding).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.col(label).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(key).alias("vec_id"), F.when(F.coalesce(sound, F.lit(False)), F.struct(F.col(label).cast("long").alias("label"), F.col(embedding).alias("v"))).alias("c"))
+    rows = vectors.select(F.col(key).alias("vec_id"), F.when(F.coalesce(sound, F.lit(False)), F.struct(F.xxhash64(F.col(label)).alias("label"), F.col(embedding).alias("v"))).alias("c"))
     rows = rows.withColumn("cls", F.when(F.col("c").isNotNull(), F.xxhash64("c.label", "c.v")))
     classes = rows.where("cls is not null").groupBy("cls", "c").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"))
     classes = scratch.save(classes.select("cls", "c.label", "c.v", "m", "least"), "classes")

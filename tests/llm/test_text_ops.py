@@ -189,6 +189,19 @@ def test_pages_by_differencing(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_mirrored_pages_stay(spark):
+    page = "<body><div>Site name</div><p>the same text</p></body>"
+    rows = [(1, "http://h/a?x=1", page), (2, "http://h/a?x=2", page)]
+    assert {r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Site name the same text"}
+
+
+def test_alignment_of_many_equal_lines():
+    a, b = [1, 2] * 3000, [2, 1, 3] * 2000
+    pairs = pages.shared(a, b)
+    # all ones and twos of b: no longer one exists
+    assert len(pairs) == 4000 and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
 def test_neighbours_do_not_depend_on_ranges(spark):
     from quadrat.llm.common import Scratch
 
