@@ -111,6 +111,10 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+#: Rows between those that an alignment keeps.
+EVERY = 256
+
+
 def shared(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """A longest common subsequence of two lists, as pairs of positions."""
     low, x, y = 0, len(a), len(b)
@@ -118,26 +122,37 @@ def shared(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         low += 1
     while x > low and y > low and a[x - 1] == b[y - 1]:
         x, y = x - 1, y - 1
-    # bit-parallel rows: a zero at place j says that the subsequence grows there; time and memory are lines times lines / 64
-    n = y - low
+    # bit-parallel rows: a zero at place j says that the subsequence grows there; time is lines times lines / 64
+    n, full = y - low, (1 << (y - low)) - 1
     where: dict[int, int] = defaultdict(int)
     for j in range(n):
         where[b[low + j]] |= 1 << j
-    row, rows = (1 << n) - 1, []
-    for i in range(low, x):
-        met = row & where.get(a[i], 0)
-        row = ((row + met) | (row - met)) & ((1 << n) - 1)
-        rows.append(row)
-    middle, i, j = [], x - low, n
+
+    def after(row: int, i: int) -> int:
+        met = row & where.get(a[low + i], 0)
+        return ((row + met) | (row - met)) & full
+
+    # every EVERY-th row is kept, those between are made again on the way back: memory stays small for very long pages
+    kept, row = [], full
+    for i in range(x - low):
+        if i % EVERY == 0:
+            kept.append(row)
+        row = after(row, i)
+    middle, i, j, block, rows = [], x - low, n, -1, []
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
+        if (i - 1) // EVERY != block:
+            block = (i - 1) // EVERY
+            rows = [kept[block]]
+            for k in range(block * EVERY, min((block + 1) * EVERY, x - low)):
+                rows.append(after(rows[-1], k))
+        at = i - block * EVERY
+        if rows[at] >> (j - 1) & 1:
             j -= 1
-            continue
-        i -= 1
-        if i and not rows[i - 1] >> (j - 1) & 1:
-            continue
-        j -= 1
-        middle.append((low + i, low + j))
+        elif i > 1 and not rows[at - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            middle.append((low + i, low + j))
     return [(k, k) for k in range(low)] + middle[::-1] + [(x + k, y + k) for k in range(len(a) - x)]
 
 
@@ -163,8 +178,11 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = []
         for has, h, zone, other in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            if has:  # an article's own lines are all that its page gives
+                gone.append([])
+                continue
             outside = {i for i, _ in shared(h, other or []) if zone[i] != 1}
-            body = [i for i, z in enumerate(zone) if (z == 1 if has else z != 2)]
+            body = [i for i, z in enumerate(zone) if z != 2]
             drop = [n for n, i in enumerate(body) if i in outside]
             # a page that shares its whole body has a mirror beside it, not a template
             gone.append(drop if len(drop) < len(body) else [])
