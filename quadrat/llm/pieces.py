@@ -40,7 +40,7 @@ from quadrat.llm.common import read, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SEED = 17
-CACHE = 100_000
+CACHE = 190_000
 BATCH_CHARS = 300_000
 
 SPACE = 0x2581
@@ -110,8 +110,8 @@ def _logsumexp_by(values: np.ndarray, start: np.ndarray, width: np.ndarray) -> n
 class Lattices:
     """Lattices of distinct units in flat arrays: nodes are characters, edges are sorted by node."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, most: int = CACHE):
+        self.v, self.most = vocabulary, most
         self.clear()
 
     #: Of a unit: its first node and its characters; of a node: the log mass of all paths to the unit's end and the
@@ -221,7 +221,7 @@ class Batch:
         if None in found:
             missing = [k for k, i in enumerate(found) if i is None]
             new = {units[k] for k in missing}
-            if len(lattices.ids) + len(new) > CACHE:
+            if len(lattices.ids) + len(new) > lattices.most:
                 lattices.clear()
                 missing, new = range(len(units)), set(units)
             lattices.add(list(new))
@@ -386,13 +386,13 @@ _held: dict[str, Vocabulary] = {}
 SAMPLES = "key long, sample int, ids array<int>, log_p double, clock double, log_inclusion double, exact boolean"
 
 
-def _encode(model: str, k: int, copies: bool = False):
+def _encode(model: str, k: int, copies: bool = False, cache: int = CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _held:
             _held[model] = Vocabulary(model)
         vocabulary = _held[model]
         # of this task: a worker that keeps its lattices would hold their memory through other stages
-        lattices = Lattices(vocabulary)
+        lattices = Lattices(vocabulary, cache)
 
         def flush(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
             found = sample([t for _, _, t in rows], np.array([s for _, s, _ in rows], np.int64).view(np.uint64), lattices, k)
@@ -429,15 +429,16 @@ def _encode(model: str, k: int, copies: bool = False):
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, model: str = MODEL, copies: bool = False) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, model: str = MODEL, copies: bool = False, cache: int = CACHE) -> DataFrame:
     """One row per sampled segmentation: key, sample (1 is the best), ids, log_p, clock, log_inclusion, and whether
     decoding the ids gave back the text. No shuffle.
 
     ``copies``: equal rows that follow each other in a file, as a mixture's repetitions do, draw samples of their own.
+    ``cache``: units whose lattices a task keeps; fewer cost time and save memory, and the samples are the same.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.lit(SEED), F.col(key)).alias("seed"), t.alias("text"))
-    return text_batches(rows).mapInArrow(_encode(model, k, copies), SAMPLES)
+    return text_batches(rows).mapInArrow(_encode(model, k, copies, cache), SAMPLES)
 
 
 def decode(samples: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
