@@ -59,9 +59,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+#: Lattices that a task keeps: few, as the stages before have filled the executors.
+STAGE_CACHE = 100_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document of the mixture; repetitions of a document draw their own."""
-    return pieces.encode(docs, copies=True).withColumnRenamed("key", "doc_id")
+    return pieces.encode(docs, copies=True, cache=STAGE_CACHE).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [
