@@ -40,7 +40,7 @@ from quadrat.llm.common import read, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SEED = 17
-CACHE = 190_000
+CACHE = 320_000
 BATCH_CHARS = 300_000
 
 SPACE = 0x2581
