@@ -73,6 +73,7 @@ class Vocabulary:
                 normal.append((i, piece))
                 rank[i] = min(-sp.get_score(i), n)
                 self.text[i] = piece.replace("▁", " ").encode()
+        self.binary = pa.array(self.text, pa.binary())
         crossing = re.compile(f"{LETTER}[.,]")
         self.unit = UNIT if any(crossing.search(piece) for _, piece in normal) else FINE_UNIT
         weight = 1 / (rank + 2)
@@ -101,6 +102,16 @@ class Vocabulary:
         raw = b"".join(map(self.text.__getitem__, ids))
         return raw[1:].decode("utf-8", "replace") if raw else ""
 
+    def decode_all(self, ids: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """UTF-8 of many texts whose ids stand in a row, each up to its ``end``."""
+        if not len(ids):
+            return [b""] * len(end)
+        found = self.binary.take(pa.array(ids))
+        _, at, data = found.buffers()
+        at = np.frombuffer(at, np.int32, len(ids) + 1, 4 * found.offset)[np.r_[0, end]].tolist()
+        data = data.to_pybytes()
+        return [data[a + 1 : b] for a, b in zip(at, at[1:])]  # noqa: B905
+
 
 def _logsumexp_by(values: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
     top = np.maximum.reduceat(values, start)
@@ -216,21 +227,19 @@ class Batch:
 
     def __init__(self, texts: list[str], seeds: np.ndarray, lattices: Lattices):
         split = [lattices.v.unit.findall(" " + t) if t else [] for t in texts]
-        units = list(chain.from_iterable(split))
-        found = list(map(lattices.ids.get, units))
-        if None in found:
-            missing = [k for k, i in enumerate(found) if i is None]
-            new = {units[k] for k in missing}
-            if len(lattices.ids) + len(new) > lattices.most:
-                lattices.clear()
-                missing, new = range(len(units)), set(units)
-            lattices.add(list(new))
-            for k in missing:
-                found[k] = lattices.ids[units[k]]
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [u for u in units if u not in lattices.ids]
+        if len(lattices.ids) + len(new) > lattices.most:
+            lattices.clear()
+            new = units
+        if new:
+            lattices.add(new)
+        found = np.fromiter(map(lattices.ids.__getitem__, units), np.int64, len(units))
         self.l = lattices
         self.count = np.array([len(s) for s in split], np.int64)
         self.end = np.cumsum(self.count)
-        self.unit = np.fromiter(found, np.int64, len(found))
+        self.unit = found[coded.indices.to_numpy()]
         self.text = np.repeat(np.arange(len(texts)), self.count)
         self.seed = seeds[self.text]
         upto = np.cumsum(lattices.chars[self.unit]) if len(self.unit) else np.zeros(0, np.int64)
@@ -244,9 +253,9 @@ class Batch:
     def walk(self, place: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """Paths from the nodes to the ends of their units: (place, edge), in order of places."""
         l, count, steps = self.l, np.zeros(len(place), np.int64), []
-        k = np.arange(len(place))
+        k, seed, position = np.arange(len(place)), self.seed[place], self.position(place, node)
         while len(k):
-            u = _uniform(self.seed[place[k]], 2 * sample, self.position(place[k], node))
+            u = _uniform(seed, 2 * sample, position)
             edge = l.first[node]
             wrong = np.flatnonzero(u > l.cum[edge])
             while len(wrong):
@@ -254,9 +263,10 @@ class Batch:
                 wrong = wrong[u[wrong] > l.cum[edge[wrong]]]
             steps.append((k, edge))
             count[k] += 1
-            node = l.to[edge]
-            on = node >= 0
-            k, node = k[on], node[on]
+            to = l.to[edge]
+            on = np.flatnonzero(to >= 0)
+            to = to[on]
+            k, seed, position, node = k[on], seed[on], position[on] + to - node[on], to
         offset = np.cumsum(count) - count
         out = np.empty(count.sum(), np.int64)
         for step, (k, edge) in enumerate(steps):
@@ -340,17 +350,24 @@ def sample(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int = K)
         fresh = []
         for (t, s, p, step, _), pick in zip(chosen, forced, strict=True):
             old, new = paths[t][p], found[t]
-            paths[t].append((np.r_[old[0][: step + 1], new[0]], np.r_[old[1][:step], pick, new[1]]))
+            paths[t].append((np.concatenate([old[0][: step + 1], new[0]]), np.concatenate([old[1][:step], [pick], new[1]])))
             clocks[t].append(s)
             fresh.append((t, len(paths[t]) - 1, step + 1))
         open_siblings(fresh)
-    out = []
+    edges = [ed for one in paths for _, ed in one]
+    end = np.cumsum([len(ed) for ed in edges])
+    ed = np.concatenate(edges)
+    total = np.zeros(len(edges))
+    some = np.flatnonzero(np.diff(end, prepend=0))  # the empty text has no edge and log probability 0
+    if len(some):
+        total[some] = np.add.reduceat(l.logq[ed], np.r_[0, end[:-1]][some])
+    ids, total, out = iter(_ids(l, ed, end)), iter(total.tolist()), []
     for t in range(n):
         beyond = min((x[0] for x in queue[t]), default=np.inf)
         one = []
-        for (_, ed), c in zip(paths[t], clocks[t], strict=True):
-            logp = float(l.logq[ed].sum())
-            one.append((_ids(l, ed), logp, c, _log_inclusion(logp, beyond)))
+        for c in clocks[t]:
+            logp = next(total)
+            one.append((next(ids), logp, c, _log_inclusion(logp, beyond)))
         out.append(one)
     return out
 
@@ -368,16 +385,19 @@ def _by_text(b: Batch, place: np.ndarray, edge: np.ndarray) -> list[tuple[np.nda
     return list(zip(np.split(place, cut), np.split(edge, cut), strict=True))
 
 
-def _ids(l: Lattices, edge: np.ndarray) -> np.ndarray:
+def _ids(l: Lattices, edge: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Piece ids of paths that stand in a row, each up to its ``end``; unknown characters become their bytes."""
     piece = l.piece[edge]
-    if (piece >= 0).all():
-        return piece.astype(np.int32)
-    c = np.maximum(-1 - piece, 0)
-    n = np.where(piece >= 0, 1, _utf8_length(c))
-    out = np.repeat(piece, n)
-    raw = np.frombuffer("".join(map(chr, c[piece < 0].tolist())).encode("utf-8", "surrogatepass"), np.uint8)
-    out[np.repeat(piece < 0, n)] = l.v.bytes[raw]
-    return out.astype(np.int32)
+    bare = np.flatnonzero(piece < 0)
+    if len(bare):
+        c = -1 - piece[bare]
+        n = np.ones(len(piece), np.int64)
+        n[bare] = _utf8_length(c)
+        raw = np.frombuffer("".join(map(chr, c.tolist())).encode("utf-8", "surrogatepass"), np.uint8)
+        out = np.repeat(piece, n)
+        out[out < 0] = l.v.bytes[raw]
+        piece, end = out, np.r_[0, np.cumsum(n)][end]
+    return np.split(piece, end[:-1])
 
 
 #: Of a worker process, for all its tasks; some ten MB.
@@ -396,8 +416,9 @@ def _encode(model: str, k: int, copies: bool = False, cache: int = CACHE):
 
         def flush(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
             found = sample([t for _, _, t in rows], np.array([s for _, s, _ in rows], np.int64).view(np.uint64), lattices, k)
-            key, number, logp, clock, inclusion, exact, ids = [], [], [], [], [], [], []
+            key, number, logp, clock, inclusion, want, ids = [], [], [], [], [], [], []
             for (doc, _, text), paths in zip(rows, found, strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
                 for j, (i, p, c, s) in enumerate(paths):
                     key.append(doc)
                     number.append(j + 1)
@@ -405,9 +426,10 @@ def _encode(model: str, k: int, copies: bool = False, cache: int = CACHE):
                     logp.append(p)
                     clock.append(c)
                     inclusion.append(s)
-                    exact.append(vocabulary.decode(i.tolist()) == text)
-            offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+                    want.append(raw)
+            end, flat = np.cumsum([len(i) for i in ids], dtype=np.int64), np.concatenate(ids)
+            exact = [a == b for a, b in zip(vocabulary.decode_all(flat, end), want, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), pa.array(flat))
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(number, pa.int32()), lists, pa.array(logp), pa.array(clock), pa.array(inclusion), pa.array(exact)], names=["key", "sample", "ids", "log_p", "clock", "log_inclusion", "exact"])
 
         held: list[tuple[int | None, int, str]] = []
