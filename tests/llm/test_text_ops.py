@@ -84,9 +84,8 @@ def test_encode_odd_rows(spark):
     assert pieces.encode(odd_docs(spark).limit(0)).count() == 0
 
 
-def test_tables_are_cleared(monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE", 50)
-    l = pieces.Lattices(pieces.Vocabulary())
+def test_tables_are_cleared():
+    l = pieces.Lattices(pieces.Vocabulary(), 50)
     for k in range(10):
         text = " ".join(f"word{k}{j}" for j in range(20))
         (found,) = pieces.sample([text], np.array([k], np.uint64), l, 2)
