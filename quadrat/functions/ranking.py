@@ -6,6 +6,9 @@ the ranges before it give exact ranks, whatever the cuts.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +18,39 @@ RANGES = 64
 def ranges(df: DataFrame, value: str, n: int = RANGES) -> Column:
     """The number of the range that a value falls in: an expression with n - 1 literals."""
     cuts = sorted(set(df.approxQuantile(value, [k / n for k in range(1, n)], 0.002)))
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-
-
-def running(df: DataFrame, value: str, sums: list[str], n: int = RANGES) -> DataFrame:
-    """Per distinct value: ``sums`` summed, and the sums over all smaller values as ``<name>_before``."""
-    per_value = df.withColumn("_range", ranges(df, value, n)).groupBy("_range", value).agg(*[F.sum(s).alias(s) for s in sums])
-    before = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = per_value.select("_range", value, *sums, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}") for s in sums])
-    along = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows
-    offsets = per_value.groupBy("_range").agg(*[F.sum(s).alias(s) for s in sums])
-    offsets = offsets.select("_range", *[F.coalesce(F.sum(s).over(along), F.lit(0)).alias(f"o_{s}") for s in sums])
-    joined = inside.join(F.broadcast(offsets), "_range")
-    return joined.select(value, *sums, *[(F.col(f"_{s}") + F.col(f"o_{s}")).alias(f"{s}_before") for s in sums])
+    return reduce(operator.add, [(F.col(value) >= F.lit(float(c))).cast("int") for c in cuts], F.lit(0))
+
+
+def running(df: DataFrame, value: str, sums: list[str], n: int = RANGES, by: list[str] | None = None) -> DataFrame:
+    """Per distinct value (of each group): ``sums`` summed, and the sums over all smaller values as ``<name>_before``."""
+    by = by or []
+    per_value = df.withColumn("_range", ranges(df, value, n)).groupBy(*by, "_range", value).agg(*[F.sum(s).alias(s) for s in sums])
+    before = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = per_value.select(*by, "_range", value, *sums, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}") for s in sums])
+    along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows of a group
+    offsets = per_value.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
+    offsets = offsets.select(*by, "_range", *[F.coalesce(F.sum(s).over(along), F.lit(0)).alias(f"o_{s}") for s in sums])
+    # one row for each range; with groups, the planner decides by their number
+    joined = inside.join(offsets if by else F.broadcast(offsets), [*by, "_range"])
+    return joined.select(*by, value, *sums, *[(F.col(f"_{s}") + F.col(f"o_{s}")).alias(f"{s}_before") for s in sums])
+
+
+def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, of each group: an array ``q``, one entry for each of ``probs``.
+
+    A row counts ``weight`` times. Running counts by ranges say which values hold the wanted places, so no buffer
+    holds a group's values. NULL where nothing counts.
+    """
+    by = by or []
+    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n"))
+    r = running(x, "_v", ["_n"], by=by)
+    total = r.groupBy(*by).agg((F.sum("_n") - 1).alias("_last"))
+    r = r.join(total, by) if by else r.join(F.broadcast(total))
+    at = [F.col("_last") * F.lit(p) for p in probs]
+    held = lambda place: F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col("_v")))
+    found = r.groupBy(*by, "_last").agg(*[held(f(a)).alias(f"_{side}{k}") for k, a in enumerate(at) for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = [F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (a - F.floor(a)) for k, a in enumerate(at)]
+    return found.select(*by, F.array(*between).alias("q"))
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.ranking import quantiles
+
 
 def summary(df: DataFrame, value: str, subject: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(subject).alias("n_subjects"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
@@ -19,6 +21,14 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
 
 
+def bars(df: DataFrame, column: str) -> DataFrame:
+    """Counts of values as bars: the tallest first, equal ones by value, with their place and label."""
+    n = frequencies(df, column)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), F.asc(column)))  # one row for each value
+    total = F.sum("n").over(Window.partitionBy())
+    return n.select(column, "n", place.alias("place"), F.format_string("%d (%.1f%%)", F.col("n"), 100 * F.col("n") / total).alias("label"))
+
+
 def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     """(bin, low, n): bins of equal width over the range, the last one closed. Empty bins have no row."""
     r = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -31,7 +41,7 @@ def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
 def box(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 interquartile ranges) and number of outliers of each group."""
     x = df.where(F.col(value).isNotNull())
-    q = x.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(x, value, [0.25, 0.5, 0.75], [group])
     q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
@@ -52,6 +62,11 @@ def pca(df: DataFrame, vector: Column, key: str, k: int = 3) -> tuple[DataFrame,
     return model.transform(scaled).select(key, vector_to_array("pc").alias("pc")), [float(v) for v in model.explainedVariance]
 
 
+def with_metadata(scores: DataFrame, metadata: DataFrame, key: str = "sample_id", k: int = 2) -> DataFrame:
+    """The first k components as columns pc1, pc2, ... beside the samples' metadata; unknown samples have NULL there."""
+    return scores.select(key, *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)]).join(metadata, key, "left")
+
+
 def ellipses(points: DataFrame, group: str, x: str, y: str, level: float = 0.68) -> DataFrame:
     """Normal-theory confidence ellipse of each group, from its five moments: centre, half axes, angle."""
     m = points.groupBy(group).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_samp(x).alias("xx"), F.covar_samp(x, y).alias("xy"), F.var_samp(y).alias("yy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.ranking import running
+from quadrat.functions.ranking import batch_numbers, running
 
 
 def study_order(study: Column, seed: int = 0) -> Column:
@@ -44,6 +44,23 @@ def assign_folds(sizes: dict, k: int | None = None) -> dict:
     return out
 
 
+def draw(key: Column, seed: int, epoch: int = 0) -> Column:
+    """A number for each key that any engine can compute: 52 bits of a seeded digest, as a double."""
+    text = F.concat(F.lit(f"{seed}:{epoch}:"), key.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+
+
+def shuffled_batches(df: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """``df`` with ``batch``: rows in an order drawn anew for each epoch, ``size`` to a batch. Equal keys fall together."""
+    return batch_numbers(df.withColumn("_draw", draw(F.col(key), seed, epoch)), "_draw", size).drop("_draw")
+
+
+def choose(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows with distinct keys, drawn without replacement; all of them if there are fewer."""
+    r = batch_numbers(df.withColumn("_draw", draw(F.col(key), seed)), "_draw", n)
+    return r.where("batch = 0").drop("_draw", "batch")
+
+
 def group_folds(df: DataFrame, group: str, k: int | None = None) -> DataFrame:
     """(group, n, fold). Groups are counted by Spark; only the counts are dealt on the driver."""
     sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}

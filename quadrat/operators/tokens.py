@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.ranking import quantiles
 from quadrat.functions.scalars import digitize
 from quadrat.operators import composition
 
@@ -36,8 +37,7 @@ def bin_edges(with_clr: DataFrame, model: composition.Composition, n_bins: int =
     x = with_clr.select("clr", F.lit(1).alias("n"))
     if population == "all":
         x = x.unionByName(composition.zero_cells(with_clr, model).select("clr", F.col("n").cast("int").alias("n")))
-    probs = F.array(*[F.lit(p) for p in probabilities(n_bins)])
-    return x.where("clr <> 0").agg(F.percentile("clr", probs, F.col("n")).alias("edges"))
+    return quantiles(x.where("clr <> 0"), "clr", probabilities(n_bins), weight="n").select(F.col("q").alias("edges"))
 
 
 def bins(tokens: DataFrame, edges: list[float]) -> DataFrame:

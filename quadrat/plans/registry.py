@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.functions import scalars
+from quadrat.functions import ranking, scalars
+from quadrat.functions.scratch import written
 from quadrat.operators import cohort, composition, encoder, evaluate, hypothesis, lineage, retrieval, splits, tokens
 from quadrat.sources import tables
 from quadrat.streaming import tokens as stream
@@ -107,6 +108,7 @@ def half_min_pseudocount(spark, sf):
 
 def _clr(spark, sf, digits=tokens.DIGITS):
     rel, features = _rel(spark, sf, view_as)
+    rel = written(rel)  # the pseudocount, the quantiles and the result read it
     model = composition.fit(rel, features)
     return composition.clr(rel, model, digits), model
 
@@ -223,7 +225,7 @@ def bin_tokens(spark, sf):
 @query(f"WITH {DENSE}, {TOKENS}, m AS (SELECT avg(clr) AS mean, stddev_pop(clr) + 1e-8 AS std FROM tk WHERE clr <> 0) SELECT sample_id, rank, token_id, round(CASE WHEN clr = 0 THEN 0 ELSE (clr - mean) / std END, 5) + 0.0::DOUBLE AS val FROM tk CROSS JOIN m")
 def cont_tokens(spark, sf):
     cells, features = view_as(spark, sf)
-    cells = numbered(cells, features)
+    cells = written(numbered(cells, features))
     model = tokens.fit(cells, features, "cont", MAX_LEN)
     return model.transform(cells).select("sample_id", "rank", "token_id", (F.round("val", 5) + 0.0).alias("val"))
 
@@ -443,6 +445,74 @@ def pca_variance(spark, sf):
     return spark.createDataFrame([(k + 1, v) for k, v in enumerate(share)], "pc int, share double")
 
 
+@query("SELECT c_mktsegment, n, (row_number() OVER (ORDER BY n DESC, c_mktsegment))::INT AS place, printf('%d (%.1f%%)', n, 100 * n / (sum(n) OVER ())::DOUBLE) AS label FROM (SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1)")
+def bar_counts(spark, sf):
+    return cohort.bars(read(spark, sf, "customer"), "c_mktsegment")
+
+
+@query()
+def pca_scatter(spark, sf):
+    # signs of components are arbitrary: magnitudes are shown
+    scores, _ = cohort.pca(read(spark, sf, "embeddings"), F.col("embedding"), "vec_id", 2)
+    meta = read(spark, sf, "embeddings").select("vec_id", "label")
+    x = cohort.with_metadata(scores, meta, "vec_id")
+    return x.select("vec_id", "label", F.round(F.abs("pc1"), 6).alias("pc1"), F.round(F.abs("pc2"), 6).alias("pc2"))
+
+
+@query("SELECT vec_id, round(coalesce(ln(q / (1 - q)), 0), 6) + 0.0::DOUBLE AS logit, q AS clipped FROM (SELECT vec_id, greatest(least(embedding[1]::DOUBLE, 0.999999), 0.000001)::DOUBLE AS q FROM embeddings)")
+def logit_clip(spark, sf):
+    p = F.col("embedding")[0].cast("double")
+    x = read(spark, sf, "embeddings")
+    return x.select("vec_id", (F.round(scalars.logit(p), 6) + 0.0).alias("logit"), scalars.clip(p, 1e-6, 1 - 1e-6).alias("clipped"))
+
+
+@query("SELECT c_custkey AS sample_id, (c_mktsegment IS NOT NULL AND c_mktsegment = 'BUILDING')::INT AS y FROM customer")
+def positive_labels(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), scalars.positive_label(F.col("c_mktsegment"), "BUILDING").alias("y"))
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 64)::INT AS batch FROM orders")
+def ordered_batches(spark, sf):
+    x = read(spark, sf, "orders").select(F.col("o_orderkey"), F.col("o_orderkey").cast("double").alias("place"))
+    return ranking.batch_numbers(x, "place", 64).select("o_orderkey", "batch")
+
+
+DRAW = "('0x' || substr(md5('{seed}:{epoch}:' || c_custkey), 1, 13))::BIGINT"
+
+
+@query(f"SELECT c_custkey AS sample_id, ((row_number() OVER (ORDER BY {DRAW.format(seed=3, epoch=2)}) - 1) // 64)::INT AS batch FROM customer")
+def shuffled_batches(spark, sf):
+    return splits.shuffled_batches(_samples(spark, sf), "sample_id", 64, seed=3, epoch=2)
+
+
+@query(f"SELECT c_custkey AS sample_id FROM customer ORDER BY {DRAW.format(seed=5, epoch=0)} LIMIT 40")
+def choose_samples(spark, sf):
+    # forty distinct samples are what the operator is asked for
+    return splits.choose(_samples(spark, sf), "sample_id", 40, seed=5)
+
+
+@query(f"WITH l AS (SELECT batch, count(*) AS n, (avg(a) + avg(b)) / 2 AS loss FROM (WITH {SIMS.format(scale='14')} SELECT batch, i, j, ln(sum(exp(sim)) OVER (PARTITION BY batch, i)) - sim AS a, ln(sum(exp(sim)) OVER (PARTITION BY batch, j)) - sim AS b FROM sm) WHERE i = j GROUP BY batch HAVING count(*) >= 2) SELECT round(sum(loss * n) / greatest(sum(n), 1), 5) AS loss, arg_min(batch, (round(loss, 5), batch)) AS best FROM l")
+def epoch_means(spark, sf):
+    losses = retrieval.contrastive_loss(_sims(spark, sf, 14.0))
+    best = retrieval.best_epoch(losses.select(F.col("batch").alias("epoch"), F.round("loss", 5).alias("loss")), "loss")
+    return retrieval.weighted_mean(losses).select(F.round("loss", 5).alias("loss")).join(best.select(F.col("epoch").alias("best")))
+
+
+@query("SELECT vec_id AS sample_id, round(list_dot_product(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]), 6) + 0.0::DOUBLE AS product FROM embeddings")
+def pair_by_key(spark, sf):
+    v = _vectors(spark, sf)
+    x = retrieval.pair(v.select(F.col("id").alias("sample_id"), "za"), v.select(F.col("id").alias("sample_id"), "zb"))
+    return x.select("sample_id", (F.round(scalars.dot(F.col("za"), F.col("zb")), 6) + 0.0).alias("product"))
+
+
+@query("SELECT a.vec_id AS sample_id, 128 AS n_features, round(2 * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS square FROM embeddings a")
+def stacked_vectors(spark, sf):
+    v = _vectors(spark, sf)
+    both = v.select(F.col("id").alias("sample_id"), F.concat("za", "zb").cast("array<double>").alias("v"))
+    x = evaluate.stack(both, both)
+    return x.select("sample_id", F.size("v").alias("n_features"), F.round(scalars.dot(F.col("v"), F.col("v")), 5).alias("square"))
+
+
 # models
 
 
@@ -471,6 +541,21 @@ def grouped_eval(spark, sf):
     return evaluate.report(evaluate.out_of_fold(df, columns), "baseline_CLR", "logreg", len(columns))
 
 
+def _representations(spark, sf):
+    """Log-ratios of AB as vectors, those of AB with themselves squared beside them, and the targets."""
+    df, columns = _cases(spark, sf)
+    df = written(df)
+    clr = df.select("sample_id", F.array(*columns).alias("v"))
+    squares = df.select("sample_id", F.array(*[F.col(c) * F.col(c) for c in columns]).alias("v"))
+    return {"baseline_CLR": clr, "baseline_CLR_stacked": evaluate.stack(clr, squares)}, df.select("sample_id", "grp", "y")
+
+
+@query()
+def report_grid(spark, sf):
+    vectors, targets = _representations(spark, sf)
+    return evaluate.grid(vectors, targets, {"logreg": evaluate.logreg})
+
+
 @query()
 def gbt_oof(spark, sf):
     df, columns = _cases(spark, sf)
@@ -486,3 +571,17 @@ def encoder_embeddings(spark, sf):
     padded = tokens.padded(model.transform(cells), MAX_LEN, F.col("val"), _samples(spark, sf))
     shape = encoder.Shape(model.vocab_size, MAX_LEN)
     return encoder.embed(padded, encoder.initial_weights(shape), shape)
+
+
+@query()
+def masked_metrics(spark, sf):
+    cells, features = view_ab(spark, sf)
+    cells = written(numbered(cells, features))
+    model = tokens.fit(cells, features, "bin", MAX_LEN)
+    t = model.transform(cells).withColumn("value", F.col("val"))
+    m = tokens.mask(t, F.expr("((sample_id * 7919 + rank * 104729 + 17) % 10007) / 10007.0D"))
+    hidden = tokens.padded(m, MAX_LEN, F.col("val"))
+    seen = tokens.padded(m.withColumn("token_id", F.col("target")), MAX_LEN, F.col("value")).select("sample_id", F.col("ids").alias("target"), F.col("vals").alias("value"))
+    x = hidden.join(seen, "sample_id").withColumn("selected", F.zip_with("ids", "target", lambda a, b: a != b))
+    shape = encoder.Shape(model.vocab_size, MAX_LEN)
+    return encoder.masked_metrics(x, encoder.initial_weights(shape), shape)

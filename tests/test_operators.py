@@ -346,3 +346,64 @@ def test_samples_without_tokens_pool_to_zero(spark):
 def test_split_of_few_studies_has_the_exact_share(spark):
     meta = spark.createDataFrame([(f"s{k}", "a" if k % 2 else "b") for k in range(53)], "sample_id string, study_name string")
     assert splits.split_by_study(meta, val_frac=0.2).where("not is_val").count() == int(53 * 0.8)
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, 1.0, 9.0], [float(k * k % 37) for k in range(200)]])
+def test_quantiles_by_ranges(spark, values):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame([(g, v) for g in ("a", "b") for v in values] + [("c", None)], "g string, v double")
+    found = {r.g: r.q for r in ranking.quantiles(df, "v", probs, ["g"]).collect()}
+    assert set(found) == {"a", "b"}
+    for q in found.values():
+        assert q == pytest.approx(np.quantile(values, probs).tolist())
+    weighted = df.where("g = 'a'").groupBy("v").count()
+    assert ranking.quantiles(weighted, "v", probs, weight="count").first().q == pytest.approx(np.quantile(values, probs).tolist())
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "v double")
+    assert [r.q for r in ranking.quantiles(none, "v", [0.5]).collect()] in ([], [[None]])
+
+
+def test_batches_and_choice(spark):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    b = {r.k: r.batch for r in splits.shuffled_batches(df, "k", 30, 1, 0).collect()}
+    again = {r.k: r.batch for r in splits.shuffled_batches(df.repartition(7), "k", 30, 1, 0).collect()}
+    other = {r.k: r.batch for r in splits.shuffled_batches(df, "k", 30, 1, 1).collect()}
+    assert b == again != other
+    assert sorted(b.values()) == [k // 30 for k in range(100)]
+    assert splits.choose(df, "k", 7).distinct().count() == 7
+    assert splits.choose(df, "k", 500).count() == 100
+
+
+def test_pairs_out_and_in(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, [1.0, 2.0], [3.0]), (2, [4.0, 5.0], [6.0])], "sample_id long, za array<double>, zb array<double>")
+    retrieval.export_pairs(pairs, str(tmp_path / "z"))
+    back = retrieval.import_pairs(spark, str(tmp_path / "z"))
+    assert {r.sample_id: r.v for r in back.collect()} == {1: [1.0, 2.0, 3.0], 2: [4.0, 5.0, 6.0]}
+    assert {r.sample_id: len(r.v) for r in evaluate.stack(back, back.where("sample_id = 1")).collect()} == {1: 6}
+    assert retrieval.scale_of(1.0) == pytest.approx(np.e) and retrieval.scale_of(9.0) == 100.0
+
+
+def test_lines_of_report(spark):
+    row = spark.createDataFrame([("r", "logreg", 0.5, 0.25, 1.0)], "representation string, classifier string, auc double, brier double, calibration_slope double")
+    assert evaluate.lines_of_report(row).first().line == f"{'r':32s} {'logreg':7s} AUC 0.500 | Brier 0.250 | slope 1.00"
+
+
+def test_attention_by_label():
+    labels = np.array([0, 0, 7, 7, 8])
+    block = encoder.blocked_by(labels, np.array([[2, 3, 4, 1, 0]]))[0]
+    assert block.astype(int).tolist() == [[0, 0, 1, 0, 0], [0, 0, 1, 0, 0], [1, 1, 0, 0, 0], [0, 0, 0, 0, 0], [0, 0, 0, 0, 0]]
+
+
+def test_masked_metrics(spark):
+    shape = encoder.Shape(6, 3, d=8, heads=2, ff=16, n_bins=4)
+    w = encoder.initial_weights(shape)
+    assert not w["token"][0].any() and not w["value"][0].any()
+    rows = [([1, 3, 0], [0, 1, 0], [0.0, 2.0, 0.0], [2, 3, 0], [3.0, 2.0, 0.0], [True, False, False])] * 5
+    df = spark.createDataFrame(rows, "ids array<long>, ranks array<int>, vals array<double>, target array<long>, value array<double>, selected array<boolean>")
+    got = encoder.masked_metrics(df, w, shape, 2).first()
+    h = encoder.forward(w, shape, *(np.array([rows[0][k]]) for k in range(3)))[0, 0]
+    nll = lambda z, t: np.log(np.exp(z).sum()) - z[t]
+    assert got.n == 5 and got.loss == pytest.approx(nll(h @ w["head.token"], 2) + 0.3 * nll(h @ w["head.value"], 3))
+    assert encoder.masked_metrics(df.limit(0), w, shape).first().loss is None
