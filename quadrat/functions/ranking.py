@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.scratch import written
+
 RANGES = 64
 
 
@@ -43,8 +45,10 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     """
     by = by or []
     x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n"))
+    # distinct values with their numbers, written once: cuts, running counts and totals read them
+    x = written(x.groupBy(*by, "_v").agg(F.sum("_n").alias("_n")))
     r = running(x, "_v", ["_n"], by=by)
-    total = r.groupBy(*by).agg((F.sum("_n") - 1).alias("_last"))
+    total = x.groupBy(*by).agg((F.sum("_n") - 1).alias("_last"))
     r = r.join(total, by) if by else r.join(F.broadcast(total))
     at = [F.col("_last") * F.lit(p) for p in probs]
     held = lambda place: F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col("_v")))
