@@ -156,21 +156,23 @@ ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8"), ("low", "u1")])
 #: Places in the global order, below which every set counts its n-grams: around a quarter of the common range of hashes, where
 #: prefixes end, then the end of that range and steps of heaviness.
 THRESHOLDS = np.concatenate([np.linspace(0.14, 0.4, 15) * 2.0**56, np.linspace(0.45, 0.95, 11) * 2.0**56, np.array([1, *range(7, 21)]) * 2.0**56]).astype(np.uint64)
-#: A set: its size, how many of the thresholds its prefix reaches, and its n-grams before each of them.
-CLASS = np.dtype([("fp", "<i8"), ("n", "<u4"), ("reach", "<u4"), ("below", "<u2", (len(THRESHOLDS),))])
+#: A set: its size, how many of the thresholds its prefix reaches, and its n-grams in the range before each of them.
+CLASS = np.dtype([("fp", "<i8"), ("n", "<u4"), ("reach", "<u4"), ("ranges", "<u2", (len(THRESHOLDS),))])
+#: A range with so many n-grams or more counts as boundless, which only weakens bounds.
+MANY = 65_535
 SLICES = "part int, entries binary"
 
 
 def described(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     """(prefix, thresholds that it reaches, n-grams below each threshold) of a sorted set.
 
-    The global order is by heaviness, then by hash. Counts stop at 65,535: less than the truth only weakens a bound.
+    The global order is by heaviness, then by hash.
     """
     weight = heavy[s >> np.uint64(64 - SKETCH_BITS)]
     order = np.argsort(weight, kind="stable")
     place = (weight[order].astype(np.uint64) << np.uint64(56)) | (s[order] >> np.uint64(8))
     p = int(prefix_length(len(s)))
-    return s[order[:p]], int(np.searchsorted(THRESHOLDS, place[p - 1], side="right")), np.minimum(np.searchsorted(place, THRESHOLDS), 65_535)
+    return s[order[:p]], int(np.searchsorted(THRESHOLDS, place[p - 1], side="right")), np.searchsorted(place, THRESHOLDS)
 
 
 def _second_pass(heavy, parts: int):
@@ -189,7 +191,7 @@ def _second_pass(heavy, parts: int):
                     continue
                 seen.add(fp)
                 first, reach, below = described(s, weight)
-                classes.append((fp, len(s), reach, below))
+                classes.append((fp, len(s), reach, np.minimum(np.diff(below, prepend=0), MANY)))
                 e = np.empty(len(first), ENTRY)
                 e["token"], e["fp"], e["low"] = first, fp, np.arange(len(first)) < (below[reach - 1] if reach else 0)
                 held.append(e)
@@ -259,7 +261,7 @@ def _node_rows(x: np.ndarray) -> pa.RecordBatch:
     none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())]
     of = lambda c, t: pa.array(np.ascontiguousarray(x[c]).astype(t))
     if x.dtype == CLASS:
-        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * len(THRESHOLDS)), n, [None, pa.py_buffer(x["below"].tobytes())]).cast(pa.binary())
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * len(THRESHOLDS)), n, [None, pa.py_buffer(x["ranges"].tobytes())]).cast(pa.binary())
         columns = [*none[:3], of("fp", np.int64), of("n", np.int32), of("reach", np.int32), flat]
     else:
         columns = [of("node", np.int64), of("w", np.int32), of("low", np.int32), of("fp", np.int64), *none[3:]]
@@ -299,9 +301,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _below(blobs: pa.Array) -> np.ndarray:
-    """Counts below each threshold, after a column of zeros."""
+    """Counts below each threshold, after a column of zeros; behind a boundless range they are less than the truth."""
     x = np.frombuffer(b"".join(x.as_py() for x in blobs), np.uint16).reshape(len(blobs), -1)
-    return np.concatenate([np.zeros((len(x), 1), np.int32), x], axis=1)
+    return np.concatenate([np.zeros((len(x), 1), np.int32), np.cumsum(x, axis=1, dtype=np.int32)], axis=1)
+
+
+def _ranges(below: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """No less than the n-grams of each range between thresholds, the one behind the last included."""
+    x = np.diff(below, axis=1, append=n[:, None])
+    x[x >= MANY] = np.iinfo(np.int32).max
+    return x
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray, reach: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -319,7 +328,7 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray, reach:
     out = np.zeros(len(a), bool)
     for k in range(0, len(fits), 20_000):
         i, j, t = x[k : k + 20_000], y[k : k + 20_000], at[k : k + 20_000]
-        rest = np.minimum(np.diff(below[i], axis=1, append=n[i, None]), np.diff(below[j], axis=1, append=n[j, None]))
+        rest = np.minimum(_ranges(below[i], n[i]), _ranges(below[j], n[j]))
         rest[np.arange(rest.shape[1]) < t[:, None]] = 0
         out[fits[k : k + 20_000]] = rest.sum(axis=1) >= least[k : k + 20_000]
     return out
