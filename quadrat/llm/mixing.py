@@ -6,12 +6,13 @@
 ordered by a seeded digest of their id, and those up to a cut take one repetition more. The cut is
 one key per source, so deciding costs one narrow pass for sums by (source, digest prefix), one over
 the few documents near the cut, and none of the texts are shuffled. A hot source is spread over
-4,096 prefixes, so that no task holds it whole.
+4,096 prefixes, so that no task holds it whole. Rows that agree in source, id and size are one group
+there, which the cut may part: then its rows are written with numbers and as many as are due take the repetition, the first
+ones, found by counts for each partition of that table and a sort within one of them.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
 source of size 0 gets target 0 and its documents one repetition less than any other's (none).
-Rows that agree in source, id and size are on the same side of the cut. Empty tables give empty
-results. Extra columns pass through ``mix``; ``reps``-named ones are not touched.
+Empty tables give empty results. Extra columns pass through ``mix``; ``reps``-named ones are not touched.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 def plan(items: DataFrame, **options) -> DataFrame:
     """(source, key, size) -> one row per source with its target, whole repetitions and cut.
 
-    A document takes ``whole`` repetitions, and one more if (digest, key, size) <= (cut_d, cut_k, cut_n).
+    A document takes ``whole`` repetitions, and one more if (digest, key, size) <= (cut_d, cut_k, cut_n); of the
+    group ``parted``, as many documents as are ``due`` do.
     """
     x = items.withColumn("d", _digest("key")).withColumn("bucket", F.substring("d", 1, 3))
     # at most 4,096 rows for each source, written once: texts are counted here, near the cuts and where the plan is applied
@@ -77,16 +79,36 @@ def plan(items: DataFrame, **options) -> DataFrame:
     near = near.join(source.select("source", "extra"), F.col("ns").eqNullSafe(F.col("source")))
     near = near.where((F.col("below") < F.col("extra")) & (F.col("extra") <= F.col("below") + F.col("n"))).select("ns", "nb", "below", "extra")
     inside = x.join(F.broadcast(near) if _few(near) else near, F.col("source").eqNullSafe(F.col("ns")) & (F.col("bucket") == F.col("nb")))
-    upto = Window.partitionBy("ns").orderBy("d", F.col("key").asc_nulls_first(), "size")
-    inside = inside.withColumn("sum", F.col("below") + F.sum("size").over(upto))
-    # the document at the boundary is taken if more than half of it is inside
-    taken = inside.where(F.col("sum") - F.col("size") / 2 <= F.col("extra"))
-    cut = taken.groupBy(F.col("ns").alias("cs")).agg(F.max(F.struct("d", F.col("key").isNotNull().alias("has"), "key", "size")).alias("cut"))
-    low = near.select("ns", "nb").join(cut, F.col("ns").eqNullSafe(F.col("cs")), "left").select("ns", "nb", "cut")
+    # rows that agree are one group; the row at the boundary is taken if more than half of it is inside
+    inside = inside.groupBy("ns", "below", "extra", "d", "key", "size").agg(F.count("*").alias("m"))
+    upto = Window.partitionBy("ns").orderBy("d", F.col("key").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("extra") - F.col("below") - F.coalesce(F.sum(F.col("size") * F.col("m")).over(upto), F.lit(0))
+    due = F.when(F.col("size") == 0, F.when(room >= 0, F.col("m")).otherwise(0)).otherwise(F.floor(room / F.col("size") + 0.5))
+    inside = inside.withColumn("due", F.greatest(F.lit(0), F.least("m", due)).cast("long"))
+    group = F.struct("d", F.col("key").isNotNull().alias("has"), "key", "size")
+    whole_groups = F.max(F.when(F.col("due") == F.col("m"), group)).alias("cut")
+    parted = F.max(F.when((F.col("due") > 0) & (F.col("due") < F.col("m")), F.struct(*[group[c].alias(c) for c in ("d", "has", "key", "size")], "due"))).alias("parted")
+    cut = inside.groupBy(F.col("ns").alias("cs")).agg(whole_groups, parted)
+    low = near.select("ns", "nb").join(cut, F.col("ns").eqNullSafe(F.col("cs")), "left").select("ns", "nb", "cut", "parted")
     out = source.join(low, F.col("source").eqNullSafe(F.col("ns")), "left")
-    # without a taken document in the cut's bucket, the cut is the bucket's lower edge
-    out = out.select("source", "source_size", "target", "whole", F.coalesce(F.col("cut.d"), F.col("nb"), F.lit("")).alias("cut_d"), F.col("cut.has").alias("cut_has"), F.col("cut.key").alias("cut_k"), F.col("cut.size").alias("cut_n"))
-    return scratch.save(out, "plan")
+    # without a group in the cut's bucket that is taken whole, the cut is the bucket's lower edge
+    out = out.select("source", "source_size", "target", "whole", F.coalesce(F.col("cut.d"), F.col("nb"), F.lit("")).alias("cut_d"), F.col("cut.has").alias("cut_has"), F.col("cut.key").alias("cut_k"), F.col("cut.size").alias("cut_n"), "parted")
+    out = scratch.save(out, "plan")
+    scratch.drop("sums")
+    return out
+
+
+def _first_rows(parted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written rows of parted groups (source, due, number) -> (ps, last): the number up to which ``due`` rows of each source stand."""
+    part = F.shiftrightunsigned("number", 33)
+    counts = scratch.save(parted.groupBy(F.col("source").alias("ps"), "due", part.alias("part")).agg(F.count("*").alias("k")), "parts")
+    run = Window.partitionBy("ps").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    at = counts.withColumn("before", F.coalesce(F.sum("k").over(run), F.lit(0))).where("before < due and due <= before + k")
+    at = at.select("ps", "part", (F.col("due") - F.col("before")).alias("nth"))
+    inside = parted.select("source", "number").join(F.broadcast(at) if _few(at) else at, F.col("source").eqNullSafe(F.col("ps")) & (part == F.col("part")))
+    # the rows of one partition of the table for each source
+    inside = inside.withColumn("n", F.row_number().over(Window.partitionBy("ps").orderBy("number")))
+    return inside.where("n = nth").select("ps", F.col("number").alias("last"))
 
 
 def _few(df: DataFrame) -> bool:
@@ -97,13 +119,25 @@ def repetitions(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """``docs`` as a struct ``row`` with size, source_size, target and reps of each."""
     narrow = docs.select(F.col(source).alias("source"), F.col(key).alias("key"), size_of(F.col(text)).alias("size"))
     p = plan(narrow, **options)
+    parts = not p.where("parted is not null").isEmpty()
     p = F.broadcast(p) if _few(p) else p
     x = docs.select(F.struct("*").alias("row"), F.col(source).alias("s"), F.col(key).alias("key"), size_of(F.col(text)).alias("size")).withColumn("d", _digest("key"))
     joined = x.join(p, F.col("s").eqNullSafe(F.col("source")))
     has = F.col("key").isNotNull()
     at = F.struct(F.coalesce("cut_k", F.lit(0)), "cut_n")
     below = (F.col("d") < F.col("cut_d")) | ((F.col("d") == F.col("cut_d")) & ((has < F.col("cut_has")) | ((has == F.col("cut_has")) & (F.struct(F.coalesce("key", F.lit(0)), "size") <= at))))
-    return joined.select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(below, F.lit(False)).cast("int")).alias("reps"))
+    result = lambda df, more: df.select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).alias("reps"))
+    if not parts:
+        return result(joined, below)
+    # rows of parted groups are written with numbers, so that the numbers stay the same
+    mine = (F.col("d") == F.col("parted.d")) & F.col("key").eqNullSafe(F.col("parted.key")) & (F.col("size") == F.col("parted.size"))
+    mine = F.coalesce(mine, F.lit(False))
+    scratch = Scratch(docs.sparkSession)
+    group = joined.where(mine).select("row", "size", "source", "source_size", "target", "whole", F.col("parted.due").alias("due"), F.monotonically_increasing_id().alias("number"))
+    group = scratch.save(group, "group")
+    last = _first_rows(group, scratch)
+    group = group.join(F.broadcast(last) if _few(last) else last, F.col("source").eqNullSafe(F.col("ps")), "left")
+    return result(joined.where(~mine), below).union(result(group, F.col("number") <= F.col("last")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
