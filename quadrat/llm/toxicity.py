@@ -14,7 +14,7 @@ regression. Labels, language, source and id are no inputs of the score. Every te
 
 Defined results: a null text is empty; an empty text, and every text if nothing could be learned, gets the
 score of a text without hits; a document labelled more than once is toxic if any label says so; repeated rows
-are scored one by one; an empty table gives an empty result. Other columns are not read.
+are scored one by one and learned from once; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -181,6 +181,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     y = y.orderBy(F.xxhash64(F.lit("toxicity"), "k"), "k").limit(rows)
     # at most ``rows`` rows of 12 bytes
     x = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(y), "k")
+    # an id may stand in many rows: the bound holds for rows, taken by digest of id and text; rows that agree in both are one
+    chosen = x.select("k", F.xxhash64("text").alias("th")).distinct().orderBy(F.xxhash64(F.lit("toxicity"), "k", "th"), "k", "th").limit(rows)
+    x = x.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen), ["k", "th"], "left_semi").dropDuplicates(["k", "th"])
     return x.select("text", "toxic", F.when(_fold(F.col("k")) == 4, 1).otherwise(0).alias("part"))
 
 
