@@ -228,9 +228,10 @@ def mine(vectors: DataFrame, label: Column | None = None, key: str = "vec_id", e
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     label = F.col("label") if label is None else label
     anchor = F.col("id") % EVERY == 0 if anchor is None else anchor
-    lanes = partitions(spark)
     # written, so that row numbers stay the same in both searches
     rows = scratch.save(prepared(vectors, key, embedding, label), "rows")
+    # a lane has a few buckets at least: each gives up to k rows for every window
+    lanes = max(1, min(partitions(spark), rows.count() // (4 * bucket)))
     packs = scratch.save(packed(rows, lanes, bucket), "packs")
     anchors = rows.where(anchor)
     blocks = max(1, -(-anchors.count() // block))
