@@ -23,5 +23,5 @@ def test_query(spark, name):
     assert plain(got) == plain(want)
 
 
-def test_all_ten_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+def test_all_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
