@@ -41,8 +41,6 @@ PIECE = 1 << 18
 #: Stretches that are sorted together, and different stretches of a gram from which its strings are counted instead.
 FLUSH = 4000
 HOT = 50_000
-#: Rows of lists (some 20 MB then) up to which they go to the texts by broadcast.
-BROADCAST_ROWS = 300_000
 
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -326,10 +324,8 @@ def _strings(length: int, gram: int):
 
 
 def _named(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Texts with the lists that (doc_id, th) name; short lists are broadcast."""
-    n, rows = lists.agg(F.count("*"), F.sum(F.size("list"))).first()
+    """Texts with the lists that (doc_id, th) name."""
     lists = lists.withColumnsRenamed({"doc_id": "id", "th": "hash"})
-    lists = F.broadcast(lists) if n <= BROADCAST_ROWS and (rows or 0) <= BROADCAST_ROWS else lists
     return texts.join(lists, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")), how)
 
 
