@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.ranking import batch_numbers, running
+from quadrat.functions.scratch import written
 
 
 def study_order(study: Column, seed: int = 0) -> Column:
@@ -50,6 +51,50 @@ def draw(key: Column, seed: int, epoch: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once, with dense row numbers from 0. Only the counts of its partitions are summed up, no rows are sorted."""
+    x = written(df.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_id", 33)
+    counts = x.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition of the written table
+    at = counts.select("_part", before.alias("_before"))
+    return x.withColumn("_part", part).join(at, "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+
+
+#: Rounds of the bijection, and the most steps back into its range.
+ROUNDS, WALK = 4, 64
+
+
+def permuted(row: Column, n: int, seed: int, epoch: int = 0) -> Column:
+    """The place of row numbers 0 to n - 1 in an order drawn for each seed and epoch: a bijection, so no sort and no shuffle.
+
+    A Feistel network over a grid just above n cells; the few numbers that leave the range go through it again.
+    """
+    a = max(1, int(n**0.5))
+    b = max(1, -(-n // a))
+
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / b), F.pmod(x, F.lit(b))
+        for k in range(ROUNDS):
+            if k % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(k), left), F.lit(b)), F.lit(b))
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(k), right), F.lit(a)), F.lit(a))
+        return left * b + right
+
+    if a * b == n:
+        return once(row)
+    inside = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), once(row), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(inside < n, inside).otherwise(F.raise_error(F.lit("a row number did not come back into range")).cast("long"))
+
+
+def permuted_batches(df: DataFrame, size: int, seed: int = 0, epoch: int = 0, row: str = "row_number") -> DataFrame:
+    """``df`` with ``batch`` from dense row numbers (see ``numbered``): every batch has ``size`` rows but the last."""
+    n = df.count()
+    return df.withColumn("batch", F.floor(permuted(F.col(row), n, seed, epoch) / size).cast("int"))
+
+
 def shuffled_batches(df: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
     """``df`` with ``batch``: rows in an order drawn anew for each epoch, ``size`` to a batch. Equal keys fall together."""
     return batch_numbers(df.withColumn("_draw", draw(F.col(key), seed, epoch)), "_draw", size).drop("_draw")

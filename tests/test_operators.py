@@ -273,8 +273,10 @@ def test_encoder(spark, cells, features, tmp_path):
     assert encoder.pool(h, ids)[0] == pytest.approx(out["a"], abs=1) and np.isfinite(h).all()
     longer = encoder.forward(w, shape, ids[:, :2], np.array([[0, 1]]), np.array([[1, 2]]))
     assert h[:, :2] == pytest.approx(longer)
-    loss, n, hits = encoder.masked_losses(h, ids, np.array([[True, False, False, False]]), np.zeros((8, 4)))
-    assert n == 1 and loss == pytest.approx(math.log(4)) and hits in (0, 1)
+    flat = w | {n: np.zeros_like(w[n]) for n in w if n.startswith("head")}
+    selected = np.array([[True, False, False, False]])
+    n, loss, hits = encoder.masked_loss(flat, shape, ids, np.array([[0, 1, 0, 0]]), np.array([[1, 2, 0, 0]]), ids, ids, selected)
+    assert n == 1 and loss == pytest.approx(math.log(m.vocab_size) + 0.3 * math.log(6)) and hits in (0, 1)
 
 
 def test_synthetic_is_seeded(spark):
@@ -405,5 +407,5 @@ def test_masked_metrics(spark):
     got = encoder.masked_metrics(df, w, shape, 2).first()
     h = encoder.forward(w, shape, *(np.array([rows[0][k]]) for k in range(3)))[0, 0]
     nll = lambda z, t: np.log(np.exp(z).sum()) - z[t]
-    assert got.n == 5 and got.loss == pytest.approx(nll(h @ w["head.token"], 2) + 0.3 * nll(h @ w["head.value"], 3))
+    assert got.n == 5 and got.loss == pytest.approx(nll(encoder.linear(h, w, "head.token"), 2) + 0.3 * nll(encoder.linear(h, w, "head.value"), 3))
     assert encoder.masked_metrics(df.limit(0), w, shape).first().loss is None
