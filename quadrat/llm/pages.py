@@ -3,9 +3,13 @@
 A page is cut into text lines, one for each block of its markup, and every line knows whether it stands inside
 an article and whether inside an element that is boilerplate by name. Pages of one host are ordered by
 URL path; each is paired with the neighbour whose path is closer by edit distance. The lines of the
-two pages are aligned by longest common subsequence, and shared lines outside of articles are deleted, as
-templates repeat and content does not. A page that has an article gives the article's lines; another page gives what
-is left of its body.
+two pages are aligned by longest common subsequence, and shared lines are deleted, as templates repeat and content does
+not. One rule is stated for articles: their headings, paragraphs, list items, cells and quotations stay though the neighbour
+has them too, as passages and licence lines repeat between articles; what else an article holds (loose text in its containers, such as
+site-wide notices) goes. A page that has an article gives the article's lines; another page gives what is left of its body. Pages
+with nothing that could go are not aligned.
+
+Markup is read in one pass: every character is looked at a bounded number of times, whatever is left open.
 
 The order is made by range partitioning, so a host that holds a third of all pages is spread over
 many tasks; only the first and last page of each range meet in one table. Line hashes are joined, never texts.
@@ -30,83 +34,164 @@ from pyspark.sql import functions as F
 from quadrat.llm.common import Scratch, partitions, read, text_batches
 
 # Element names of HTML by the role that they have here.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math|video|audio"
+RAW = "script style noscript template svg iframe object canvas textarea select math video audio".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button head title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 ARTICLE = frozenset(("article", "main"))
-#: Words of class, id or role that name boilerplate.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|sidebar|menu|nav\w*|breadcrumb\w*|footer|masthead|share|sharing|social|related|recommend\w*|comment|comments|disqus|replies|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-TOKEN = re.compile(rf"""<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+#: Elements inside an article whose text stays whatever the neighbour has.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption caption address legend summary".split())
+# Words of class, id or role that name boilerplate, those that do so for a paragraph too, and words that may stand beside them.
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommend recommended recommendations comment comments disqus reply replies contentinfo complementary search".split())
+STRONG = frozenset("ad ads advert advertisement banner sponsored promo cookie cookies consent notice popup newsletter comment comments disqus reply replies".split())
+BESIDE = frozenset("box bar list wrap wrapper container block area section link links post posts article articles story stories item items widget unit slot form button buttons icon icons left right top bottom inner content text site page main global the media primary secondary header head title body body-text sticky fixed mobile desktop js js-hook thread".split())
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?![^\s=])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+def _names(value: str, words: frozenset) -> bool:
+    """Whether a whole word of an attribute is made of such names, and of words that may stand beside them."""
+    for word in value.lower().split():
+        parts = re.split(r"[-_]+", word)
+        if any(x in words for x in parts) and all(x in words or x in BESIDE or x.isdigit() or not x for x in parts):
+            return True
+    return False
 
 
 def _is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in BOILERPLATE or tag == "header" and not inside_article:
         return True
-    if not attributes or tag in ("html", "body", *ARTICLE):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    # an article is boilerplate as a reader's comment only; a paragraph of an article by strong names only
+    words = COMMENTS if tag == "article" else STRONG if inside_article and tag in CONTENT else NAMES
     for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true" or name.lower() in ("class", "id", "role") and NAMES.search(value):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and _names(value, words):
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, inside boilerplate) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, element, closing, attributes) of markup in page order; without an element: a comment or what is never text.
+
+    A quote that is never closed makes quotes plain characters from there on, a tag that is never closed ends the page.
+    """
+    at, quotes, n = 0, True, len(page)
+    ahead = dict.fromkeys(">\"'", -1)
+
+    def following(mark: str, place: int) -> int:
+        """The next place of a mark, n without one. Places asked for only rise, so all searches together read the page once."""
+        if ahead[mark] < place:
+            found = page.find(mark, place)
+            ahead[mark] = n if found < 0 else found
+        return ahead[mark]
+
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        m = NAME.match(page, begin)
+        if m is None and page[begin + 1 : begin + 2] not in ("!", "?"):
+            at = begin + 1
+            continue
+        end = following(">", begin)
+        if end == n:
+            yield begin, n, "", False, ""
+            return
+        if m is None:
+            at = end + 1
+            yield begin, at, "", False, ""
+            continue
+        tag = m[1].lower()
+        closing = page[begin + 1] == "/"
+        if tag in CLOSING and not closing:
+            over = CLOSING[tag].search(page, end + 1)
+            at = n if over is None else over.end()
+            yield begin, at, "", False, ""
+            continue
+        if quotes:
+            place = m.end()
+            while (mark := min(following('"', place), following("'", place))) < (end := following(">", place)):
+                over = page.find(page[mark], mark + 1)
+                if over < 0:
+                    quotes = False
+                    break
+                place = over + 1
+            if not quotes or end == n:
+                quotes, end = False, page.find(">", m.end())
+        at = end + 1
+        yield begin, at, tag, closing, page[m.end() : end]
+
+
+#: Zones of lines: of an article and kept, of an article and loose, of the body outside of articles, of boilerplate.
+KEPT, LOOSE, BODY, GONE = 1, 3, 0, 2
+
+
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, zone) of each block with text, in page order."""
+    out: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    article = boiler = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # element; inside an article, content of one, boilerplate
+    opened: dict[str, int] = defaultdict(int)
+    blocks: list[int] = []  # places of block elements in the stack
+    state = (False, False, False)
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, article, boiler))
+                article, content, boiler = state
+                out.append((text, GONE if boiler else KEPT if content else LOOSE if article else BODY))
             held.clear()
 
     def close(k: int) -> None:
-        nonlocal article, boiler
+        nonlocal state
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
         del stack[k:]
-        article, boiler = stack[-1][1:] if stack else (False, False)
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        state = stack[-1][1:] if stack else (False, False, False)
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for begin, end, tag, closing, attributes in tags(page):
+        if begin > at:
+            held.append(page[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             held.append(" ")
             continue
         block = tag in BLOCKS
         if block:
             flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+        if closing:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
-        if block:  # a paragraph ends where a block begins, a list item at the next
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or tag == "li" == stack[k][0]:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        is_boiler = boiler or _is_boilerplate(tag, m[4], article)
-        stack.append((tag, article or tag in ARTICLE, is_boiler))
-        article, boiler = stack[-1][1:]
-    rest = page[at:]
-    held.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*$", rest) else rest)
+        # a paragraph ends where a block begins, a list item at the next
+        if block and blocks and (stack[blocks[-1]][0] == "p" or tag == "li" == stack[blocks[-1]][0]):
+            close(blocks[-1])
+        article, content, boiler = state
+        boiler = boiler or _is_boilerplate(tag, attributes, article)
+        article = article or tag in ARTICLE
+        if block:
+            blocks.append(len(stack))
+        stack.append((tag, article, article and (content or tag in CONTENT), boiler))
+        opened[tag] += 1
+        state = stack[-1][1:]
+    held.append(page[at:])
     flush()
     return out
 
@@ -156,36 +241,40 @@ def shared(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(k, k) for k in range(low)] + middle[::-1] + [(x + k, y + k) for k in range(len(a) - x)]
 
 
-PARSED = "page_id long, url string, k long, has_article boolean, line array<string>, h array<long>, zone array<int>"
+PARSED = "page_id long, url string, k long, has_article boolean, open boolean, line array<string>, h array<long>, zone array<int>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        has, text, h, zone = [], [], [], []
+        has, is_open, text, h, zone = [], [], [], [], []
         for page in batch.column(3).to_pylist():
             found = lines_of(page)
-            whole = any(a and not b for _, a, b in found)
-            has.append(whole)
-            text.append([t for t, a, b in found if not b and (a or not whole)])
-            # only lines that may be deleted or that show a template take part in the alignment
-            h.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _, _ in found])
-            zone.append([1 if a and not b else 2 if b else 0 for _, a, b in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(has, pa.bool_()), pa.array(text, pa.list_(pa.string())), pa.array(h, pa.list_(pa.int64())), pa.array(zone, pa.list_(pa.int32()))], names=["page_id", "url", "k", "has_article", "line", "h", "zone"])
+            zones = [z for _, z in found]
+            has.append(KEPT in zones or LOOSE in zones)
+            # without an article all of the body is open to differencing
+            is_open.append(LOOSE in zones if has[-1] else BODY in zones)
+            own = (KEPT, LOOSE) if has[-1] else (BODY,)
+            text.append([t for t, z in found if z in own])
+            h.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in found])
+            zone.append(zones)
+        columns = [*(batch.column(k) for k in range(3)), pa.array(has, pa.bool_()), pa.array(is_open, pa.bool_()), pa.array(text, pa.list_(pa.string())), pa.array(h, pa.list_(pa.int64())), pa.array(zone, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "k", "has_article", "open", "line", "h", "zone"])
+
+
+def shared_lines(has: bool, h: list[int], zone: list[int], other: list[int]) -> list[int]:
+    """Which of a page's own lines (those it may give) go, as the neighbour's lines ``other`` hold them in the same order."""
+    open_to, own = (LOOSE, (KEPT, LOOSE)) if has else (BODY, (BODY,))
+    met = {i for i, _ in shared(h, other)}
+    mine = [i for i, z in enumerate(zone) if z in own]
+    drop = [n for n, i in enumerate(mine) if i in met and zone[i] == open_to]
+    # a page that shares all that it could give has a mirror beside it, not a template
+    return [] if all(i in met for i in mine) else drop
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """k, has_article, h, zone, h of the neighbour -> which of the page's own lines go."""
     for batch in batches:
-        gone = []
-        for has, h, zone, other in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            if has:  # an article's own lines are all that its page gives
-                gone.append([])
-                continue
-            outside = {i for i, _ in shared(h, other or []) if zone[i] != 1}
-            body = [i for i, z in enumerate(zone) if z != 2]
-            drop = [n for n, i in enumerate(body) if i in outside]
-            # a page that shares its whole body has a mirror beside it, not a template
-            gone.append(drop if len(drop) < len(body) else [])
+        gone = [shared_lines(has, h, zone, other or []) for has, h, zone, other in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
 
 
@@ -218,10 +307,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     base = base.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("k"), "html")
     parsed = scratch.save(base.mapInArrow(_parse, PARSED), "parsed")
-    near = neighbours(parsed.select("k", "url"), scratch)
-    lines = parsed.select("k", "has_article", "h", "zone").dropDuplicates(["k"])
-    other = lines.select(F.col("k").alias("near"), F.col("h").alias("other"))
-    both = lines.join(near, "k", "left").join(other, "near", "left").select("k", "has_article", "h", "zone", "other")
+    # only pages with lines that may go are paired, and only their neighbours' lines are fetched
+    may = scratch.save(parsed.where("open").select("k").distinct(), "open")
+    near = scratch.save(neighbours(parsed.select("k", "url"), scratch).join(may, "k", "left_semi"), "near")
+    lines = parsed.where("open").select("k", "has_article", "h", "zone").dropDuplicates(["k"])
+    other = parsed.join(near.select(F.col("near").alias("k")).distinct(), "k", "left_semi").select(F.col("k").alias("near"), F.col("h").alias("other")).dropDuplicates(["near"])
+    both = lines.join(near, "k").join(other, "near").select("k", "has_article", "h", "zone", "other")
     changed = scratch.save(both.mapInArrow(_difference, "k long, gone array<int>").where(F.size("gone") > 0), "changed")
     # only pages that lose lines are in ``changed``: where they are few, Spark broadcasts them and no text is shuffled
     x = parsed.select("page_id", "url", "k", "line").join(changed, "k", "left")

@@ -297,3 +297,108 @@ def test_learning_is_bounded_by_rows(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
     rows = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 20)
     assert rows.count() <= 20 and rows.columns == ["text", "toxic", "part"]
+
+
+# --- pages
+
+
+def kept_text(html):
+    from quadrat.llm import pages
+
+    return [t for t, z in pages.lines_of(html) if z in (pages.KEPT, pages.LOOSE)]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<b x="', "<b x='\"", "<!-- ", "<script>", "</p>", "<div>", "<b>", "<b><p></p>", '<a ">', "<", "<p class='", '<i a="1" b="2" ', "</script", "&lt;", "<li>", "<a x=>", '<article class="comment">'])
+def test_markup_is_read_in_linear_time(unit):
+    import time
+
+    from quadrat.llm import pages
+
+    began = time.process_time()
+    for tail in ("", ">", '">', "'>"):
+        pages.lines_of("<p>begin</p>" + unit * (2_000_000 // len(unit)) + tail)
+    assert time.process_time() - began < 30
+
+
+def test_comments_notices_and_names():
+    page = '<body><article><h1>Head</h1><p>Main words.</p><article class="comment"><p>A reader wrote.</p></article><section id="related-work"><p>Related work stays.</p></section>'
+    page += '<div class="related-posts"><p>gone</p></div><p class="search results">kept too</p><div id="ad-slot-3">gone</div><p class="site-notice">gone</p><div class="share_buttons top">gone</div></article></body>'
+    assert kept_text(page) == ["Head", "Main words.", "Related work stays.", "kept too"]
+
+
+def test_quotes_that_never_close():
+    assert kept_text('<article><p title="a > b">one</p><p title="open>two</p><p>three</p></article>') == ["one", "two", "three"]
+    assert kept_text("<article><p>it's <b title='x>y'>fine</b></p></article>") == ["it's fine"]
+
+
+def brute_extract(rows):
+    """Main texts of distinct pages: the nearest of the neighbours in URL order, a table for the longest common subsequence."""
+    import re
+
+    from quadrat.llm import pages
+
+    def place(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", url)
+        return (m[1].lower(), url[m.end() :]) if m else ("", url)
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [last := i] + [last := min(row[j] + 1, last + 1, row[j - 1] + (x != y)) for j, y in enumerate(b, 1)]
+        return row[-1]
+
+    order = sorted(rows, key=lambda r: place(r[1]))
+    out = {}
+    for n, (i, url, html) in enumerate(order):
+        near = [(levenshtein(place(order[m][1])[1], place(url)[1]), side, m) for side, m in enumerate((n - 1, n + 1)) if 0 <= m < len(order) and place(order[m][1])[0] == place(url)[0]]
+        found = pages.lines_of(html)
+        has = any(z in (pages.KEPT, pages.LOOSE) for _, z in found)
+        own = [k for k, (_, z) in enumerate(found) if z in ((pages.KEPT, pages.LOOSE) if has else (pages.BODY,))]
+        met = set()
+        if near:
+            other = [t for t, _ in pages.lines_of(order[min(near)[2]][2])]
+            mine = [t for t, _ in found]
+            d = np.zeros((len(mine) + 1, len(other) + 1), int)
+            for x in range(len(mine)):
+                for y in range(len(other)):
+                    d[x + 1, y + 1] = d[x, y] + 1 if mine[x] == other[y] else max(d[x, y + 1], d[x + 1, y])
+            x, y = len(mine), len(other)
+            while x and y:
+                if d[x, y] == d[x - 1, y]:
+                    x -= 1
+                elif d[x, y] == d[x, y - 1]:
+                    y -= 1
+                else:
+                    x, y = x - 1, y - 1
+                    met.add(x)
+        gone = {k for k in own if k in met and found[k][1] == (pages.LOOSE if has else pages.BODY)}
+        if all(k in met for k in own):
+            gone = set()
+        out[i] = " ".join(found[k][0] for k in own if k not in gone), len(gone)
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    from quadrat.llm import pages
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        # distinct lines in one order, so that the longest common subsequence is one set of them
+        own = [f"<p>own {k} {j}</p>" for j in range(rng.randint(0, 3))]
+        top, bottom = ([f"<div>notice {j}</div>" for j in pair if rng.random() < 0.8] for pair in ((0, 1), (2, 3)))
+        passage = [f"<p>passage {j}</p>" for j in range(3) if rng.random() < 0.5]
+        inside = top + passage + own + bottom
+        html = f"<body><nav>menu</nav><main>{''.join(inside)}</main><footer>foot</footer></body>" if k % 2 else f"<body><nav>menu</nav>{''.join(inside)}</body>"
+        rows.append((k, f"http://h{k % 3}.example/p/{rng.randint(0, 999)}/{k}", html))
+    want = brute_extract(rows)
+    got = {r.page_id: (r.text, r.n_deleted) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want and sum(n for _, n in got.values()) > 40
+
+
+def test_a_very_long_page(spark):
+    from quadrat.llm import pages
+
+    long = "<body><article>" + "".join(f"<p>line {k} of it</p>" for k in range(60_000)) + "</article>" + "<a " * 1_000_000
+    r = pages.extract(spark.createDataFrame([(1, "http://h/1", long), (2, "http://h/2", long)], "page_id long, url string, html string")).collect()
+    assert [x.n_chars for x in r] == [sum(len(f"line {k} of it") + 1 for k in range(60_000)) - 1] * 2

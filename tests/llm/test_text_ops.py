@@ -151,9 +151,9 @@ def test_lines_of_markup():
     <div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One<b>two</b> <i>three</i><br>four<p>five &lt;6&gt;<div class="comments"><p>me too</p></div>
     <form>f</form><aside>side</aside><ul><li>a<li>b</ul><footer>foot</footer></article><!-- <p>no</p> --><footer>end</footer>"""
     got = pages.lines_of(html)
-    assert [t for t, a, b in got if a and not b] == ["Head & line", "Onetwo three four", "five <6>", "a", "b"]
-    assert pages.lines_of("") == [] and pages.lines_of("plain  text") == [("plain text", False, False)]
-    assert pages.lines_of("<p>cut <b") == [("cut", False, False)]
+    assert [t for t, z in got if z == pages.KEPT] == ["Head & line", "Onetwo three four", "five <6>", "a", "b"]
+    assert pages.lines_of("") == [] and pages.lines_of("plain  text") == [("plain text", pages.BODY)]
+    assert pages.lines_of("<p>cut <b") == [("cut", pages.BODY)]
     assert pages.lines_of("<script>x") == []
 
 
