@@ -1,19 +1,16 @@
 """Line dedup by pairwise alignment.
 
-A later document loses every block of whole lines, of at least ``MIN_WORDS`` words, that some earlier document
-holds in the same order without a gap (lines without a word do not count): the ungapped alignments of all pairs, wherever
-the block stands in either document, however often, and whether its lines stand elsewhere too.
+Documents are paired through rare lines that they share. A line is rare if ``RARE`` documents hold it at most; each of its holders is
+paired with all earlier ones. A document of which half the distinct lines or more stand elsewhere too is a copy of something, even
+where it has no rare line, as in large groups of copies: it is paired with the first holder of the rarest line that it shares. Lines that very many
+otherwise different documents hold (licences) propose no pair, so they stay.
 
-The pairs need not be formed. A line lies in such a block if and only if it lies in a run that reaches
-``MIN_WORDS`` words just with its last line, or just with its first, and that an earlier document holds. A document of k lines
-has at most 2 k such runs, and the earliest holder of a run decides for all later ones, so work grows with the
-input and not with the square of a line's frequency. Only hashes and positions are shuffled, never texts.
-
-``patience``, ``aligned`` and ``deletions`` are patience diff of one given pair. It keeps one increasing chain of blocks around
-unique lines, so what it deletes is always among the above; tests hold the runs against it over every pair.
+Every pair is aligned by patience diff. Aligned blocks of ``MIN_WORDS`` words or more are deleted from the later document. Pairs are few: ``RARE`` for
+each place of a rare line at most, and one for each document. Lines travel as hashes, whole texts do not; a pair's lines are compared by 64
+bits, so that an alignment of foreign lines is not to be expected in any corpus.
 
 Earlier means the smaller id, nulls last, then the smaller hash of the text; rows that agree in both are one
-document and get the same result. Defined results: a null text stays null and an empty one empty;
+document and get the same result. Defined results: lines without a word do not count; a null text stays null and an empty one empty;
 neither has lines; a document all of whose lines are deleted gets the empty text; an empty table gives an empty
 result; other columns pass through untouched, whatever their names.
 """
@@ -21,12 +18,10 @@ result; other columns pass through untouched, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,6 +30,8 @@ from quadrat.llm.common import WORD, Scratch, read, text_batches
 
 #: Words of an aligned block from which it is deleted.
 MIN_WORDS = 10
+#: Most holders of a rare line.
+RARE = 10
 #: Documents that lose lines, and lines lost, up to which their list (some 20 MB then) is broadcast.
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 1_500_000
@@ -61,125 +58,100 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(later: dict[int, list[int]], owner: dict[int, list[int]]) -> list[tuple[int, int]]:
-    """Patience diff of two documents, given the positions of their common lines by line hash.
+def aligned(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
+    """Patience diff of two lists of line hashes, as pairs of positions that increase on both sides.
 
-    Runs of matches grow over neighbours that are equal, up to the next match on either side.
+    Equal lines at the head and tail of a region match; lines that are unique in both sides of what is left are
+    put into their longest increasing chain, and the regions between them go on by themselves.
     """
-    unique = [(x[0], owner[h][0]) for h, x in later.items() if len(x) == 1 and len(owner[h]) == 1]
-    spine = patience(unique)
-    of_later = {p: h for h, x in later.items() for p in x}
-    of_owner = {p: h for h, x in owner.items() for p in x}
-    found = set(spine)
-    for k, (x, y) in enumerate(spine):
-        end_x, end_y = spine[k + 1] if k + 1 < len(spine) else (1 << 60, 1 << 60)
-        i, j = x + 1, y + 1
-        while i < end_x and j < end_y and (h := of_later.get(i)) is not None and of_owner.get(j) == h:
-            found.add((i, j))
-            i, j = i + 1, j + 1
-        low_x, low_y = spine[k - 1] if k else (-1, -1)
-        i, j = x - 1, y - 1
-        while i > low_x and j > low_y and (h := of_later.get(i)) is not None and of_owner.get(j) == h:
-            found.add((i, j))
-            i, j = i - 1, j - 1
+    found: list[tuple[int, int]] = []
+    regions = [(0, len(later), 0, len(earlier))]
+    while regions:
+        x0, x1, y0, y1 = regions.pop()
+        while x0 < x1 and y0 < y1 and later[x0] == earlier[y0]:
+            found.append((x0, y0))
+            x0, y0 = x0 + 1, y0 + 1
+        while x0 < x1 and y0 < y1 and later[x1 - 1] == earlier[y1 - 1]:
+            x1, y1 = x1 - 1, y1 - 1
+            found.append((x1, y1))
+        if x0 == x1 or y0 == y1:
+            continue
+        here, there = Counter(later[x0:x1]), Counter(earlier[y0:y1])
+        place = {h: y for y, h in enumerate(earlier[y0:y1], y0) if there[h] == 1 and here[h] == 1}
+        chain = patience([(x, place[h]) for x, h in enumerate(later[x0:x1], x0) if h in place])
+        if chain:
+            found += chain
+            corners = [(x0 - 1, y0 - 1), *chain, (x1, y1)]
+            regions += [(a + 1, c, b + 1, d) for (a, b), (c, d) in zip(corners, corners[1:], strict=False) if a + 1 < c and b + 1 < d]
     return sorted(found)
 
 
-def deletions(matches: list[tuple[int, int, int, int, int]], min_words: int = MIN_WORDS) -> list[int]:
-    """Positions to delete from one document. matches: (owner, line hash, position here, position there, words)."""
-    by_owner: dict[int, tuple[dict, dict]] = defaultdict(lambda: (defaultdict(list), defaultdict(list)))
-    words = {}
-    for owner, h, here, there, n in matches:
-        later, first = by_owner[owner]
-        if here not in later[h]:
-            later[h].append(here)
-        if there not in first[h]:
-            first[h].append(there)
-        words[here] = n
-    gone: set[int] = set()
-    for later, first in by_owner.values():
-        block: list[int] = []
-        before = (-2, -2)
-        for x, y in [*aligned(later, first), (1 << 61, 1 << 61)]:
-            if (x, y) != (before[0] + 1, before[1] + 1):
-                if sum(words[p] for p in block) >= min_words:
-                    gone.update(block)
-                block = []
-            block.append(x)
-            before = (x, y)
-    return sorted(gone)
+def deletions(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
+    """Positions to delete from the later document: aligned blocks of enough words; line hashes of both, and words of the later one's lines."""
+    gone: list[int] = []
+    block: list[int] = []
+    before = (-2, -2)
+    for x, y in [*aligned(later, earlier), (1 << 61, 1 << 61)]:
+        if (x, y) != (before[0] + 1, before[1] + 1):
+            if sum(words[p] for p in block) >= min_words:
+                gone += block
+            block = []
+        block.append(x)
+        before = (x, y)
+    return gone
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """(doc) -> order key, and of its lines with a word, in order, hash and number of words."""
-    line = F.transform(_lines(F.col("t")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    return docs.select("o", F.filter(line, lambda x: x["n"] > 0).alias("lines"))
-
+ORDER = "struct<last:boolean,id:long,th:long>"
 
-RUNS = "o struct<last:boolean,id:long,th:long>, w long, p int, k int"
 
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """(o, t) -> order key, and of its lines with a word, in order, hashes and numbers of words; one row for equal documents."""
+    line = F.transform(_lines(F.col("t")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    x = docs.select("o", F.filter(line, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
+    return x.select("o", F.col("lines.h").alias("h"), F.col("lines.n").alias("n")).dropDuplicates(["o"])
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def proposed(hashed: DataFrame, scratch: Scratch, rare: int = RARE) -> DataFrame:
+    """(later, earlier): the pairs of documents to align."""
+    places = hashed.select("o", F.explode(F.array_distinct("h")).alias("h"), F.size(F.array_distinct("h")).alias("k"))
+    # lines of one document alone are no one's partner; a table of its own, so that Spark can split joins at lines that very many hold
+    lines = scratch.save(places.groupBy("h").agg(F.count("*").alias("df"), F.min("o").alias("first")).where("df > 1"), "shared")
+    met = scratch.save(places.join(lines, "h"), "met")
+    few = met.where(F.col("df") <= rare).select("h", "o")
+    pairs = few.join(few.withColumnRenamed("o", "earlier"), "h").where("earlier < o").select(F.col("o").alias("later"), "earlier")
+    rarest = met.groupBy("o").agg(F.count("*").alias("m"), F.first("k").alias("k"), F.min(F.struct("df", "h", "first")).alias("least"))
+    copies = rarest.where((2 * F.col("m") >= F.col("k")) & (F.col("least.df") > rare) & (F.col("least.first") < F.col("o")))
+    return scratch.save(pairs.union(copies.select("o", "least.first")).distinct(), "pairs")
 
-def least_runs(h: np.ndarray, n: np.ndarray, sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, lines, hash) of every run that has ``min_words`` words, but not without its last or not without its first line.
 
-    h, n: hash and words (1 at least) of the lines of documents one after another; sizes: their numbers of lines.
-    """
-    stop = np.cumsum(sizes)
-    upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-    at = np.arange(len(h))
-    end = np.searchsorted(upto, upto[at] + min_words)
-    ahead = end <= np.repeat(stop, sizes)
-    start = np.searchsorted(upto, upto[at + 1] - min_words, "right") - 1
-    back = start >= np.repeat(stop - sizes, sizes)
-    both = np.unique(np.stack([np.concatenate([at[ahead], start[back]]), np.concatenate([end[ahead], at[back] + 1])], 1), axis=0)
-    first, k = both[:, 0], both[:, 1] - both[:, 0]
-    w = k.astype(np.uint64)
-    for i in range(int(k.max(initial=0))):
-        more = k > i
-        w[more] = _mixed(w[more] * np.uint64(0x9E3779B97F4A7C15) ^ h[first[more] + i])
-    return first, k, w
-
-
-def _runs(min_words: int):
+def _aligned_pairs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Later document, its line hashes and words, the earlier one's hashes -> later document, positions to delete."""
         for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, n = (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())
-            first, k, w = least_runs(h.astype(np.int64).view(np.uint64), n, sizes, min_words)
-            doc = np.repeat(np.arange(len(sizes)), sizes)[first]
-            p = first - (np.cumsum(sizes) - sizes)[doc]
-            out = [batch.column(0).take(pa.array(doc)), pa.array(w.view(np.int64)), pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, names=["o", "w", "p", "k"])
+            gone = [deletions(*x, min_words) for x in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["o", "gone"])
 
     return run
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """Each row of ``docs`` without its text as struct ``row``, the text after deletion as ``clean``, and numbers of lines before and deleted."""
     spark = text_batches(docs).sparkSession
     scratch = Scratch(spark)
     t = F.col(text).cast("string")
     order = F.struct(F.col(key).isNull().alias("last"), F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"))
     base = docs.select(order.alias("o"), t.alias("t"))
-    runs = scratch.save(line_hashes(base.where("t is not null")).mapInArrow(_runs(min_words), RUNS), "runs")
-    # a run that one document alone holds is no one's partner
-    owned = runs.groupBy("w").agg(F.min("o").alias("first"), F.max("o").alias("final")).where(F.col("first") != F.col("final")).select("w", "first")
-    # a table of its own: then Spark can split the join at a run that very many documents hold
-    owned = scratch.save(owned, "owned")
-    later = runs.join(owned, "w").where(F.col("o") != F.col("first"))
-    found = later.groupBy("o").agg(F.collect_set(F.struct("p", "k")).alias("m"))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda m: F.sequence(m["p"], m["p"] + m["k"] - 1)))))
-    decided = scratch.save(found.select(F.col("o.id").alias("id"), F.col("o.th").alias("th"), gone.alias("gone")), "decided")
+    hashed = scratch.save(line_hashes(base.where("t is not null")), "lines")
+    pairs = proposed(hashed, scratch, rare)
+    both = pairs.join(hashed.select(F.col("o").alias("earlier"), F.col("h").alias("there")), "earlier").join(hashed.withColumnRenamed("o", "later"), "later")
+    found = both.select("later", "h", "n", "there").mapInArrow(_aligned_pairs(min_words), f"o {ORDER}, gone array<int>").where(F.size("gone") > 0)
+    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")
+    decided = scratch.save(found.groupBy("o").agg(gone).select(F.col("o.id").alias("id"), F.col("o.th").alias("th"), "gone"), "decided")
+    scratch.drop("lines", "shared", "met", "pairs")
     # a short list of deletions goes to the texts; a long one is joined by shuffle
     n, positions = decided.agg(F.count("*"), F.sum(F.size("gone"))).first()
     if n <= BROADCAST_ROWS and (positions or 0) <= BROADCAST_POSITIONS:

@@ -16,11 +16,11 @@ from .helpers import components, docs_of, odd_docs, shingles
 def test_patience_and_blocks():
     assert lines.patience([(0, 2), (1, 0), (2, 1), (3, 3)]) == [(1, 0), (2, 1), (3, 3)]
     assert lines.patience([]) == []
-    later = {1: [0], 2: [1, 3], 3: [2]}
-    owner = {1: [5], 2: [6, 8], 3: [7]}
-    assert lines.aligned(later, owner) == [(0, 5), (1, 6), (2, 7), (3, 8)]
-    matches = [(9, 1, 0, 5, 4), (9, 3, 1, 6, 4), (9, 4, 5, 9, 4)]
-    assert lines.deletions(matches, 8) == [0, 1] and lines.deletions(matches, 9) == []
+    assert lines.aligned([1, 2, 3, 2, 9], [8, 7, 1, 2, 3, 2]) == [(0, 2), (1, 3), (2, 4), (3, 5)]
+    # heads and tails match though nothing is unique; a moved line does not
+    assert lines.aligned([4, 4, 4], [4, 4]) == [(0, 0), (1, 1)] and lines.aligned([1, 2, 3, 5], [6, 3, 1, 2]) == [(0, 2), (1, 3)]
+    later, words = [1, 3, 8, 9, 4], [4, 4, 9, 9, 4]
+    assert lines.deletions(later, words, [7, 1, 3, 6, 4, 5], 8) == [0, 1] and lines.deletions(later, words, [7, 1, 3, 6, 4, 5], 9) == []
 
 
 def test_line_dedup(spark):
@@ -45,55 +45,91 @@ def test_line_dedup_on_odd_rows(spark):
     assert {r.row.doc_id: r.n_deleted for r in lines.dedup(null_last).collect()} == {None: 1, 3: 0}
 
 
-def brute_runs(texts, min_words=lines.MIN_WORDS):
-    """Lines of the later texts that lie in a block of enough words which an earlier text holds: every pair, every diagonal."""
+def brute_blocks(late, early, min_words):
+    """Lines of a text that lie in any block of enough words which another text holds: every diagonal."""
+    gone = set()
+    for shift in range(-len(early), len(late)):
+        block = []
+        for x in range(len(late) + 1):
+            if x < len(late) and 0 <= x - shift < len(early) and late[x] == early[x - shift]:
+                block.append(x)
+                continue
+            if sum(len(late[p].split()) for p in block) >= min_words:
+                gone.update(block)
+            block = []
+    return gone
+
+
+def brute_pairs(split, rare):
+    """(later, earlier) by the rule: sharers of a rare line, and copies without one with the first holder of their rarest shared line."""
+    holders = {}
+    for d, x in enumerate(split):
+        for line in set(x):
+            holders.setdefault(line, []).append(d)
+    pairs = {(late, early) for h in holders.values() if 1 < len(h) <= rare for late in h for early in h if early < late}
+    for d, x in enumerate(split):
+        met = {line for line in x if len(holders[line]) > 1}
+        if met and 2 * len(met) >= len(set(x)):
+            least = min(len(holders[line]) for line in met)
+            if least > rare:  # of equally rare ones the hash decides
+                pairs.add((d, tuple({min(holders[line]) for line in met if len(holders[line]) == least})))
+    return pairs
+
+
+def held(spark, texts, rare=lines.RARE, min_words=lines.MIN_WORDS):
+    """The query's result for texts in the order of their ids, after comparing it with brute force over all pairs."""
     split = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    got = {r.row.doc_id: (r.clean, r.n_deleted) for r in lines.dedup(docs_of(spark, list(enumerate(texts))), rare=rare, min_words=min_words).collect()}
     out = []
     for d, late in enumerate(split):
-        gone = set()
-        for early in split[:d]:
-            for shift in range(-len(early), len(late)):
-                block = []
-                for x in range(len(late) + 1):
-                    if x < len(late) and 0 <= x - shift < len(early) and late[x] == early[x - shift]:
-                        block.append(x)
-                        continue
-                    if sum(len(late[p].split()) for p in block) >= min_words:
-                        gone.update(block)
-                    block = []
+        ways, bound = [set()], set()
+        for a, b in brute_pairs(split, rare):
+            if a != d:
+                continue
+            options = []
+            for early in b if isinstance(b, tuple) else (b,):
+                gone = set() if early >= d else set(lines.deletions(late, [len(x.split()) for x in late], split[early], min_words))
+                bound |= brute_blocks(late, split[early], min_words) if early < d else set()
+                options.append(gone)
+            ways = [w | o for w in ways for o in options]
+        assert any(got[d] == ("\n".join(x for p, x in enumerate(late) if p not in w), len(w)) for w in ways), d
+        gone = next(w for w in ways if got[d] == ("\n".join(x for p, x in enumerate(late) if p not in w), len(w)))
+        # an alignment never deletes what no earlier document holds in a block
+        assert gone <= bound
         out.append(gone)
     return split, out
 
 
-def held(spark, texts):
-    """The query's result for texts in the order of their ids, after comparing it with brute force over all pairs."""
-    split, want = brute_runs(texts)
-    got = {r.row.doc_id: (r.clean, r.n_deleted) for r in lines.dedup(docs_of(spark, list(enumerate(texts)))).collect()}
-    for d, gone in enumerate(want):
-        assert got[d] == ("\n".join(x for p, x in enumerate(split[d]) if p not in gone), len(gone))
-    return split, want
-
-
 def test_lines_of_one_passage_with_different_owners(spark):
     one, two, three = "a line of six words here", "one of just five words", "and another one of six words"
     split, want = held(spark, [f"licence text\n{two}\nits end", f"start\n{one}\n{two}\n{three}\nlast", f"other\n{one}\n{two}\n{three}\nmore"])
     assert want == [set(), set(), {1, 2, 3}]
-    rng = random.Random(5)
-    pool = [" ".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(9)]
-    split, want = held(spark, ["\n".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(60)])
-    # at least what patience diff with every earlier document finds
-    for d, late in enumerate(split):
-        for e, early in enumerate(split[:d]):
-            matches = [(e, x, p, q, len(x.split())) for p, x in enumerate(late) for q, y in enumerate(early) if x == y]
-            assert set(lines.deletions(matches)) <= want[d]
+
+
+@pytest.mark.parametrize("seed,rare", [(5, 10), (6, 2), (7, 3)])
+def test_lines_against_brute_force(spark, seed, rare):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(14)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 12)) + [f"own line {k}"] * rng.randint(0, 3)) for k in range(50)]
+    texts += [texts[3]] * 5 + [texts[4] + "\nlast line"] * 3
+    _, gone = held(spark, texts, rare, 8)
+    assert sum(map(len, gone)) > 20 and all(len(g) == len(texts[3].split("\n")) for g in gone[51:55])
 
 
 def test_lines_that_repeat_within_a_document(spark):
     line, short = "one line that repeats and holds as many as ten words", "two words"
     # the owner holds it twice; the later one does; nothing else is in either; only short lines, all repeated
     texts = [f"{line}\na\n{line}", f"b\n{line}", f"{line}\nc\n{line}\nd", f"{line}\na\n{line}", "\n".join([short] * 6), "\n".join([short] * 6), "\n".join([short] * 4)]
-    split, want = held(spark, texts)
-    assert want == [set(), {1}, {0, 2}, {0, 1, 2}, set(), set(range(6)), set()]
+    _, gone = held(spark, texts)
+    assert gone[0] == set() and gone[1] == {1} and gone[3] == {0, 1, 2} and gone[5] == set(range(6)) and gone[6] == set()
+
+
+def test_licence_lines_stay_and_large_groups_of_copies_go(spark):
+    licence = "this licence line of twelve words stands at the end of all"
+    own = lambda k: "\n".join(f"text {k} has its own line number {j} of it" for j in range(4))
+    texts = [own(k) + "\n" + licence for k in range(30)] + [own(99) + "\n" + licence] * 25 + [own(99) + "\nan edit " + str(k) for k in range(25)]
+    _, gone = held(spark, texts)
+    assert not any(gone[:31]) and all(len(g) == 5 for g in gone[31:55]) and all(g == {0, 1, 2, 3} for g in gone[55:])
 
 
 # embeddings
