@@ -37,29 +37,55 @@ def running(df: DataFrame, value: str, sums: list[str], n: int = RANGES, by: lis
     return joined.select(*by, value, *sums, *[(F.col(f"_{s}") + F.col(f"o_{s}")).alias(f"{s}_before") for s in sums])
 
 
+#: Parts into which a pass of ``quantiles`` cuts what is left of a range.
+PARTS = 1 << 12
+
+
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, of each group: an array ``q``, one entry for each of ``probs``.
 
-    A row counts ``weight`` times. Running counts by ranges say which values hold the wanted places, so no buffer
-    holds a group's values. NULL where nothing counts.
+    A row counts ``weight`` times; NULL and NaN do not count, and where nothing does there is no quantile. Values are never shuffled or sorted: a
+    pass counts them by part of the range in which wanted places lie (with map-side sums), and the next pass looks into the
+    parts that hold them, until a part is one value. The ends of a range are parts of their own, so outliers cost a pass.
     """
     by = by or []
-    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n"))
-    # distinct values with their numbers, written once: cuts, running counts and totals read them
-    x = written(x.groupBy(*by, "_v").agg(F.sum("_n").alias("_n")))
-    r = running(x, "_v", ["_n"], by=by)
-    total = x.groupBy(*by).agg((F.sum("_n") - 1).alias("_last"))
-    r = r.join(total, by) if by else r.join(F.broadcast(total))
-    at = [F.col("_last") * F.lit(p) for p in probs]
-    held = lambda place: F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col("_v")))
-    found = r.groupBy(*by, "_last").agg(*[held(f(a)).alias(f"_{side}{k}") for k, a in enumerate(at) for side, f in (("lo", F.floor), ("hi", F.ceil))])
-    between = [F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (a - F.floor(a)) for k, a in enumerate(at)]
-    return found.select(*by, F.array(*between).alias("q"))
-
-
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """value, n (rows with it), rank: the mean of the ranks that tied rows share, from 1."""
-    r = running(df.withColumn("_n", F.lit(1)), value, ["_n"])
+    v = F.col(value).cast("double")
+    x = written(df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n")))
+    whole = written(x.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), (F.sum("_n") - 1).alias("_last")).where("_lo is not null"))
+    sides = [f(F.col("_last") * F.lit(p)) for p in probs for f in (F.floor, F.ceil)]
+    ranks = whole.select(*by, F.explode(F.array_distinct(F.array(*sides))).alias("_rank"))
+    named = lambda d, tag: d.withColumnsRenamed({c: f"{c}{tag}" for c in by})
+    same = lambda a, b: reduce(operator.and_, [a[c].eqNullSafe(b[f"{c}_r"]) for c in by], F.lit(True))
+    parts, found = whole.select(*by, "_lo", "_hi", F.lit(0).cast("long").alias("_before")), None
+    while True:
+        p = named(parts, "_r")
+        inside = x.join(F.broadcast(p) if not by else p, same(x, p) & (x["_v"] >= p["_lo"]) & (x["_v"] <= p["_hi"]))
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        at = F.least(F.lit(PARTS - 2), F.greatest(F.lit(1), F.floor(F.nanvl(share, F.lit(0.0)) * PARTS)))
+        at = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), PARTS - 1).otherwise(at)
+        counts = inside.groupBy(*by, "_lo", "_hi", "_before", at.alias("_at")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        run = Window.partitionBy(*by, "_lo", "_hi", "_before").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
+        counts = counts.select(*by, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_n", (F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0))).alias("_before"))
+        r = named(ranks, "_r")
+        held = counts.join(F.broadcast(r) if not by else r, same(counts, r) & (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        held = written(held.select(*by, "_rank", "_lo", "_hi", "_before"))
+        one = held.where("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_q"))
+        found = one if found is None else found.union(one)
+        parts = held.where("_lo < _hi").select(*by, "_lo", "_hi", "_before").distinct()
+        if parts.isEmpty():
+            break
+    places = F.map_from_entries(F.collect_list(F.struct("_rank", "_q")))
+    known = found.groupBy(*by).agg(places.alias("_m"))
+    k = named(known, "_r")
+    out = whole.join(k, same(whole, k)) if by else whole.join(F.broadcast(k))
+    low, high = ([F.element_at("_m", f(F.col("_last") * F.lit(p))) for p in probs] for f in (F.floor, F.ceil))
+    between = [a + (b - a) * (F.col("_last") * F.lit(p) - F.floor(F.col("_last") * F.lit(p))) for a, b, p in zip(low, high, probs, strict=True)]
+    return out.select(*by, F.array(*[F.when(a == b, a).otherwise(c) for a, b, c in zip(low, high, between, strict=True)]).alias("q"))
+
+
+def average_ranks(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """value, n (rows with it, each ``weight`` times), rank: the mean of the ranks that tied rows share, from 1."""
+    r = running(df.withColumn("_n", F.col(weight) if weight else F.lit(1)), value, ["_n"])
     return r.select(value, F.col("_n").alias("n"), (F.col("_n_before") + (F.col("_n") + 1) / 2).alias("rank"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quadrat.functions.ranking import average_ranks
+from quadrat.functions.scratch import written
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -112,10 +113,11 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: the tie-corrected H statistic and its degrees of freedom."""
+    # counts by value and group and the ranks of values are read several times: written once
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(value, group)
-    ranks = average_ranks(x, value)
+    tied = written(x.groupBy(value, group).agg(F.count("*").alias("c")))
+    ranks = written(average_ranks(tied, value, "c"))
     # one row for each value and group: a value that very many rows share meets its rank once a group
-    tied = x.groupBy(value, group).agg(F.count("*").alias("c"))
     g = tied.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     s = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"))
     ties = ranks.agg(F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))

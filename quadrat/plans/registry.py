@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import ranking, scalars
-from quadrat.functions.scratch import written
-from quadrat.operators import cohort, composition, encoder, evaluate, hypothesis, lineage, retrieval, splits, tokens
+from quadrat.functions.scratch import fresh, written
+from quadrat.operators import boosting, cohort, composition, crossval, encoder, evaluate, hypothesis, lineage, retrieval, splits, tokens, training
 from quadrat.sources import tables
 from quadrat.streaming import tokens as stream
 
@@ -541,19 +541,105 @@ def grouped_eval(spark, sf):
     return evaluate.report(evaluate.out_of_fold(df, columns), "baseline_CLR", "logreg", len(columns))
 
 
-def _representations(spark, sf):
-    """Log-ratios of AB as vectors, those of AB with themselves squared beside them, and the targets."""
-    df, columns = _cases(spark, sf)
-    df = written(df)
-    clr = df.select("sample_id", F.array(*columns).alias("v"))
-    squares = df.select("sample_id", F.array(*[F.col(c) * F.col(c) for c in columns]).alias("v"))
-    return {"baseline_CLR": clr, "baseline_CLR_stacked": evaluate.stack(clr, squares)}, df.select("sample_id", "grp", "y")
+def _encoded(spark, sf, view, samples=None):
+    """Token arrays of a view, the tokenizer and the encoder's shape."""
+    cells, features = view(spark, sf)
+    cells = written(numbered(cells, features))
+    model = tokens.fit(cells, features, "bin", MAX_LEN)
+    padded = tokens.padded(model.transform(cells), MAX_LEN, F.col("val"), samples)
+    return padded, encoder.Shape(model.vocab_size, MAX_LEN)
+
+
+#: Rounds and batches that a query takes some seconds for; the trainer's defaults are 20 epochs and batches of 32.
+TRAINING = training.Options(epochs=3, batch=256)
+
+
+def _pretrained(spark, sf):
+    """Token arrays of AB for all samples, shape, history and the weights with the least validation loss."""
+    padded, shape = _encoded(spark, sf, view_ab, _samples(spark, sf))
+    padded = written(padded)
+    split = splits.split_by_study(_studies(spark, sf)).select("sample_id", "is_val")
+    history, weights = training.pretrain(padded.join(split, "sample_id"), shape, fresh(spark), TRAINING)
+    return padded, shape, history, weights
+
+
+def _aligned(spark, sf):
+    """Paired token arrays of AB and AS, history and the unit vectors of both."""
+    (a, shape_a), (b, shape_b) = _encoded(spark, sf, view_ab), _encoded(spark, sf, view_as)
+    both = [x.select("sample_id", *[F.col(c).alias(f"{c}_{side}") for c in ("ids", "ranks", "vals")]) for x, side in ((a, "a"), (b, "b"))]
+    pairs = written(both[0].join(both[1], "sample_id").join(splits.split_by_study(_studies(spark, sf)).select("sample_id", "is_val"), "sample_id"))
+    history, weights = training.align(pairs, shape_a, shape_b, fresh(spark), TRAINING)
+    return history, training.project(pairs, shape_a, shape_b, weights)
+
+
+@query()
+def masked_pretrain(spark, sf):
+    return _pretrained(spark, sf)[2]
+
+
+@query()
+def crossmodal_history(spark, sf):
+    return _aligned(spark, sf)[0]
+
+
+@query()
+def exported_pairs(spark, sf):
+    # written, read again and joined to the samples by key
+    path = fresh(spark)
+    retrieval.export_pairs(_aligned(spark, sf)[1], path)
+    x = _samples(spark, sf).join(retrieval.import_pairs(spark, path), "sample_id")
+    return x.select("sample_id", F.size("v").alias("n_features"), F.round(scalars.dot(F.col("v"), F.col("v")), 6).alias("square"))
+
+
+def _targets(spark, sf):
+    return _studies(spark, sf).select("sample_id", F.col("study_name").alias("grp"), scalars.positive_label(F.col("c_mktsegment"), "BUILDING").alias("y"))
 
 
 @query()
 def report_grid(spark, sf):
-    vectors, targets = _representations(spark, sf)
-    return evaluate.grid(vectors, targets, {"logreg": evaluate.logreg})
+    """The four representations under both classifiers, every fold and representation in the same passes."""
+    one, features = view_ab(spark, sf)
+    two, others = view_as(spark, sf)
+    p, q = features.count(), others.count()
+    a, b = (written(crossval.of_composition(numbered(x, f), f)) for x, f in ((one, features), (two, others)))
+    padded, shape, _, weights = _pretrained(spark, sf)
+    pairs = _aligned(spark, sf)[1].select("sample_id", F.concat("za", "zb").alias("v"))
+    masked = encoder.embed(padded, weights, shape).withColumnRenamed("embedding", "v")
+    width = {"baseline_CLR": p, "baseline_CLR_taxa+pathway": p + q, "masked_pretrain_embedding": shape.d, "crossmodal_embedding": 2 * shape.d}
+    rows = (a, crossval.beside(b, crossval.filled(a, p), q), crossval.of_vectors(masked), crossval.of_vectors(pairs))
+    c = crossval.Cases(crossval.cases(dict(zip(width, rows, strict=True)), _targets(spark, sf)), width)
+    # ten rounds of 63 bins for a query of a minute; the booster's defaults are in ``gbt_leafwise``
+    scores = {"logreg": crossval.logistic_scores(c), "gbdt": boosting.boosted_scores(c, boosting.Options(rounds=10, bins=63))}
+    out = evaluate.table(scores, width)
+    c.close()
+    return out
+
+
+@query()
+def gbt_leafwise(spark, sf):
+    cells, features = view_ab(spark, sf)
+    rows = crossval.of_composition(numbered(cells, features), features)
+    c = crossval.Cases(crossval.cases({"baseline_CLR": rows}, _targets(spark, sf)), {"baseline_CLR": features.count()})
+    scores = written(boosting.boosted_scores(c))
+    c.close()
+    return scores
+
+
+@query()
+def logreg_sparse(spark, sf):
+    cells, features = view_as(spark, sf)
+    rows = crossval.of_composition(numbered(cells, features), features)
+    c = crossval.Cases(crossval.cases({"CLR": rows}, _targets(spark, sf)), {"CLR": features.count()})
+    scores = written(crossval.logistic_scores(c))
+    c.close()
+    return scores
+
+
+@query("SELECT ((row_number() OVER (ORDER BY o_orderkey) - 1) // 64)::INT AS batch, 1 AS one FROM orders")
+def permuted_batches(spark, sf):
+    # which row falls where is drawn; every batch has 64 rows and the last what is left
+    rows = splits.numbered(read(spark, sf, "orders").select("o_orderkey"), "row_number")
+    return splits.permuted_batches(rows, 64, seed=3, epoch=2).select("batch", F.lit(1).alias("one"))
 
 
 @query()
@@ -565,12 +651,8 @@ def gbt_oof(spark, sf):
 
 @query()
 def encoder_embeddings(spark, sf):
-    cells, features = view_ab(spark, sf)
-    cells = numbered(cells, features)
-    model = tokens.fit(cells, features, "bin", MAX_LEN)
-    padded = tokens.padded(model.transform(cells), MAX_LEN, F.col("val"), _samples(spark, sf))
-    shape = encoder.Shape(model.vocab_size, MAX_LEN)
-    return encoder.embed(padded, encoder.initial_weights(shape), shape)
+    padded, shape, _, weights = _pretrained(spark, sf)
+    return encoder.embed(padded, weights, shape)
 
 
 @query()
