@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import ranking, scalars
 from quadrat.functions.scratch import fresh, written
-from quadrat.operators import boosting, cohort, composition, crossval, encoder, evaluate, hypothesis, lineage, retrieval, splits, tokens, training
+from quadrat.operators import boosting, cohort, components, composition, crossval, encoder, evaluate, hypothesis, lineage, retrieval, splits, tokens, training
 from quadrat.sources import tables
 from quadrat.streaming import tokens as stream
 
@@ -655,6 +655,23 @@ def encoder_embeddings(spark, sf):
     return encoder.embed(padded, weights, shape)
 
 
+@query()
+def pca_cells(spark, sf):
+    cells, features = view_as(spark, sf)
+    scores, _ = components.principal(crossval.of_composition(numbered(cells, features), features), features.count(), 3)
+    return scores.select(F.col("key").alias("sample_id"), F.transform("pc", lambda x: F.round(F.abs(x), 6)).alias("pc"))
+
+
+@query(f"WITH {SA} SELECT sample_id, feature::VARCHAR AS feature, feature_idx, round(abundance, {D}) AS abundance FROM sa JOIN fs USING (feature)")
+def wide_file(spark, sf):
+    # written as a wide file and read again; no plan is as wide as the table
+    cells, features = view_as(spark, sf)
+    path = fresh(spark)
+    tables.write_wide_cells(numbered(cells, features), features.withColumn("feature", F.col("feature").cast("string")), path, samples=_samples(spark, sf))
+    cells = tables.read_wide_cells(spark, path)[0]
+    return cells.select(F.col("sample_id").cast("long").alias("sample_id"), "feature", "feature_idx", F.round("abundance", D).alias("abundance"))
+
+
 @query()
 def masked_metrics(spark, sf):
     cells, features = view_ab(spark, sf)

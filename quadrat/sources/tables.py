@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,52 @@ def to_cells(wide: DataFrame, sample: str = "sample_id") -> DataFrame:
     return long.select(F.col(sample).alias("sample_id"), "feature", value.alias("abundance")).where("abundance > 0")
 
 
+#: A field of a line: quoted, or up to the next comma.
+FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
+def _fields(line: Column) -> Column:
+    plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, 2, F.char_length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.regexp_extract_all(line, F.lit(FIELD), F.lit(1)), plain)
+
+
+def read_wide_cells(spark: SparkSession, path: str, sample: str = "sample_id", null: str = "NA") -> tuple[DataFrame, DataFrame]:
+    """(cells, features) of a wide CSV with any number of columns: lines are cut into fields that meet the header by place.
+
+    No plan grows with the number of features, and the header stays a table. Every file may begin with the header; fields hold no line
+    ends. Cells are positive numbers; ``null`` and what is no number is not measured.
+    """
+    lines = spark.read.text(path).where("value <> ''")
+    is_header = F.get(_fields(F.substring("value", 1, 4096)), F.lit(0)) == F.lit(sample)
+    header = lines.where(is_header).limit(1).select(F.posexplode(_fields(F.col("value"))).alias("place", "feature"))
+    features = header.where("place > 0").select((F.col("place") - 1).alias("feature_idx"), "feature")
+    fields = lines.where(~is_header).select(_fields(F.col("value")).alias("f"))
+    x = fields.select(F.get("f", F.lit(0)).alias("sample_id"), F.posexplode("f").alias("place", "field")).where("place > 0")
+    value = F.when(F.col("field") != null, F.expr("try_cast(field AS double)"))
+    cells = x.select("sample_id", (F.col("place") - 1).alias("feature_idx"), F.nanvl(value, F.lit(None).cast("double")).alias("abundance")).where("abundance > 0")
+    return cells.join(features, "feature_idx").select("sample_id", "feature", "feature_idx", "abundance"), features
+
+
+def write_wide_cells(cells: DataFrame, features: DataFrame, path: str, sample: str = "sample_id", samples: DataFrame | None = None) -> None:
+    """A wide CSV of (sample, feature_idx, abundance) cells, 0 for what is absent; ``samples`` keeps those without any cell.
+
+    A line is its sample's sorted cells with runs of zeros between them. The header, as long as the dimension, begins every file.
+    """
+    quoted = lambda x: F.when(F.regexp_like(x, F.lit('[,"]')), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    named = features.agg(F.array_sort(F.collect_list(F.struct("feature_idx", quoted(F.col("feature")).alias("name")))).alias("h"), F.count("*").alias("n")).first()
+    n, header = named.n, ",".join([sample, *(r.name for r in named.h)])
+    x = cells.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(F.col("feature_idx").cast("int").alias("i"), F.col("abundance").cast("string").alias("v")))).alias("c"))
+    if samples is not None:
+        x = samples.select(sample).distinct().join(x, sample, "left")
+    c = F.coalesce("c", F.array().cast("array<struct<i:int,v:string>>"))
+    before = F.concat(F.array(F.lit(-1)), F.transform(c, lambda e: e["i"]))
+    zeros = lambda k: F.repeat(F.lit(",0"), k)
+    parts = F.transform(c, lambda e, at: F.concat(zeros(e["i"] - F.get(before, at) - 1), F.lit(","), e["v"]))
+    line = F.concat(quoted(F.col(sample).cast("string")), F.array_join(parts, ""), zeros(F.lit(n) - 1 - F.element_at(before, -1)))
+    # one column whose name is the header, and no separator that a line could hold
+    x.select(line.alias(header)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)
+
+
 def feature_table(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(names)), "feature_idx int, feature string")
 
