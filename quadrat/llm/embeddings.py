@@ -33,7 +33,10 @@ WIDTH = 8
 SEED = 7
 #: Width of a grid cell in radii of a block's budget; at least 2.
 CELL = 2.83
+#: Products of a tile, probes on its side, and pairs that are given on together.
 TILE = 4_000_000
+SIDE = 4_000
+PAIRS = 500_000
 
 ENTRY = np.dtype([("cell", "<u8"), ("cls", "<i8"), ("probe", "u1"), ("q", "i1", (WIDTH,))])
 
@@ -113,33 +116,38 @@ def _spread(threshold: float, parts: int):
     return run
 
 
-def near_in_block(e: np.ndarray, radius: float) -> np.ndarray:
-    """Pairs of classes (first < second) that meet in a cell and are within the radius, up to rounding of signatures."""
+def near_in_block(e: np.ndarray, radius: float) -> Iterator[np.ndarray]:
+    """Pairs of classes (first < second) that meet in a cell and are within the radius, up to rounding of signatures.
+
+    They come in parts of about ``PAIRS``: a dense cell's pairs are never held together. A class has one home, so a block gives a pair once.
+    """
     e = e[np.lexsort((e["probe"], e["cell"]))]
     start = np.flatnonzero(np.r_[True, e["cell"][1:] != e["cell"][:-1]])
     end = np.r_[start[1:], len(e)]
     homes = np.add.reduceat(1 - e["probe"].astype(np.int64), start)
     limit = int(np.ceil((radius * 127 + np.sqrt(WIDTH)) ** 2))
-    out = []
+    out, size = [], 0
     for s, t, h in zip(start.tolist(), end.tolist(), homes.tolist(), strict=True):
         if not h or t - s < 3:
             continue
-        home, probe = e[s : s + h], e[s + h : t]
-        a, qa = probe["cls"], probe["q"].astype(np.float32)
-        square = (qa * qa).sum(axis=1)
-        step = max(1, TILE // len(probe))
-        for k in range(0, h, step):
-            b, qb = home["cls"][k : k + step], home["q"][k : k + step].astype(np.float32)
-            # sums of products of small integers: exact in single precision
-            d2 = square[:, None] + (qb * qb).sum(axis=1) - 2 * (qa @ qb.T)
-            i, j = np.nonzero(d2 <= limit)
-            x, y = a[i], b[j]
-            out.append(np.stack([x, y], axis=1)[x < y])
-    if not out:
-        return np.empty((0, 2), np.int64)
-    pairs = np.concatenate(out)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
+        home, probes = e[s : s + h], e[s + h : t]
+        for k in range(0, len(probes), SIDE):
+            a, qa = probes["cls"][k : k + SIDE], probes["q"][k : k + SIDE].astype(np.float32)
+            square = (qa * qa).sum(axis=1)
+            step = max(1, TILE // len(a))
+            for n in range(0, h, step):
+                b, qb = home["cls"][n : n + step], home["q"][n : n + step].astype(np.float32)
+                # sums of products of small integers: exact in single precision
+                d2 = square[:, None] + (qb * qb).sum(axis=1) - 2 * (qa @ qb.T)
+                i, j = np.nonzero(d2 <= limit)
+                x, y = a[i], b[j]
+                out.append(np.stack([x, y], axis=1)[x < y])
+                size += len(out[-1])
+                if size >= PAIRS:
+                    yield np.concatenate(out)
+                    out, size = [], 0
+    if size:
+        yield np.concatenate(out)
 
 
 def _meet(radius: float):
@@ -148,9 +156,7 @@ def _meet(radius: float):
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                pairs = near_in_block(np.concatenate(held), radius)
-                for k in range(0, len(pairs), 500_000):
-                    p = pairs[k : k + 500_000]
+                for p in near_in_block(np.concatenate(held), radius):
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
 
         for batch in batches:

@@ -170,6 +170,18 @@ def test_embedding_links(spark, d, threshold):
     assert all(r.kept == (k == want[k]) for k, r in got.items())
 
 
+def test_a_dense_cell_gives_its_pairs_in_parts(monkeypatch):
+    monkeypatch.setattr(embeddings, "PAIRS", 1000)
+    monkeypatch.setattr(embeddings, "SIDE", 37)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=8) + rng.normal(size=(300, 8)) * 0.001
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    e = np.concatenate(list(embeddings.entries(np.arange(300), np.zeros(300, np.int64), x, 0.98)))
+    parts = list(embeddings.near_in_block(e, embeddings.blocks(8, 0.98)[0][1]))
+    pairs = np.concatenate(parts)
+    assert len(parts) > 20 and len(pairs) == len(np.unique(pairs, axis=0)) == 300 * 299 // 2
+
+
 def test_embedding_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 1), (2, [0.0] * 4, 1), (3, [nan, 1.0, 0.0, 0.0], 1), (4, [inf, 1.0, 0.0, 0.0], 1), (5, [None, 1.0, 0.0, 0.0], 1), (6, [], 1), (7, [1.0, 0.0, 0.0, 0.0], None), (8, [1.0, 0.0, 0.0, 0.0], 1), (9, [1.0, 0.0, 0.0, 0.0], 1), (9, [1.0, 0.0, 0.0, 0.0], 1), (10, [1.0, 0.0], 1), (None, [1.0, 0.0, 0.0, 0.0], 1)]
