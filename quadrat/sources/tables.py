@@ -127,14 +127,17 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def align(*tables: DataFrame, key: str = "sample_id") -> list[DataFrame]:
-    """Restricts every table to the keys that all hold. Semi joins: repeated keys keep their number and do not multiply."""
+def align(*tables: DataFrame, key: str = "sample_id", ordered: bool = False) -> list[DataFrame]:
+    """Restricts every table to the keys that all hold. Semi joins: repeated keys keep their number and do not multiply.
+
+    With ``ordered``, rows come in the order of their keys.
+    """
     out = []
     for k, table in enumerate(tables):
         for j, other in enumerate(tables):
             if j != k:
                 table = table.join(other.select(key).distinct(), key, "left_semi")
-        out.append(table)
+        out.append(table.orderBy(key) if ordered else table)
     return out
 
 

@@ -123,6 +123,13 @@ def test_parse_lineage(spark):
     assert (r[0].kingdom, r[0].phylum, r[0].genus, r[0].family) == ("B", "P", "", None) and r[1].kingdom is None
 
 
+def test_align_in_order(spark):
+    a = spark.createDataFrame([(k,) for k in ("d", "a", "c", "a", "x")], "sample_id string").repartition(3)
+    b = spark.createDataFrame([(k,) for k in ("c", "d", "a", "y")], "sample_id string").repartition(2)
+    one, two = tables.align(a, b, ordered=True)
+    assert [r.sample_id for r in one.collect()] == ["a", "a", "c", "d"] and [r.sample_id for r in two.collect()] == ["a", "c", "d"]
+
+
 def test_align_keeps_multiplicity(spark):
     a = spark.createDataFrame([("s",), ("s",), ("t",)], "sample_id string")
     b = spark.createDataFrame([("s",), ("s",), ("u",)], "sample_id string")
