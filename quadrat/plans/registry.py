@@ -582,7 +582,7 @@ def crossmodal_history(spark, sf):
     return _aligned(spark, sf)[0]
 
 
-@query()
+@query(f"WITH {AB} SELECT DISTINCT sample_id, 128 AS n_features, 2.0::DOUBLE AS square FROM ab")
 def exported_pairs(spark, sf):
     # written, read again and joined to the samples by key
     path = fresh(spark)
