@@ -1,0 +1,152 @@
+"""R data files: hand-made bytes against their cells, written frames read again."""
+
+import bz2
+import gzip
+import lzma
+import struct
+
+import pytest
+from pyspark.errors import PySparkException
+
+from quadrat.functions.scratch import fresh
+from quadrat.sources import rdata
+
+
+def i(*xs):
+    return struct.pack(f">{len(xs)}i", *xs)
+
+
+def chars(s):
+    return i(9, -1) if s is None else i(9 | 8 << 12, len(s.encode())) + s.encode()
+
+
+def sym(s):
+    return i(1) + chars(s)
+
+
+def strings(*xs, flags=0):
+    return i(16 | flags, len(xs)) + b"".join(map(chars, xs))
+
+
+def reals(*xs, flags=0):
+    return i(14 | flags, len(xs)) + b"".join(x if isinstance(x, bytes) else struct.pack(">d", x) for x in xs)
+
+
+def ints(*xs, flags=0):
+    return i(13 | flags, len(xs)) + i(*xs)
+
+
+def tagged(*pairs):
+    return b"".join(i(0x402) + tag + value for tag, value in pairs) + i(254)
+
+
+NA = bytes.fromhex("7ff00000000007a2")
+NA_INT = -(2**31)
+
+
+def objects():
+    """list(proteome = matrix, metadata2 = data.frame), a compact sequence and a wrapped vector; repeated symbols are references."""
+    matrix = reals(1.5, NA, -2.0, float("nan"), 5.0, 6.0, flags=0x200) + tagged((sym("dim"), ints(3, 2)), (sym("dimnames"), i(19, 2) + strings("p1", "p2", "p3") + strings("s1", "sé")))
+    # symbols known so far: multi_omics_set, dim, dimnames
+    factor = ints(2, 1, NA_INT, flags=0x300) + tagged((sym("levels"), strings("F", "M")), (sym("class"), strings("factor")))
+    # ... levels, class
+    frame = i(19 | 0x300, 3) + strings("s1", None, "sé") + factor + ints(30, NA_INT, 50)
+    frame += tagged((sym("names"), strings("sample.ID", "Gender", "Age")), (i(255 | 5 << 8), strings("data.frame")), (sym("row.names"), ints(NA_INT, -3)))
+    whole = i(19 | 0x200, 2) + matrix + frame + tagged((i(255 | 6 << 8), strings("proteome", "metadata2")))
+    info = lambda name: i(2) + sym(name) + i(2) + sym("base") + i(2) + ints(13) + i(254)
+    compact = i(238) + info("compact_intseq") + reals(4.0, 3.0, 1.0) + i(254)
+    wrapped = i(238) + info("wrap_real") + i(19, 2) + reals(7.0, 8.0) + ints(0, 0) + i(254)
+    return tagged((sym("multi_omics_set"), whole), (sym("run"), compact), (sym("w"), wrapped), (sym("nothing"), i(254)))
+
+
+def file(version=2):
+    head = i(2, 0x40000, 0x20300) if version == 2 else i(3, 0x40003, 0x30500, 5) + b"UTF-8"
+    return f"RDX{version}\nX\n".encode() + head + objects()
+
+
+CELLS = {
+    ("multi_omics_set$proteome", 0, "p1", "s1", 1.5, None),
+    ("multi_omics_set$proteome", 1, "p2", "s1", None, None),
+    ("multi_omics_set$proteome", 2, "p3", "s1", -2.0, None),
+    ("multi_omics_set$proteome", 0, "p1", "sé", "nan", None),
+    ("multi_omics_set$proteome", 1, "p2", "sé", 5.0, None),
+    ("multi_omics_set$proteome", 2, "p3", "sé", 6.0, None),
+    ("multi_omics_set$metadata2", 0, None, "sample.ID", None, "s1"),
+    ("multi_omics_set$metadata2", 1, None, "sample.ID", None, None),
+    ("multi_omics_set$metadata2", 2, None, "sample.ID", None, "sé"),
+    ("multi_omics_set$metadata2", 0, None, "Gender", None, "M"),
+    ("multi_omics_set$metadata2", 1, None, "Gender", None, "F"),
+    ("multi_omics_set$metadata2", 2, None, "Gender", None, None),
+    ("multi_omics_set$metadata2", 0, None, "Age", 30.0, None),
+    ("multi_omics_set$metadata2", 1, None, "Age", None, None),
+    ("multi_omics_set$metadata2", 2, None, "Age", 50.0, None),
+    *[("run", k, None, None, 3.0 + k, None) for k in range(4)],
+    *[("w", k, None, None, 7.0 + k, None) for k in range(2)],
+}
+
+
+def cells_of(df):
+    return {(r.object, r.row, r.row_name, r.column, "nan" if r.value != r.value else r.value, r.text) for r in df.collect()}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, bytes])
+@pytest.mark.parametrize("version", [2, 3])
+def test_cells_of_a_hand_made_file(spark, tmp_path, pack, version):
+    (tmp_path / "set.RData").write_bytes(pack(file(version)))
+    df = rdata.read(spark, str(tmp_path / "set.RData"))
+    assert df.count() == len(CELLS)
+    assert cells_of(df) == CELLS
+
+
+def test_parts_share_out_columns_and_folders_hold_files(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.rda").write_bytes(file())
+    (tmp_path / "note.txt").write_text("no data")
+    df = rdata.read(spark, f"file://{tmp_path}", bytes="100")
+    assert df.rdd.getNumPartitions() > 8
+    assert df.count() == 2 * len(CELLS) and cells_of(df) == CELLS
+
+
+def test_blocks_of_long_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rdata, "BLOCK", 4)
+    text = [f"t{k}" for k in range(11)]
+    body = i(16 | 0x200, 11 * 2) + b"".join(chars(x) for x in text + text[::-1]) + tagged((sym("dim"), ints(11, 2)))
+    (tmp_path / "m.RData").write_bytes(b"RDX2\nX\n" + i(2, 0, 0) + tagged((sym("m"), body)))
+    out = {0: [], 1: []}
+    for batch in rdata.RDataReader(str(tmp_path / "m.RData"), 1 << 20).read(rdata.Part(str(tmp_path / "m.RData"), 0, 1)):
+        assert batch.num_rows <= 4
+        out[batch["place"][0].as_py()] += batch["text"].to_pylist()
+    assert out == {0: text, 1: text[::-1]}
+
+
+def test_modalities_are_turned(spark, tmp_path):
+    (tmp_path / "set.RData").write_bytes(file())
+    x = rdata.modalities(rdata.read(spark, str(tmp_path)), "multi_omics_set", {"proteome": False})
+    assert ("sé", "proteome", "p2", 5.0) in {tuple(r) for r in x.collect()}
+    meta = rdata.frame(rdata.read(spark, str(tmp_path)), "multi_omics_set$metadata2", "`sample.ID` string, Gender string, Age int, absent double")
+    assert sorted(map(tuple, meta.collect()), key=str) == [("s1", "M", 30, None), ("sé", None, 50, None), (None, "F", None, None)]
+
+
+def test_frames_go_out_and_in(spark):
+    rows = [(k, f"n{k}" if k % 7 else None, k / 3 if k % 5 else None, k % 2 == 0 if k % 3 else None, 10**12 + k) for k in range(1000)]
+    schema = "a int, b string, c double, d boolean, e long"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    path = fresh(spark)
+    rdata.write_frames(df, path, rows="128", object="people")
+    back = rdata.read(spark, path)
+    assert back.select("file").distinct().count() >= 8
+    assert sorted(map(tuple, rdata.frame(back, "people", schema).collect())) == rows
+    rdata.write_frames(df.limit(3), path, object="people")
+    assert rdata.frame(rdata.read(spark, path), "people", schema).count() == 1003
+
+
+def test_empty_tables_and_wrong_files(spark, tmp_path):
+    path = fresh(spark)
+    rdata.write_frames(spark.createDataFrame([], "a int"), path)
+    assert rdata.read(spark, path).count() == 0
+    with pytest.raises(PySparkException, match="cast these columns"):
+        rdata.write_frames(spark.sql("SELECT current_date() AS d"), path)
+    for name, data, message in (("a", b"nothing", "not a binary"), ("b", file()[:-30], "ends early"), ("c", b"RDX2\nX\n" + i(2, 0, 0) + tagged((sym("f"), i(21))), "type 21")):
+        (tmp_path / f"{name}.RData").write_bytes(data)
+        with pytest.raises(PySparkException, match=message):
+            rdata.read(spark, str(tmp_path / f"{name}.RData")).count()
