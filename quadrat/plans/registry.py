@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import ranking, scalars
 from quadrat.functions.scratch import fresh, written
 from quadrat.operators import boosting, cohort, components, composition, crossval, encoder, evaluate, hypothesis, lineage, retrieval, splits, tokens, training
-from quadrat.sources import tables
+from quadrat.sources import rdata, tables
 from quadrat.streaming import tokens as stream
 
 D = 6
@@ -349,10 +349,19 @@ def label_summary(spark, sf):
     return _scores(spark, sf).agg(n.alias("n"), F.count_distinct("grp").alias("n_groups"), pos.alias("n_pos"), F.round(F.avg("y"), 9).alias("rate"), ((pos < 10) | (n - pos < 10)).alias("too_few"))
 
 
-@query()
+#: Newton steps on lists of the logits and labels.
+NEWTON = """RECURSIVE {scores}, xy AS (SELECT list(ln(q / (1 - q))) AS xs, list(y::DOUBLE) AS ys FROM (SELECT y, greatest(least(p, 0.999999), 0.000001)::DOUBLE AS q FROM sc)),
+nt AS (SELECT 0 AS k, 0::DOUBLE AS a, 0::DOUBLE AS b UNION ALL
+SELECT k + 1, a + (g * u - f * v) / (e * g - f * f), b + (e * v - f * u) / (e * g - f * f) FROM (
+SELECT k, a, b, list_sum(h) AS e, list_dot_product(h, xs) AS f, list_dot_product(h, list_transform(xs, lambda x: x * x)) AS g, list_sum(r) AS u, list_dot_product(r, xs) AS v FROM (
+SELECT k, a, b, xs, list_transform(p, lambda q: q * (1 - q)) AS h, list_transform(list_zip(ys, p), lambda z: z[1] - z[2]) AS r FROM (
+SELECT k, a, b, xs, ys, list_transform(xs, lambda x: 1 / (1 + exp(-(a + b * x)))) AS p FROM nt CROSS JOIN xy WHERE k < 20))))"""
+
+
+@query(f"WITH {NEWTON.format(scores=SCORES)} SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM nt WHERE k = 20")
 def calibration_slope(spark, sf):
     a, b = evaluate.calibration(_scores(spark, sf))
-    return spark.createDataFrame([(a, b)], "intercept double, slope double")
+    return spark.createDataFrame([(a, b)], "intercept double, slope double").select(F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
 
 
 def _vectors(spark, sf):
@@ -430,19 +439,58 @@ def kruskal_h(spark, sf):
     return hypothesis.kruskal(x, "v", "g").withColumn("h", F.round("h", 5))
 
 
-@query()
+def _simpson(density: str, to: str, n: int = 4000) -> str:
+    """SQL of the integral of a density in x from 0 to ``to``."""
+    return f"list_sum(list_transform(range(0, {n + 1}), lambda i: (CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('{x}', f'({to} * i / {n}::DOUBLE)')})) * {to} / {3 * n}::DOUBLE"
+
+
+DENSITIES = {
+    "t": "exp(lgamma((df + 1) / 2.0::DOUBLE) - lgamma(df / 2.0::DOUBLE)) / sqrt(df * pi()) * (1 + {x} ** 2 / df) ** (-(df + 1) / 2.0::DOUBLE)",
+    "f": "exp(lgamma((a + b) / 2.0::DOUBLE) - lgamma(a / 2.0::DOUBLE) - lgamma(b / 2.0::DOUBLE)) * (a / b::DOUBLE) ** (a / 2.0::DOUBLE) * {x} ** (a / 2.0::DOUBLE - 1) * (1 + a * {x} / b) ** (-(a + b) / 2.0::DOUBLE)",
+    "chi2": "{x} ** (df / 2.0::DOUBLE - 1) * exp(-{x} / 2) / (2 ** (df / 2.0::DOUBLE) * exp(lgamma(df / 2.0::DOUBLE)))",
+}
+P_VALUES = f"""WITH g AS (SELECT c_mktsegment AS s, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1),
+w AS (SELECT abs(d) / sqrt(e + f) AS s, (e + f) ** 2 / (e ** 2 / (n - 1) + f ** 2 / (k - 1)) AS df FROM (SELECT a.m - b.m AS d, a.v / a.n AS e, b.v / b.n AS f, a.n AS n, b.n AS k FROM g a JOIN g b ON a.s = 'BUILDING' AND b.s = 'MACHINERY')),
+o AS (SELECT (t.b / (k - 1)) / (w / (n - k)) AS s, (k - 1)::DOUBLE AS a, (n - k)::DOUBLE AS b FROM (SELECT count(*) AS k, sum(n) AS n, sum(v * (n - 1)) AS w, sum(n * (m - (SELECT avg(c_acctbal) FROM customer)) ** 2) AS b FROM g) t),
+r AS (SELECT c_mktsegment AS g, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0::DOUBLE AS r FROM customer),
+x AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::HUGEINT AS c FROM customer GROUP BY c_acctbal)),
+q AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS s, (k - 1)::DOUBLE AS df FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(r * r / n) AS q FROM (SELECT count(*) AS n, sum(r) AS r FROM r GROUP BY g)) CROSS JOIN x)
+SELECT 'welch' AS test, round(1 - 2 * {_simpson(DENSITIES["t"], "s")}, 6) AS p FROM w
+UNION ALL SELECT 'anova', round(1 - {_simpson(DENSITIES["f"], "s")}, 6) FROM o
+UNION ALL SELECT 'kruskal', round(1 - {_simpson(DENSITIES["chi2"], "s")}, 6) FROM q"""
+
+
+@query(P_VALUES)
 def test_p_values(spark, sf):
     c = read(spark, sf, "customer")
     w = hypothesis.welch(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY").select(F.lit("welch").alias("test"), hypothesis.p_value("t", F.col("t"), F.col("df")).alias("p"))
     a = hypothesis.anova(c, "c_acctbal", "c_mktsegment").select(F.lit("anova").alias("test"), hypothesis.p_value("f", F.col("f"), F.col("df1").cast("double"), F.col("df2").cast("double")).alias("p"))
     k = hypothesis.kruskal(c, "c_acctbal", "c_mktsegment").select(F.lit("kruskal").alias("test"), hypothesis.p_value("chi2", F.col("h"), F.col("df").cast("double")).alias("p"))
-    return w.union(a).union(k)
+    return w.union(a).union(k).select("test", F.round("p", 6).alias("p"))
 
 
-@query()
+def _leading(k: int, squarings: int = 24) -> str:
+    """SQL of the k-th eigenvalue and vector of the matrix left after k - 1: squared until one vector is left of it, then taken away."""
+    m, power = f"m{k}", f"w{k}"
+    return f"""{power} AS (SELECT 0 AS n, m AS w FROM {m} UNION ALL SELECT n + 1, list_transform(s, lambda row: list_transform(row, lambda x: x / t)) FROM (
+SELECT n, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) AS t FROM (SELECT n, list_transform(w, lambda a: list_transform(w, lambda b: list_dot_product(a, b))) AS s FROM {power} WHERE n < {squarings}))),
+u{k} AS (SELECT list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS v FROM (SELECT list_transform(w, lambda row: row[(list_position(d, list_max(d)))::INT]) AS c FROM (SELECT w, list_transform(range(1, len(w) + 1), lambda i: w[i][i]) AS d FROM {power} WHERE n = {squarings}))),
+e{k} AS (SELECT v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) AS l FROM u{k} CROSS JOIN {m}),
+m{k + 1} AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM {m} CROSS JOIN e{k})"""
+
+
+#: Centred and scaled vectors, their correlations, and the three leading components of these.
+COMPONENTS = f"""RECURSIVE lg AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+sd AS (SELECT vec_id, d, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM lg WINDOW w AS (PARTITION BY d)),
+co AS (SELECT d, list(z ORDER BY vec_id) AS c, count(*) AS n FROM sd GROUP BY d),
+m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT a.d AS i, list(list_dot_product(a.c, b.c) / (a.n - 1) ORDER BY b.d) AS r FROM co a CROSS JOIN co b GROUP BY a.d)),
+{_leading(1)}, {_leading(2)}, {_leading(3)}"""
+
+
+@query(f"WITH {COMPONENTS} SELECT pc, round(l / (SELECT len(m) FROM m1), 6) AS share FROM (SELECT 1 AS pc, l FROM e1 UNION ALL SELECT 2, l FROM e2 UNION ALL SELECT 3, l FROM e3)")
 def pca_variance(spark, sf):
     _, share = cohort.pca(read(spark, sf, "embeddings"), F.col("embedding"), "vec_id")
-    return spark.createDataFrame([(k + 1, v) for k, v in enumerate(share)], "pc int, share double")
+    return spark.createDataFrame([(k + 1, v) for k, v in enumerate(share)], "pc int, share double").withColumn("share", F.round("share", 6))
 
 
 @query("SELECT c_mktsegment, n, (row_number() OVER (ORDER BY n DESC, c_mktsegment))::INT AS place, printf('%d (%.1f%%)', n, 100 * n / (sum(n) OVER ())::DOUBLE) AS label FROM (SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1)")
@@ -450,7 +498,7 @@ def bar_counts(spark, sf):
     return cohort.bars(read(spark, sf, "customer"), "c_mktsegment")
 
 
-@query()
+@query(f"WITH {COMPONENTS}, zz AS (SELECT vec_id, list(z ORDER BY d) AS z FROM sd GROUP BY vec_id) SELECT vec_id, label, round(abs(list_dot_product(z, e1.v)), 6) AS pc1, round(abs(list_dot_product(z, e2.v)), 6) AS pc2 FROM zz JOIN embeddings USING (vec_id) CROSS JOIN e1 CROSS JOIN e2")
 def pca_scatter(spark, sf):
     # signs of components are arbitrary: magnitudes are shown
     scores, _ = cohort.pca(read(spark, sf, "embeddings"), F.col("embedding"), "vec_id", 2)
@@ -683,5 +731,67 @@ def masked_metrics(spark, sf):
     hidden = tokens.padded(m, MAX_LEN, F.col("val"))
     seen = tokens.padded(m.withColumn("token_id", F.col("target")), MAX_LEN, F.col("value")).select("sample_id", F.col("ids").alias("target"), F.col("vals").alias("value"))
     x = hidden.join(seen, "sample_id").withColumn("selected", F.zip_with("ids", "target", lambda a, b: a != b))
-    shape = encoder.Shape(model.vocab_size, MAX_LEN)
-    return encoder.masked_metrics(x, encoder.initial_weights(shape), shape)
+    _, shape, _, weights = _pretrained(spark, sf)
+    return encoder.masked_metrics(x, weights, shape)
+
+
+# files
+
+
+@query(f"WITH {AB} SELECT sample_id, feature, abundance FROM ab")
+def r_frames(spark, sf):
+    """Cells as R data frames in bounded files, read again as cells of frames."""
+    path = fresh(spark)
+    rdata.write_frames(view_ab(spark, sf)[0].select("sample_id", "feature", "abundance"), path, object="ab")
+    return rdata.frame(rdata.read(spark, path), "ab", "sample_id long, feature string, abundance double")
+
+
+@query(f"WITH {AB}, {SA}, {STUDY}, a AS (SELECT sample_id, count(*) AS n_taxa, round(sum(abundance), 2) AS taxa FROM ab GROUP BY 1), b AS (SELECT sample_id, count(*) AS n_pathways, round(sum(abundance), 2) AS pathways FROM sa GROUP BY 1) SELECT sample_id, study_name, c_mktsegment AS study_condition, n_taxa, taxa, n_pathways, pathways FROM st JOIN a USING (sample_id) JOIN b USING (sample_id)")
+def cohort_files(spark, sf):
+    """The files of a cohort, written from both views and loaded together."""
+    folder = fresh(spark)
+    for name, view in (("taxa", view_ab), ("pathway", view_as)):
+        cells, features = view(spark, sf)
+        tables.write_wide_cells(numbered(cells, features), features.withColumn("feature", F.col("feature").cast("string")), f"{folder}/{name}_abundance.csv")
+    tables.write_csv(_studies(spark, sf).select("sample_id", "study_name", F.col("c_mktsegment").alias("study_condition")), f"{folder}/metadata.csv")
+    c = tables.load_cohort(spark, folder)
+    sums = [x.groupBy("sample_id").agg(F.count("*").alias(f"n_{n}"), F.round(F.sum("abundance"), 2).alias(n)) for x, n in ((c.taxa, "taxa"), (c.pathways, "pathways"))]
+    x = c.metadata.join(sums[0], "sample_id").join(sums[1], "sample_id")
+    return x.select(F.col("sample_id").cast("long").alias("sample_id"), "study_name", "study_condition", "n_taxa", "taxa", "n_pathways", "pathways")
+
+
+@query("SELECT s_suppkey AS taxon, s_name AS species, CASE WHEN s_suppkey % 3 <> 0 THEN n_name END AS family, r_name AS phylum FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def lineage_file(spark, sf):
+    path = fresh(spark)
+    named = _lineage(spark, sf).select("taxon", "species", F.when(F.col("taxon") % 3 == 0, "NA").otherwise(F.col("family")).alias("family"), "phylum")
+    tables.write_csv(named, path)
+    x = tables.read_lineage(spark, path)
+    return x.select(F.col("taxon").cast("long").alias("taxon"), "species", "family", "phylum")
+
+
+@query(f"WITH {AB}, {STUDY} SELECT study_name, feature, count(*) AS n, round(sum(abundance), 2) AS total FROM ab JOIN st USING (sample_id) WHERE study_name IN ('ASIA', 'EUROPE') GROUP BY 1, 2")
+def merged_studies(spark, sf):
+    """Files of two studies, found by name among those of all, and merged."""
+    folder = fresh(spark)
+    cells = view_ab(spark, sf)[0].join(_studies(spark, sf).select("sample_id", "study_name"), "sample_id")
+    cells.write.partitionBy("study_name").parquet(folder)
+    found = [[r.path for r in tables.matching_files(spark, folder, [study], "parquet").collect()] for study in ("ASIA", "EUROPE")]
+    merged = tables.merge_studies(*[spark.read.option("basePath", folder).parquet(*paths) for paths in found if paths])
+    return merged.groupBy("study_name", "feature").agg(F.count("*").alias("n"), F.round(F.sum("abundance"), 2).alias("total"))
+
+
+@query(SQL["contrastive_loss"])
+def history_file(spark, sf):
+    """Losses as a file of records, read again."""
+    losses = retrieval.contrastive_loss(_sims(spark, sf, 14.0)).select("batch", "n", F.round("loss", 5).alias("loss"))
+    path = fresh(spark)
+    tables.write_records(losses, path)
+    return spark.read.schema(losses.schema).json(path)
+
+
+@query("WITH m AS (SELECT label, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS xx, covar_samp(x, y) AS xy, var_samp(y) AS yy FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label), a AS (SELECT *, sqrt((xx - yy) ** 2 + 4 * xy ** 2) AS d FROM m) SELECT label, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(-2 * ln(0.32)) * sqrt((xx + yy + d) / 2), 6) AS major, round(sqrt(-2 * ln(0.32)) * sqrt((xx + yy - d) / 2), 6) AS minor, round((xx - yy) / d, 5) AS cos_twice, round(2 * xy / d, 5) AS sin_twice FROM a")
+def label_ellipses(spark, sf):
+    points = read(spark, sf, "embeddings").select("label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xy")])
+    # an axis has no direction: its angle is shown doubled
+    e = cohort.ellipses(points, "label", "x", "y").withColumns({"cos_twice": F.cos(2 * F.col("angle")), "sin_twice": F.sin(2 * F.col("angle"))})
+    return e.select("label", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "major", "minor")], *[F.round(c, 5).alias(c) for c in ("cos_twice", "sin_twice")])
