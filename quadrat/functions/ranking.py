@@ -39,18 +39,21 @@ def running(df: DataFrame, value: str, sums: list[str], n: int = RANGES, by: lis
 
 #: Parts into which a pass of ``quantiles`` cuts what is left of a range.
 PARTS = 1 << 12
+#: Rows that one task may sort to end the search within a part.
+SORTED = 200_000
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, of each group: an array ``q``, one entry for each of ``probs``.
 
-    A row counts ``weight`` times; NULL and NaN do not count, and where nothing does there is no quantile. Values are never shuffled or sorted: a
-    pass counts them by part of the range in which wanted places lie (with map-side sums), and the next pass looks into the
-    parts that hold them, until a part is one value. The ends of a range are parts of their own, so outliers cost a pass.
+    A row counts ``weight`` times; NULL and NaN do not count, and where nothing does there is no quantile. A
+    pass counts values by part of the range in which wanted places lie (with map-side sums), and the next pass looks into the
+    parts that hold them, until a part is one value, or until every part left has at most ``SORTED`` values: only these are shuffled and
+    sorted, each part by itself. The ends of a range are parts of their own, so outliers cost a pass.
     """
     by = by or []
     v = F.col(value).cast("double")
-    x = written(df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n")))
+    x = written(df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n")).where("_n > 0"))
     whole = written(x.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), (F.sum("_n") - 1).alias("_last")).where("_lo is not null"))
     sides = [f(F.col("_last") * F.lit(p)) for p in probs for f in (F.floor, F.ceil)]
     ranks = whole.select(*by, F.explode(F.array_distinct(F.array(*sides))).alias("_rank"))
@@ -63,16 +66,28 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
         share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
         at = F.least(F.lit(PARTS - 2), F.greatest(F.lit(1), F.floor(F.nanvl(share, F.lit(0.0)) * PARTS)))
         at = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), PARTS - 1).otherwise(at)
-        counts = inside.groupBy(*by, "_lo", "_hi", "_before", at.alias("_at")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        counts = inside.groupBy(*by, "_lo", "_hi", "_before", at.alias("_at")).agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         run = Window.partitionBy(*by, "_lo", "_hi", "_before").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
-        counts = counts.select(*by, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_n", (F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0))).alias("_before"))
+        counts = counts.select(*by, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_n", "_rows", (F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0))).alias("_before"))
         r = named(ranks, "_r")
         held = counts.join(F.broadcast(r) if not by else r, same(counts, r) & (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-        held = written(held.select(*by, "_rank", "_lo", "_hi", "_before"))
+        held = written(held.select(*by, "_rank", "_lo", "_hi", "_before", "_rows"))
         one = held.where("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_q"))
         found = one if found is None else found.union(one)
-        parts = held.where("_lo < _hi").select(*by, "_lo", "_hi", "_before").distinct()
-        if parts.isEmpty():
+        left = held.where("_lo < _hi")
+        most = left.agg(F.max("_rows")).first()[0]
+        if most is None:
+            break
+        parts = left.select(*by, "_lo", "_hi", "_before").distinct()
+        if most <= SORTED:
+            p = named(parts, "_r")
+            near = x.join(F.broadcast(p) if not by else p, same(x, p) & (x["_v"] >= p["_lo"]) & (x["_v"] <= p["_hi"]))
+            values = near.groupBy(*by, "_before", "_v").agg(F.sum("_n").alias("_n"))
+            upto = Window.partitionBy(*by, "_before").orderBy("_v")  # SORTED rows at most
+            last = values.withColumn("_to", F.col("_before") + F.sum("_n").over(upto))
+            r = named(left.select(*by, "_rank", F.col("_before").alias("_part")), "_r")
+            hit = last.join(r, same(last, r) & (last["_before"] == r["_part"]) & (r["_rank"] < last["_to"]) & (r["_rank"] >= last["_to"] - last["_n"]))
+            found = found.union(hit.select(*by, "_rank", F.col("_v").alias("_q")))
             break
     places = F.map_from_entries(F.collect_list(F.struct("_rank", "_q")))
     known = found.groupBy(*by).agg(places.alias("_m"))

@@ -357,8 +357,10 @@ def test_split_of_few_studies_has_the_exact_share(spark):
     assert splits.split_by_study(meta, val_frac=0.2).where("not is_val").count() == int(53 * 0.8)
 
 
-@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, 1.0, 9.0], [float(k * k % 37) for k in range(200)]])
-def test_quantiles_by_ranges(spark, values):
+@pytest.mark.parametrize("limit", [3, ranking.SORTED])
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, 1.0, 9.0], [float(k * k % 37) for k in range(200)], [1e9, *[k / 1e3 for k in range(300)]]])
+def test_quantiles_by_ranges(spark, values, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "SORTED", limit)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     df = spark.createDataFrame([(g, v) for g in ("a", "b") for v in values] + [("c", None)], "g string, v double")
     found = {r.g: r.q for r in ranking.quantiles(df, "v", probs, ["g"]).collect()}
