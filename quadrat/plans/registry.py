@@ -479,12 +479,17 @@ e{k} AS (SELECT v, list_dot_product(v, list_transform(m, lambda row: list_dot_pr
 m{k + 1} AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM {m} CROSS JOIN e{k})"""
 
 
-#: Centred and scaled vectors, their correlations, and the three leading components of these.
-COMPONENTS = f"""RECURSIVE lg AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
-sd AS (SELECT vec_id, d, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM lg WINDOW w AS (PARTITION BY d)),
-co AS (SELECT d, list(z ORDER BY vec_id) AS c, count(*) AS n FROM sd GROUP BY d),
+def _components(values: str) -> str:
+    """SQL of centred and scaled columns of (id, d, x), their correlations, and the three leading components of these."""
+    return f"""RECURSIVE {values},
+sd AS (SELECT id, d, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM lg WINDOW w AS (PARTITION BY d)),
+co AS (SELECT d, list(z ORDER BY id) AS c, count(*) AS n FROM sd GROUP BY d),
 m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT a.d AS i, list(list_dot_product(a.c, b.c) / (a.n - 1) ORDER BY b.d) AS r FROM co a CROSS JOIN co b GROUP BY a.d)),
-{_leading(1)}, {_leading(2)}, {_leading(3)}"""
+{_leading(1)}, {_leading(2)}, {_leading(3)},
+zz AS (SELECT id, list(z ORDER BY d) AS z FROM sd GROUP BY id)"""
+
+
+COMPONENTS = _components("lg AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)")
 
 
 @query(f"WITH {COMPONENTS} SELECT pc, round(l / (SELECT len(m) FROM m1), 6) AS share FROM (SELECT 1 AS pc, l FROM e1 UNION ALL SELECT 2, l FROM e2 UNION ALL SELECT 3, l FROM e3)")
@@ -498,7 +503,7 @@ def bar_counts(spark, sf):
     return cohort.bars(read(spark, sf, "customer"), "c_mktsegment")
 
 
-@query(f"WITH {COMPONENTS}, zz AS (SELECT vec_id, list(z ORDER BY d) AS z FROM sd GROUP BY vec_id) SELECT vec_id, label, round(abs(list_dot_product(z, e1.v)), 6) AS pc1, round(abs(list_dot_product(z, e2.v)), 6) AS pc2 FROM zz JOIN embeddings USING (vec_id) CROSS JOIN e1 CROSS JOIN e2")
+@query(f"WITH {COMPONENTS} SELECT vec_id, label, round(abs(list_dot_product(z, e1.v)), 6) AS pc1, round(abs(list_dot_product(z, e2.v)), 6) AS pc2 FROM zz JOIN embeddings ON vec_id = id CROSS JOIN e1 CROSS JOIN e2")
 def pca_scatter(spark, sf):
     # signs of components are arbitrary: magnitudes are shown
     scores, _ = cohort.pca(read(spark, sf, "embeddings"), F.col("embedding"), "vec_id", 2)
@@ -704,11 +709,14 @@ def encoder_embeddings(spark, sf):
     return encoder.embed(padded, weights, shape)
 
 
-@query()
+LOG_RATIOS = DENSE + ", lg AS (SELECT sample_id AS id, feature_idx AS d, lg - avg(lg) OVER (PARTITION BY sample_id) AS x FROM dn)"
+
+
+@query(f"WITH {_components(LOG_RATIOS)} SELECT id AS sample_id, " + ", ".join(f"round(abs(list_dot_product(z, e{k}.v)), 6) AS pc{k}" for k in (1, 2, 3)) + " FROM zz CROSS JOIN e1 CROSS JOIN e2 CROSS JOIN e3")
 def pca_cells(spark, sf):
     cells, features = view_as(spark, sf)
     scores, _ = components.principal(crossval.of_composition(numbered(cells, features), features), features.count(), 3)
-    return scores.select(F.col("key").alias("sample_id"), F.transform("pc", lambda x: F.round(F.abs(x), 6)).alias("pc"))
+    return scores.select(F.col("key").alias("sample_id"), *[F.round(F.abs(F.col("pc")[k]), 6).alias(f"pc{k + 1}") for k in range(3)])
 
 
 @query(f"WITH {SA} SELECT sample_id, feature::VARCHAR AS feature, feature_idx, round(abundance, {D}) AS abundance FROM sa JOIN fs USING (feature)")
