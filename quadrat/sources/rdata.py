@@ -3,8 +3,8 @@
 ``spark.read.format("rdata")`` gives one row per cell of every matrix, data frame and vector of the files, named by its
 path in nested lists (``set$proteome``). A file's columns are shared out over as many tasks as its size asks for. Every
 task reads the stream twice, since R puts a matrix's dimensions behind its numbers: an outline first, which steps over
-values, then the task's own columns in blocks. So a task holds names and one block, whatever the file's size; a
-compressed stream can only be stepped over by decompressing it.
+values, then the task's own columns in blocks. So a task holds names and one block, whatever the file's size (but numbers that R
+kept as deferred strings are held whole); a compressed stream can only be stepped over by decompressing it.
 
 Nulls (``NA``) are cells without value and text; NaN stays NaN. Factors give their levels. Functions compiled to byte code and
 external pointers, which are no data, are refused. Paths are those that pyarrow's file systems open.
@@ -137,7 +137,7 @@ class Outline:
                 self.item(False)
             return None
         if kind == ALTERNATIVE:
-            return self.alternative()
+            return self.alternative(keep)
         if kind == S4:
             v = Vector(S4, 0)
         elif kind in (LIST, EXPRESSIONS):
@@ -194,10 +194,10 @@ class Outline:
             raise ValueError(f"a pair list ends in type {flags & 0xFF}")
         return out
 
-    def alternative(self) -> Vector | None:
+    def alternative(self, keep: bool) -> Vector:
         """Compact sequences and wrapped vectors; names of classes come first, their state and attributes after."""
         name = self.item(True)[0][1]
-        state = self.item(True)
+        state = self.item(keep or not name.startswith("wrap_"))
         attributes = dict(self.item(True) or [])
         if name in ("compact_intseq", "compact_realseq"):
             n, start, step = state.values
