@@ -418,3 +418,20 @@ def test_masked_metrics(spark):
     nll = lambda z, t: np.log(np.exp(z).sum()) - z[t]
     assert got.n == 5 and got.loss == pytest.approx(nll(encoder.linear(h, w, "head.token"), 2) + 0.3 * nll(encoder.linear(h, w, "head.value"), 3))
     assert encoder.masked_metrics(df.limit(0), w, shape).first().loss is None
+
+
+def test_records_are_not_gathered(spark, tmp_path):
+    tables.write_records(spark.range(0, 400, 1, 4), str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("part-*"))) == 4 and spark.read.json(str(tmp_path / "r")).count() == 400
+
+
+def test_pooling_is_not_dealt_by_token(spark):
+    t = spark.range(1000).select((F.col("id") % 100).alias("sample_id"), (F.col("id") % 7).alias("token_id"))
+    v = spark.range(7).select(F.col("id").alias("token_id"), F.array(F.col("id").cast("double")).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = retrieval.mean_pool(t, v, 1)
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and p.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
